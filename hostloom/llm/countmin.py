@@ -8,6 +8,7 @@ Cells only overestimate: a key that occurs twice always reads as repeated.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def build(df: DataFrame, keys: Callable[[dict], Iterator[np.ndarray]], bits: int
                 cell = packed >> np.uint32(1)
                 seen[cell] = np.minimum(seen[cell] + 1 + (packed & np.uint32(1)).astype(np.uint8), 2)
         for chunk, seen in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(seen == 2).tobytes()], pa.binary())], ["chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.packbits(seen == 2).tobytes(), 1)], pa.binary())], ["chunk", "part"])
 
     schema = "chunk int, part binary"
     merged = df.mapInArrow(sketch, schema).repartition("chunk").mapInArrow(merge, schema)
@@ -67,7 +68,7 @@ def build(df: DataFrame, keys: Callable[[dict], Iterator[np.ndarray]], bits: int
     size = 1 << (CHUNK_BITS - 3)
     for chunk, part in merged.toLocalIterator():  # a fixed number of chunks of a fixed size
         at, row = divmod(chunk, ROWS)
-        maps[row, at * size : (at + 1) * size] = np.frombuffer(bytes(part), dtype=np.uint8)
+        maps[row, at * size : (at + 1) * size] = np.frombuffer(zlib.decompress(bytes(part)), dtype=np.uint8)
     return df.sparkSession.sparkContext.broadcast(maps)
 
 

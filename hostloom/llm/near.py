@@ -28,7 +28,8 @@ from hostloom.llm.common import as_bytes, mix, rolling, settle, small, word_hash
 from hostloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-SKETCH_BITS = 27
+#: Cells in each row of the sketch, as a power of two: 2 rows of 2 ** 26 bits are broadcast, 16 MB.
+SKETCH_BITS = 26
 #: Sets and bytes of shingles in a block of a candidate group.
 BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 
@@ -166,6 +167,7 @@ def candidate_groups(docs: DataFrame, size: int, percent: int, bits: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(named))], ["part", "s1"])
 
     found = settle(texts.mapInArrow(repeated, "part long, s1 long").distinct())
+    sketch.destroy()
     hubs = found.groupBy("part").agg(F.min("s1").alias("v"), F.max("s1").alias("last")).where(F.col("v") < F.col("last")).select("part", "v")
     return components(found.join(hubs, "part").where(F.col("s1") != F.col("v")).select(F.col("s1").alias("u"), "v").distinct())
 
