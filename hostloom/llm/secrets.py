@@ -97,12 +97,16 @@ def battery(token: str, name: str) -> tuple[float, float]:
     p_serial = 2 * _tail(abs(float((spread[1:] * spread[:-1]).sum()) / square * math.sqrt(n))) if square else 0.0
     half = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
     combined = math.exp(-half) * (1 + half + half * half / 2)  # chi-squared with 6 degrees of freedom
-    # Under written language the symbols' squared frequencies sum to about WORDS_P2 (more in a narrow alphabet).
-    p2 = max(WORDS_P2, 2.2 / k)
+    # Written language: letters of either case count as one symbol, and their squared frequencies sum to about WORDS_P2
+    # (more in a narrow alphabet), so the statistic of folded symbols grows with the length.
+    share = Counter(c.lower() for c in alphabet)
+    folded = sum(c * c * k / share[x] for x, c in Counter(token.lower()).items()) / n - n
+    wide = k / max(share.values())
+    p2 = max(WORDS_P2, 2.2 / wide)
     p3 = max(WORDS_P3 * (p2 / WORDS_P2) ** 1.5, p2 * p2 * 1.05)
-    mean = n * (k * p2 - 1) + k * (1 - p2)
-    sd = 2 * k * math.sqrt(n * (p3 - p2 * p2) + (p2 - 2 * p3 + p2 * p2) / 2)
-    return combined, max(_tail((mean - chi) / sd), 10.0 ** (-(BINS - 1) / 4))
+    mean = n * (wide * p2 - 1) + wide * (1 - p2)
+    sd = 2 * wide * math.sqrt(n * (p3 - p2 * p2) + (p2 - 2 * p3 + p2 * p2) / 2)
+    return combined, max(_tail((mean - folded) / sd), 10.0 ** (-(BINS - 1) / 4))
 
 
 def candidates(data: bytes, buf: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int]]:
