@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostloom.functions.values import filled, range_version_key
 from hostloom.operators.ingest import is_builtin
@@ -255,7 +256,7 @@ def publisher_reputable(ext: DataFrame, publishers: DataFrame, verified: DataFra
     return ext.select("key").distinct().join(known.withColumn("_k", F.lit(True)), "key", "left").join(verified, "key", "left").select("key", (F.coalesce("_k", F.lit(False)) & F.coalesce("verified", F.lit(False))).alias("reputable"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold() if isinstance(x, str) else None)
 
@@ -304,7 +305,7 @@ def name_anomalies(names: DataFrame, spark_brands: tuple[str, ...] = BRANDS) ->
     exact, compact = F.regexp_replace("_f", "[^a-z0-9]+", ""), _look(F.col("_f"))
     df = df.withColumns({"_exact": exact, "_c": compact})
     hit = _brand_hits(df.where((F.length("_c") >= 5) & ~F.col("_exact").isin(*spark_brands)).select("_c").distinct(), spark_brands)
-    df = df.join(hit, "_c", "left")
+    df = df.join(hit, "_c", "left").withColumn("_hit", F.when(~F.col("_exact").isin(*spark_brands), F.col("_hit")))
     d = F.col("_d")
     dots = F.length(d) - F.length(F.replace(d, F.lit("."), F.lit("")))
     found = present(
