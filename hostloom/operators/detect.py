@@ -82,6 +82,10 @@ def scope_threshold(inv: Inventory, platform: str | None = None, share: float =
     return by_platform.crossJoin(by_hosts).select(F.coalesce("t", "h").alias("threshold"))
 
 
+def _last_version(inv: Inventory) -> list[Column]:
+    return [F.col("last_version").alias("version")] if "last_version" in inv.software.columns else []
+
+
 def detect_outliers(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | None = None, platform: str | None = None, share: float = lists.OUTLIER_SHARE) -> DataFrame:
     """Titles on at most `threshold` hosts in scope, minus approved titles and system packages.
 
@@ -92,7 +96,7 @@ def detect_outliers(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | Non
     rare = edges.groupBy("name").agg(F.count_distinct("host_id").alias("host_count")).crossJoin(F.broadcast(scope_threshold(inv, platform, share))).where(F.col("host_count") <= F.col("threshold"))
     has = set(inv.software.columns)
     extra = {c: F.col(c) if c in has else F.lit(None).cast(t) for c, t in (("risk_band", "string"), ("risk_score", "int"), ("is_builtin", "boolean"))}
-    titles = inv.software.where(~is_system_package(F.col("name"), F.col("category"), F.col("sources"))).select("name", "display_name", "category", "sources", *[v.alias(k) for k, v in extra.items()])
+    titles = inv.software.where(~is_system_package(F.col("name"), F.col("category"), F.col("sources"))).select("name", "display_name", "category", "sources", *_last_version(inv), *[v.alias(k) for k, v in extra.items()])
     rare = rare.join(titles, "name")
     lists_of = edges.join(rare.select("name"), "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("hostname")).alias("affected_hosts"), F.sort_array(F.collect_set("platform")).alias("platforms"))
     users = users_by_software(inv, rare.select("name"), hosts)
@@ -104,28 +108,30 @@ def detect_outliers(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | Non
     reason = F.when(takes, F.format_string("Risk is %s from the browser-extension risk score (%s/100, band %s). Installed on %d host(s).", F.upper(level), F.col("risk_score").cast("string"), "risk_band", "host_count")).otherwise(
         F.format_string("Risk is %s because this software is installed on only %d host(s) (<%d threshold).", F.upper(level), "host_count", "threshold"))
     out = rare.join(lists_of, "name").join(users, "name", "left")
-    return _detections(out, level, F.lit("Outlier Software"), "outlier", F.format_string("Verify if this software is authorized. Found on only %d host(s). Consider removing if unauthorized.", "host_count"), reason)
+    details = F.format_string("Installed on %d host(s) only - unusual for enterprise software", "host_count")
+    return _detections(out, level, F.lit("Outlier Software"), "outlier", details, F.format_string("Verify if this software is authorized. Found on only %d host(s). Consider removing if unauthorized.", "host_count"), reason)
 
 
-def _detections(df: DataFrame, level: Column, category: Column, kind: str, advice: Column, reason: Column) -> DataFrame:
+def _detections(df: DataFrame, level: Column, category: Column, kind: str, details: Column, advice: Column, reason: Column) -> DataFrame:
     none = F.array().cast("array<string>")
+    version = F.nullif("version", F.lit("")) if "version" in df.columns else F.lit(None).cast("string")
     return df.select(
         F.col("name").alias("software_name"), F.coalesce(F.nullif("display_name", F.lit("")), "name").alias("display_name"), software_type(F.col("name"), F.col("sources")).alias("software_type"),
         level.alias("risk_level"), category.alias("category"), F.lit(kind).alias("detection_type"), F.col("host_count").cast("long").alias("host_count"),
-        F.coalesce("affected_hosts", none).alias("affected_hosts"), F.coalesce("users", none).alias("affected_users"), F.coalesce("platforms", none).alias("platforms"), advice.alias("recommendation"), reason.alias("risk_reason"),
+        F.coalesce("affected_hosts", none).alias("affected_hosts"), F.coalesce("users", none).alias("affected_users"), F.coalesce("platforms", none).alias("platforms"), F.coalesce(version, F.lit("Unknown")).alias("version"), details.alias("details"), advice.alias("recommendation"), reason.alias("risk_reason"),
     )
 
 
 def detect_high_risk(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
     """Titles of the curated categories on hosts in scope, always high. Titles are classified once, then joined."""
     category = high_risk_category(F.col("name"), F.col("display_name"), F.col("category"))
-    titles = inv.software.where(~is_system_package(F.col("name"), F.col("category"), F.col("sources"))).withColumn("matched", category).where(F.col("matched").isNotNull()).select("name", "display_name", "sources", "matched")
+    titles = inv.software.where(~is_system_package(F.col("name"), F.col("category"), F.col("sources"))).withColumn("matched", category).where(F.col("matched").isNotNull()).select("name", "display_name", "sources", "matched", *_last_version(inv))
     edges = installs(inv, hosts, whitelist).join(titles.select("name"), "name", "left_semi")
     found = edges.groupBy("name").agg(F.count_distinct("host_id").alias("host_count"), F.sort_array(F.collect_set("hostname")).alias("affected_hosts"), F.sort_array(F.collect_set("platform")).alias("platforms"))
     out = found.join(titles, "name").join(users_by_software(inv, found.select("name"), hosts), "name", "left")
     advice = F.coalesce(*[F.when(F.col("matched") == k, v) for k, v in lists.ADVICE.items()])
     reason = F.format_string("Risk is HIGH because '%s' matches the '%s' category, which is flagged for security review.", "name", "matched")
-    return _detections(out, F.lit("high"), F.col("matched"), "high_risk", advice, reason)
+    return _detections(out, F.lit("high"), F.col("matched"), "high_risk", F.concat(F.lit("High-risk category: "), "matched"), advice, reason)
 
 
 def detect_version_sprawl(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | None = None, top: int = 20) -> DataFrame:
@@ -138,8 +144,11 @@ def detect_version_sprawl(inv: Inventory, hosts: DataFrame, whitelist: DataFrame
     found = edges.join(F.broadcast(most.select("name")), "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("version")).alias("versions"), F.sort_array(F.collect_set("hostname")).alias("affected_hosts"))
     out = most.join(found, "name").join(users_by_software(inv, most.select("name"), hosts), "name", "left").withColumn("platforms", F.array().cast("array<string>"))
     level = F.when(F.col("version_count") > 5, "high").when(F.col("version_count") > 3, "medium").otherwise("low")
-    made = _detections(out.withColumn("shown", F.concat(F.col("version_count").cast("string"), F.lit(" versions: "), F.array_join(F.slice("versions", 1, 3), ", "), F.when(F.size("versions") > 3, "...").otherwise(""))), level, F.lit("Version Management"), "version_sprawl", F.format_string("Standardize software versions across fleet. Currently running %d different versions.", "version_count"), F.format_string("Risk is %s because there are %d distinct versions installed, indicating poor patch management.", F.upper(level), "version_count"))
-    return made
+    shown = F.concat(F.col("version_count").cast("string"), F.lit(" versions: "), F.array_join(F.slice("versions", 1, 3), ", "), F.when(F.size("versions") > 3, "...").otherwise(""))
+    details = F.format_string("Version sprawl detected - %d different versions installed", "version_count")
+    advice = F.format_string("Standardize software versions across fleet. Currently running %d different versions.", "version_count")
+    reason = F.format_string("Risk is %s because there are %d distinct versions installed, indicating poor patch management.", F.upper(level), "version_count")
+    return _detections(out.withColumn("version", shown), level, F.lit("Version Management"), "version_sprawl", details, advice, reason)
 
 
 def detections(inv: Inventory, hosts: DataFrame, whitelist: DataFrame | None = None, risk: str = "all", kind: str = "all", host_count: str = "all", user_count: str = "all", software_kind: str = "all", platform: str | None = None) -> DataFrame:

@@ -66,17 +66,17 @@ def _word(text: str, words) -> str:
 
 
 RISK = "CASE " + " ".join(f"WHEN {_word('lower(p_type)', (k.lower(), *w))} THEN '{k}'" for k, w in lists.HIGH_RISK.items()) + " " + " ".join(f"WHEN {_word('name', w)} OR {_word('lower(display_name)', w)} THEN '{k}'" for k, w in lists.HIGH_RISK.items()) + " END"
-_DET = "name AS software_name, display_name, {type} AS software_type, {level} AS risk_level, {category} AS category, '{kind}' AS detection_type, host_count, affected_hosts, coalesce(users, '') AS affected_users, {platforms} AS platforms, {advice} AS recommendation, {reason} AS risk_reason"
+_DET = "name AS software_name, display_name, {type} AS software_type, {level} AS risk_level, {category} AS category, '{kind}' AS detection_type, host_count, affected_hosts, coalesce(users, '') AS affected_users, {platforms} AS platforms, {version} AS version, {details} AS details, {advice} AS recommendation, {reason} AS risk_reason"
 OUTLIERS = f"""{THRESHOLDS}{SYSTEM}{EDGES}{USERS}, rare AS (SELECT name, count(DISTINCT host_id) AS host_count, string_agg(DISTINCT hostname, '|' ORDER BY hostname) AS affected_hosts, string_agg(DISTINCT platform, '|' ORDER BY platform) AS platforms
   FROM edges GROUP BY name HAVING count(DISTINCT host_id) <= (SELECT max(threshold) FROM thresholds)),
-outliers AS (SELECT {_DET.format(type=TYPE, level="CASE WHEN host_count = 1 THEN 'high' ELSE 'medium' END", category="'Outlier Software'", kind="outlier", platforms="platforms", advice="'Verify if this software is authorized. Found on only ' || host_count || ' host(s). Consider removing if unauthorized.'", reason="'Risk is ' || CASE WHEN host_count = 1 THEN 'HIGH' ELSE 'MEDIUM' END || ' because this software is installed on only ' || host_count || ' host(s) (<' || (SELECT max(threshold) FROM thresholds) || ' threshold).'")}
+outliers AS (SELECT {_DET.format(type=TYPE, level="CASE WHEN host_count = 1 THEN 'high' ELSE 'medium' END", category="'Outlier Software'", kind="outlier", platforms="platforms", version="'Unknown'", details="'Installed on ' || host_count || ' host(s) only - unusual for enterprise software'", advice="'Verify if this software is authorized. Found on only ' || host_count || ' host(s). Consider removing if unauthorized.'", reason="'Risk is ' || CASE WHEN host_count = 1 THEN 'HIGH' ELSE 'MEDIUM' END || ' because this software is installed on only ' || host_count || ' host(s) (<' || (SELECT max(threshold) FROM thresholds) || ' threshold).'")}
   FROM rare JOIN titles USING (name) LEFT JOIN by_title USING (name) WHERE NOT is_system)"""
 HIGH = f""", hr AS (SELECT *, {RISK} AS matched FROM titles WHERE NOT is_system), hr_hosts AS (SELECT name, count(DISTINCT host_id) AS host_count, string_agg(DISTINCT hostname, '|' ORDER BY hostname) AS affected_hosts, string_agg(DISTINCT platform, '|' ORDER BY platform) AS platforms FROM edges GROUP BY name),
-high AS (SELECT {_DET.format(type=TYPE, level="'high'", category="matched", kind="high_risk", platforms="platforms", advice="CASE matched " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lists.ADVICE.items()) + " END", reason="'Risk is HIGH because ''' || name || ''' matches the ''' || matched || ''' category, which is flagged for security review.'")}
+high AS (SELECT {_DET.format(type=TYPE, level="'high'", category="matched", kind="high_risk", platforms="platforms", version="'Unknown'", details="'High-risk category: ' || matched", advice="CASE matched " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lists.ADVICE.items()) + " END", reason="'Risk is HIGH because ''' || name || ''' matches the ''' || matched || ''' category, which is flagged for security review.'")}
   FROM hr_hosts JOIN hr USING (name) LEFT JOIN by_title USING (name) WHERE matched IS NOT NULL)"""
-SPRAWL = f""", sp0 AS (SELECT name, count(DISTINCT version) AS version_count, count(DISTINCT host_id) AS host_count, string_agg(DISTINCT hostname, '|' ORDER BY hostname) AS affected_hosts FROM edges WHERE version NOT IN ('', 'unknown') GROUP BY name HAVING count(DISTINCT version) > 2 ORDER BY version_count DESC, name LIMIT 20),
+SPRAWL = f""", sp0 AS (SELECT name, count(DISTINCT version) AS version_count, count(DISTINCT host_id) AS host_count, string_agg(DISTINCT hostname, '|' ORDER BY hostname) AS affected_hosts, list_sort(list(DISTINCT version)) AS versions FROM edges WHERE version NOT IN ('', 'unknown') GROUP BY name HAVING count(DISTINCT version) > 2 ORDER BY version_count DESC, name LIMIT 20),
 sp1 AS (SELECT *, CASE WHEN version_count > 5 THEN 'high' WHEN version_count > 3 THEN 'medium' ELSE 'low' END AS lvl FROM sp0 JOIN titles USING (name) WHERE NOT is_system),
-sprawl AS (SELECT {_DET.format(type=TYPE, level="lvl", category="'Version Management'", kind="version_sprawl", platforms="''", advice="'Standardize software versions across fleet. Currently running ' || version_count || ' different versions.'", reason="'Risk is ' || upper(lvl) || ' because there are ' || version_count || ' distinct versions installed, indicating poor patch management.'")} FROM sp1 LEFT JOIN by_title USING (name))"""
+sprawl AS (SELECT {_DET.format(type=TYPE, level="lvl", category="'Version Management'", kind="version_sprawl", platforms="''", version="version_count || ' versions: ' || array_to_string(list_slice(versions, 1, 3), ', ') || CASE WHEN version_count > 3 THEN '...' ELSE '' END", details="'Version sprawl detected - ' || version_count || ' different versions installed'", advice="'Standardize software versions across fleet. Currently running ' || version_count || ' different versions.'", reason="'Risk is ' || upper(lvl) || ' because there are ' || version_count || ' distinct versions installed, indicating poor patch management.'")} FROM sp1 LEFT JOIN by_title USING (name))"""
 ALL = OUTLIERS + HIGH + SPRAWL + ", found AS (SELECT * FROM outliers UNION ALL SELECT * FROM high UNION ALL SELECT * FROM sprawl)"
 
 
