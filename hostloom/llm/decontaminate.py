@@ -70,7 +70,9 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     n_found = found.count()
     placed = found.join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("cands"))
     docs = documents.select(F.struct("*").alias("row"), row_key().alias("key"))
-    rows = docs.join(small(placed, n_found), "key", "left").select("row", terms(F.col("row.text")).alias("doc"), F.coalesce("cands", F.array().cast(placed.schema["cands"].dataType)).alias("cands"))
+    joined = docs.join(small(placed, n_found), "key", "left").select("row", F.coalesce("cands", F.array().cast(placed.schema["cands"].dataType)).alias("cands"))
+    # explode, not a plain column: a filter on the hits would otherwise cut the text into words again for each word compared
+    rows = joined.select("row", "cands", F.explode(F.array(terms(F.col("row.text")))).alias("doc"))
 
     def occurrences(c):
         same = F.transform(c["words"], lambda w, j: (c["diagonal"] + j >= 0) & F.coalesce(F.get("doc", c["diagonal"] + j) == w, F.lit(False)))
@@ -112,7 +114,7 @@ def proximity(documents: DataFrame, benchmark: DataFrame, within: int = 3, share
     found = settle(phrases(documents, benchmark, window, anchors))
     n_found = found.count()
     places = found.groupBy("key", "item", F.floor(F.col("diagonal") / (within + 1)).alias("lane")).agg(F.min("diagonal").alias("diagonal")).join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("cands"))
-    rows = docs.join(small(places, n_found), "key").select("doc_id", terms(F.col("text")).alias("doc"), "cands")
+    rows = docs.join(small(places, n_found), "key").select("doc_id", "cands", F.explode(F.array(terms(F.col("text")))).alias("doc"))
 
     def near(c):
         hit = F.transform(c["words"], lambda w, j: F.array_contains(F.slice("doc", F.greatest(c["diagonal"] + j - within, F.lit(0)) + 1, F.lit(2 * within + 1)), w))
