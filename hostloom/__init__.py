@@ -1,0 +1,8 @@
+"""Host inventory analytics and training-data operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the code they use, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -333,17 +333,18 @@ def score_extensions(groups: DataFrame, listings: DataFrame, blocklist: DataFram
     A built-in with no block-list or feed hit scores 0.
     """
     l = listings.withColumnRenamed("store", "l_store").withColumnRenamed("extension_id", "l_id")  # noqa: E741
-    df = groups.join(l, (F.col("store") == F.col("l_store")) & (F.col("extension_id") == F.col("l_id")), "left").drop("l_store", "l_id")
-    blocked = match_blocklist(df.groupBy("extension_id").agg(F.flatten(F.collect_list("versions")).alias("versions")), blocklist).withColumnRenamed("why", "blocked_why")
-    df = df.join(blocked, "extension_id", "left").join(match_feeds(groups, feeds), "extension_id", "left")
+    base = groups.join(l, (F.col("store") == F.col("l_store")) & (F.col("extension_id") == F.col("l_id")), "left").drop("l_store", "l_id")
+    blocked = match_blocklist(groups.groupBy("extension_id").agg(F.flatten(F.collect_list("versions")).alias("versions")), blocklist).withColumnRenamed("why", "blocked_why")
     verified = store_install_verified(installs)
-    df = df.join(publisher_reputable(df, publishers, verified), "key", "left").join(verified, "key", "left")
+    trusted = publisher_reputable(base, publishers, verified)
+    # names are judged once for either answer to whether the store vouches, so that they don't hang on all that comes before
+    both = groups.select("name", "display_name").distinct().select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("vouched"))
+    names = name_anomalies(both).select(F.col("name").alias("_name"), F.col("display_name").alias("_shown"), F.col("vouched").alias("_vouched"), "name_penalty", "name_signals")
+    df = base.join(blocked, "extension_id", "left").join(match_feeds(groups, feeds), "extension_id", "left").join(trusted, "key", "left").join(verified, "key", "left")
     badge = (F.coalesce("developer_verified", F.lit(False)) | F.coalesce("established_publisher", F.lit(False))) & (F.coalesce("users", F.lit(0)) >= 100_000) & F.coalesce("verified", F.lit(False))
     df = df.withColumn("vouched", F.coalesce("reputable", F.lit(False)) | badge)
+    df = df.join(names, F.col("name").eqNullSafe(F.col("_name")) & F.col("display_name").eqNullSafe(F.col("_shown")) & (F.col("vouched") == F.col("_vouched")), "left").drop("_name", "_shown", "_vouched")
     df = threat(trust(capability(permission_sets(df)), as_of))
-    names = name_anomalies(df.select("name", "display_name", "vouched").distinct())
-    joint = [df[c].eqNullSafe(names[c]) for c in ("name", "display_name", "vouched")]
-    df = df.join(names, joint[0] & joint[1] & joint[2], "left").select(df["*"], names["name_penalty"], names["name_signals"])
     df = df.crossJoin(F.broadcast(fleet_hosts)).withColumn("exposure_score", exposure(F.col("host_count"), F.size(F.coalesce("versions", F.array().cast(_NONE)))))
     users, hosts, reputable = F.col("users"), F.coalesce("host_count", F.lit(0)), F.coalesce("reputable", F.lit(False))
     few = F.when((users < 1000) & ~reputable, F.when(users < 100, 8).otherwise(4)).otherwise(0)

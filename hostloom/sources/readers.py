@@ -43,7 +43,12 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str, skip_builtin: bool = False) -> DataFrame:
     """Labels but the reserved ones, or (skip_builtin) but all built-in ones; types are lower-cased, regular and dynamic by default."""
-    rows = spark.read.schema(LABEL).json(path).where(F.col("id").isNotNull())
+    return labels(spark.read.schema(LABEL).json(path), skip_builtin)
+
+
+def labels(raw: DataFrame, skip_builtin: bool = False) -> DataFrame:
+    """The rule of `read_labels` on rows of its schema."""
+    rows = raw.where(F.col("id").isNotNull())
     kind = F.coalesce(F.lower(F.nullif(F.trim("label_type"), F.lit(""))), F.lit("regular"))
     rows = rows.where(kind != "builtin") if skip_builtin else rows.where(~F.coalesce("name", F.lit("")).isin(*RESERVED_LABELS))
     return rows.select(F.col("id").alias("label_id"), "name", "description", kind.alias("label_type"), F.coalesce(F.lower(F.nullif(F.trim("label_membership_type"), F.lit(""))), F.lit("dynamic")).alias("membership_type"), "query", "host_count")
@@ -110,7 +115,11 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
 
 def recent_cycles(spark: SparkSession, path: str, n: int = 10, schema: str = "cycle bigint, started_at timestamp, status string, findings bigint") -> DataFrame:
     """The last n cycle records (at most 100), newest first; malformed lines are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col("cycle").isNotNull()).orderBy(F.desc("started_at"), F.desc("cycle")).limit(min(n, 100))
+    return newest_cycles(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), n)
+
+
+def newest_cycles(cycles: DataFrame, n: int) -> DataFrame:
+    return cycles.where(F.col("cycle").isNotNull()).orderBy(F.desc("started_at"), F.desc("cycle")).limit(min(n, 100))
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
