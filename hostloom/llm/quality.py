@@ -56,17 +56,25 @@ def hashed_features(data: bytes, words: np.ndarray, bits: int = BITS) -> tuple[n
     return at.astype(np.int32), (value / max(1e-9, np.sqrt((value**2).sum()))).astype(np.float32)
 
 
+#: Rows that the fit and the sample's transport handle at once.
+CHUNK = 128
+
+
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, rounds: int = 150, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and, last, the bias; full-batch Adam over a bounded sample, so reruns agree."""
-    at = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    """Weights and, last, the bias; full-batch Adam over a bounded sample, so reruns agree. Gradients are summed over
+    chunks of rows, so nothing but the sparse rows themselves is held."""
     w, m, v = np.zeros(dims + 1), np.zeros(dims + 1), np.zeros(dims + 1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, value * w[at], len(rows)) + w[-1]
-        slope = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.append(np.bincount(at, value * slope[owner], dims), slope.sum()) + ridge * np.append(w[:-1], 0) / len(rows)
+        g = ridge * np.append(w[:-1], 0) / len(rows)
+        for k in range(0, len(rows), CHUNK):
+            part = rows[k : k + CHUNK]
+            at, value = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
+            owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(r[0]) for r in part])
+            z = np.bincount(owner, value * w[at], len(part)) + w[-1]
+            slope = weight[k : k + CHUNK] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[k : k + CHUNK])
+            g[:-1] += np.bincount(at, value * slope[owner], dims)
+            g[-1] += slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return w
@@ -102,14 +110,21 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     def features(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, quality = batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()
-            made = [hashed_features(t, word_hashes(t), bits) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array(quality, pa.int32())], ["doc_id", "at", "value", "quality"])
-
-    rows = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "doc_id long, at binary, value binary, quality int").collect()  # about train_rows of them
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.at)))
-    x = [(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.value), np.float32)) for r in rows]
-    y = np.array([r.quality == 0 for r in rows], dtype=np.float64)
+            for k in range(0, len(batch), CHUNK):
+                part = batch.slice(k, CHUNK)
+                made = [hashed_features(t, word_hashes(t), bits) for t in as_bytes(part.column(1))]
+                packed = [np.asarray(part.column(0)), np.array([len(m[0]) for m in made], np.int32), np.asarray(part.column(2)), np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["ids", "sizes", "quality", "at", "value"])
+
+    sent = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "ids binary, sizes binary, quality binary, at binary, value binary")
+    rows = []
+    for r in sent.collect():  # about train_rows texts, packed by CHUNK
+        cuts = np.cumsum(np.frombuffer(bytes(r.sizes), np.int32))[:-1]
+        parts = zip(np.split(np.frombuffer(bytes(r.at), np.int32), cuts), np.split(np.frombuffer(bytes(r.value), np.float32), cuts), strict=True)
+        rows += zip(np.frombuffer(bytes(r.ids), np.int64).tolist(), np.frombuffer(bytes(r.quality), np.int32).tolist(), parts, strict=True)
+    rows.sort(key=lambda r: (r[0], len(r[2][0]), r[2][0].tobytes()[:64]))
+    x = [r[2] for r in rows]
+    y = np.array([r[1] == 0 for r in rows], dtype=np.float64)
     held = np.array([i % 5 == 4 for i in range(len(rows))], dtype=bool)
     if len(rows) < 10 or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return None
