@@ -211,6 +211,7 @@ def one_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     found = settle(near_duplicates(documents, size, percent, bits).where(F.col("doc_id").isNotNull()))
     per_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
     odd = settle(per_id.where((F.col("component_id") != F.col("doc_id")) | (F.col("n_rows") > 1)).select(F.col("doc_id").alias("odd_id"), (F.col("component_id") == F.col("doc_id")).alias("stays")))
-    marked = documents.join(small(odd, odd.count()), F.col("doc_id") == F.col("odd_id"), "left")
-    once = marked.where(F.col("stays").isNull()).select(documents.columns)
-    return once.unionByName(marked.where("stays").select(documents.columns).dropDuplicates(["doc_id"]))
+    packed = documents.select("doc_id", F.struct("*").alias("row"))  # whatever the other columns are called
+    marked = packed.join(small(odd, odd.count()), F.col("doc_id") == F.col("odd_id"), "left")
+    once = marked.where(F.col("stays").isNull()).select("row.*")
+    return once.unionByName(marked.where("stays").dropDuplicates(["doc_id"]).select("row.*"))
