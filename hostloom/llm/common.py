@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +47,14 @@ def row_key() -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+#: Rows of an Arrow batch that are held as Python objects at once.
+SLICE = 128
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary()).to_pylist()
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of a batch's column, a slice at a time, so a batch is never held twice."""
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).cast(pa.large_binary()).to_pylist()
 
 
 # --- vectorised hashes -------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from hostloom.llm.common import mix
 
 ROWS, CHUNK_BITS = 2, 20
 #: Keys that a task holds before it hands its cells on.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:

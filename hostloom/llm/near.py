@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm import countmin
-from hostloom.llm.common import as_bytes, mix, rolling, settle, small, word_hashes
+from hostloom.llm.common import SLICE, as_bytes, mix, rolling, settle, small, word_hashes
 from hostloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -129,9 +129,12 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
 
     def describe(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(data or b"", size) for data in as_bytes(batch.column(1))]
-            named = [digest(f) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([d[0] for d in named], pa.int64()), pa.array([d[1] for d in named], pa.int64())], ["doc_id", "n_shingles", "s1", "s2"])
+            out = []
+            for data in as_bytes(batch.column(1)):
+                found = shingles(data or b"", size)
+                out.append((len(found), *digest(found)))
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_shingles", "s1", "s2"])
 
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     rows = settle(docs.mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long"))
@@ -179,11 +182,13 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, size: in
     members = members.join(cuts, "component")
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingles(data, size) for data in as_bytes(batch.column(1))]
-            own = np.array([digest(f)[0] for f in made], dtype=np.int64) == np.asarray(batch.column(2))  # an id may have other texts
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in made], pa.binary()), batch.column(3), batch.column(4)], ["rep", "found", "component", "blocks"])
-            yield out.filter(pa.array(own))
+        for whole in batches:
+            for k in range(0, len(whole), SLICE):
+                batch = whole.slice(k, SLICE)
+                made = [shingles(data, size) for data in as_bytes(batch.column(1))]
+                own = np.array([digest(f)[0] for f in made], dtype=np.int64) == np.asarray(batch.column(2))  # an id may have other texts
+                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in made], pa.binary()), batch.column(3), batch.column(4)], ["rep", "found", "component", "blocks"])
+                yield out.filter(pa.array(own))
 
     n = members.count()
     wanted = small(members.select(F.col("rep").alias("doc_id"), "s1", "component", "blocks"), n)
