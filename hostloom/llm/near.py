@@ -2,7 +2,7 @@
 
 A document is its set of word shingles. Shingles are dealt by hash into the parts of a parity sketch; each toggles bits
 of its part, so sketches of two sets differ in at most as many places as the sets do. Sets of n and m shingles that link
-at 90 % differ in at most (n + m) / 19 shingles, and that is fewer than the parts of their size band: one part at least
+at 90 % differ in at most (n + m) / 19 shingles (at 80 % in (n + m) / 9), and that is fewer than the parts of their size band: one part at least
 is equal (pigeonhole), and documents that share no part of a band can't link.
 
 1. Sets as digests, one row per document; equal sets are one from here on.

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -68,3 +69,35 @@ def test_a_stage_of_repeats_finds_a_planted_passage(spark):
     passage = " ".join(f"planted{i}" for i in range(55))
     df = spark.createDataFrame([(i, f"before{i} {passage} after{i}") for i in range(3)] + [(9, " ".join(f"clean{i}" for i in range(90)))], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substrings.strip_repeats(df).collect()} == {0: 55, 1: 55, 2: 55, 9: 0}
+
+
+def test_the_stage_of_near_copies_against_brute_force(spark):
+    rng, plain = np.random.default_rng(5), {}
+    for group in range(12):
+        first = [f"g{group}w{k}" for k in range(int(rng.integers(3, 300)))] if group else [f"v{k}" for k in range(200)]
+        plain[10 * group] = first
+        for copy in range(1, 6):
+            out = list(first)
+            for k in (25, 75, 125, 175) if not group and copy == 1 else rng.choice(len(first), int(len(first) * copy * 0.008), replace=False):
+                out[k] = f"changed{group}x{copy}x{k}"
+            plain[10 * group + copy] = out + ["more"] * int(rng.integers(0, 3)) * (group > 0)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for i, w in plain.items()}
+    least = {i: i for i in plain}
+    for _ in plain:
+        least = {i: min(least[j] for j in plain if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])) for i in plain}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in plain.items()], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert least[1] == 0 and 1 not in kept
+    assert kept == sorted(set(least.values())) and len(kept) > 12
+
+
+def test_parts_lose_no_link_at_the_stage_s_similarity():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 4, 5, 7, 8, 15, 16, 31, 32, 33, 63, 64, 100, 127, 128, 500, 2000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            drop, add = rng.integers(0, n // 4 + 2, 2)
+            b = np.unique(np.concatenate([a[: max(0, n - drop)], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= corpus_pipeline.PERCENT * (len(a) + len(b) - both):
+                assert len(np.intersect1d(near.parts(a, 80), near.parts(b, 80))), (n, drop, add)
