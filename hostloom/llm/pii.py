@@ -157,8 +157,9 @@ def find(documents: DataFrame, train_spans: int = TRAIN_SPANS, add_at: float = A
     Base spans come from fixed patterns, leftmost and non-overlapping per kind. Looser candidates (number groups,
     spelled-out addresses) that overlap no base span are judged: labelers vote, EM over all vote patterns of the corpus
     estimates what each vote is worth, and a logistic classifier of shape and context, fitted to those posteriors,
-    adds `other` spans from `add_at` on where at least one labeler spoke for it and none against. Offsets are code
-    points, end exclusive. Null counts as empty; without spans of both kinds nothing is added.
+    adds `other` spans from `add_at` on. Votes reach the classifier by way of EM only: no labeler has a veto, and a span
+    that none voted for can be found. Offsets are code points, end exclusive. Null counts as empty; without spans of
+    both kinds nothing is added.
     """
     weights = train(documents, train_spans)
 
@@ -170,8 +171,8 @@ def find(documents: DataFrame, train_spans: int = TRAIN_SPANS, add_at: float = A
                 digits = _has_digit(data)
                 base, more = base_spans(data, digits), []
                 if weights is not None:
-                    for s, e, k, v in candidates(data, digits, base):
-                        if k < 0 and max(v) > 0 and min(v) >= 0 and 1 / (1 + np.exp(-(weights[features(data, s, e)].sum() + weights[-1]))) >= add_at:
+                    for s, e, k, _ in candidates(data, digits, base):
+                        if k < 0 and 1 / (1 + np.exp(-(weights[features(data, s, e)].sum() + weights[-1]))) >= add_at:
                             more.append((s, e, 4))
                 every = sorted(base + more, key=lambda x: (x[0], x[2]))
                 if every:

@@ -205,6 +205,21 @@ def test_pii_against_plain_patterns(spark, docs):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_no_labeler_vetoes_a_loose_span(spark):
+    rng = np.random.default_rng(4)
+    n = lambda k: str(rng.integers(10 ** (k - 1), 10**k))
+    forms = [
+        ("my phone number {} is new", lambda: f"{n(3)}-555-{n(4)}", True), ("phone {} here", lambda: f"{n(3)}-555-{n(4)}", True), ("social security number {} given", lambda: f"{n(3)}-{n(2)}-{n(4)}", True), ("ssn {} here", lambda: f"{n(3)}-{n(2)}-{n(4)}", True),
+        ("phone no {} again", lambda: f"555 {n(3)} {n(4)}", True), ("no tengo otro telefono {} hoy", lambda: f"{n(3)}-555-{n(4)}", True), ("order number {} shipped", lambda: n(9), False), ("invoice no {} paid", lambda: n(9), False), ("dated {} again", lambda: f"20{n(2)}-1{rng.integers(0, 3)}-{n(2)}", False), ("item ref {} total", lambda: n(10), False),
+    ]
+    said = [(form, number(), personal) for form, number, personal in forms for _ in range(40)]
+    said += [("phone number {}", "743-555-3824", True), ("social security number {}", "123-45-6789", True)]
+    df = spark.createDataFrame([(i, form.format(x)) for i, (form, x, _) in enumerate(said)], "doc_id long, text string")
+    for r in pii.find(df).collect():
+        form, x, personal = said[r.doc_id]
+        assert r.spans == (f"other:{form.index('{}')}:{form.index('{}') + len(x)}" if personal else ""), (form, x)
+
+
 def test_reliabilities_follow_the_votes():
     post = pii.reliabilities({(1, 1, 0, 0, 0, 0): 50, (1, 0, 1, 0, 0, 0): 40, (0, 0, 0, -1, 0, 0): 60, (0, 0, 0, -1, -1, 0): 30, (0, 0, 0, 0, 0, 0): 20})
     assert post[(1, 1, 0, 0, 0, 0)] > 0.9 > 0.1 > post[(0, 0, 0, -1, -1, 0)]
