@@ -23,6 +23,8 @@ FDR, LEAST_P = 0.01, 1e-3
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
@@ -65,8 +67,8 @@ def base_spans(data: bytes, buf: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def encoding(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; None for digits alone and for letters of one case alone."""
-    if token.isdigit() or token.isalpha() and (token.islower() or token.isupper()):
+    """The narrowest alphabet that holds the token; None for digits alone, which are numbers."""
+    if token.isdigit():
         return None
     return next((name for name, chars in ALPHABETS.items() if not set(token) - set(chars)), None)
 
@@ -109,17 +111,34 @@ def battery(token: str, name: str) -> tuple[float, float]:
     return combined, max(_tail((mean - folded) / sd), 10.0 ** (-(BINS - 1) / 4))
 
 
+def pieces(data: bytes, s: int, e: int) -> set[tuple[int, int]]:
+    """The tokens that a run may hold: what lies between its =, whole and cut at / and +, at - and _, and at all four,
+    so neither a name nor a path in front hides a token, whichever base it is written in."""
+    cuts = (rb"[^=]+", rb"[^=/+]+", rb"[^=_-]+", rb"[^=/+_-]+")
+    return {(s + m.start(), s + m.end()) for cut in cuts for m in re.finditer(cut, data[s:e]) if len(m[0]) >= LEAST["random"]}
+
+
 def candidates(data: bytes, buf: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int]]:
-    """(start, end, stratum, bin of the p-value) of tokens apart from the base spans that pass as random."""
-    for s, e in runs_of(buf, _TOKEN, LEAST["random"]):
-        token = data[s:e].decode().rstrip("=")
-        e = s + len(token)
-        if len(token) < LEAST["random"] or any(s < b[1] and b[0] < e for b in base):
-            continue
-        name = encoding(token)
-        if name:
-            combined, written = battery(token, name)
-            yield s, e, f"{name}:{sum(len(token) >= x for x in LENGTHS)}", int(-4 * math.log10(written)) if combined >= LEAST_P else -1
+    """(start, end, stratum, bin of the p-value, -1 where it doesn't pass as random) of tokens apart from the base
+    spans. They may overlap: a run is tested whole and in its pieces."""
+    for run in runs_of(buf, _TOKEN, LEAST["random"]):
+        for s, e in sorted(pieces(data, *run)):
+            if any(s < b[1] and b[0] < e for b in base):
+                continue
+            token = data[s:e].decode()
+            name = encoding(token)
+            if name:
+                combined, written = battery(token, name)
+                yield s, e, f"{name}:{sum(len(token) >= x for x in LENGTHS)}", int(-4 * math.log10(written)) if combined >= LEAST_P else -1
+
+
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of tokens that don't overlap, out of (start, end, bin): the surest first, of equals the shortest."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0])):
+        if not any(s < y and x < e for x, y in out):
+            out.append((s, e))
+    return out
 
 
 def cutoffs(hist: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:
@@ -142,7 +161,7 @@ def scan(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row per document row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Base spans come from fixed patterns, leftmost and non-overlapping per kind. The battery adds `random` spans:
-    tokens of 20 or more characters that overlap no base span, whose symbols pass chi-squared uniformity, runs and
+    tokens of 20 or more characters (runs of letters, digits and + / _ -, whole and in the pieces between these) that overlap no base span, whose symbols pass chi-squared uniformity, runs and
     serial-correlation tests in the encoding they seem to be in, and that stand out against written language at the
     false-discovery rate within all tokens of their encoding and length in the corpus. Offsets are code points, end
     exclusive. Null counts as empty; texts of any length are scanned whole; repeated rows get equal results.
@@ -166,7 +185,7 @@ def scan(documents: DataFrame, fdr: float = FDR) -> DataFrame:
                 data = data or b""
                 buf = np.frombuffer(data, dtype=np.uint8)
                 base = base_spans(data, buf)
-                more = [(s, e, 3) for s, e, stratum, b in candidates(data, buf, base) if b >= least.get(stratum, BINS + 1)]
+                more = [(s, e, 3) for s, e in apart([(s, e, b) for s, e, stratum, b in candidates(data, buf, base) if b >= least.get(stratum, BINS + 1)])]
                 every = sorted(base + more, key=lambda x: (x[0], x[2]))
                 if every:
                     point = np.append(0, np.cumsum((buf & 0xC0) != 0x80))

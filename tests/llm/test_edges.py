@@ -171,6 +171,30 @@ def test_secrets_against_plain_patterns(spark, docs):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_random_tokens_behind_names_and_paths_are_found(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda name, n: "".join(rng.choice(list(secrets.ALPHABETS[name]), n))
+    forms = [("aws_secret_access_key={}", "base64"), ("auth={}", "base62"), ("x=1=signature={}", "base64url"), ("see /my-app/{} there", "base62"), ("/my-app/releases/of/this/very/long/path/{}", "base62"), ("my-app+{}==", "base62"), ("key {}", "lower"), ("KEY_OF/{}", "UPPER")]
+    planted, texts = {}, []
+    for form, name in forms:
+        for _ in range(40):
+            token = draw(name, 64)
+            planted[len(texts)] = (form.index("{}"), form.index("{}") + 64)
+            texts.append(form.format(token))
+    wordy = ["aws_secret_access_key=changeme_please_before_deployment", "/usr/share/my-app/internationalization/Resources", "some-long-name/with_parts=and+more-words/in_between", "donaudampfschifffahrtsgesellschaftskapitaen"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts + wordy)), "doc_id long, text string")).collect()
+    right = Counter()
+    for r in got:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")]
+        if r.doc_id in planted:
+            s, e = planted[r.doc_id]
+            right[forms[r.doc_id // 40][0]] += any(x <= s + 4 and y >= e - 4 or min(y, e) - max(x, s) >= 32 for x, y in spans)
+            assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
+        else:
+            assert not spans, r
+    assert all(right[form] >= 36 for form, _ in forms), right
+
+
 def test_randomness_battery_parts_words_from_keys():
     rng = np.random.default_rng(3)
     chars = secrets.ALPHABETS["base62"]
