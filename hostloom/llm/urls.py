@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import settle
+from hostloom.llm.common import settle, small
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -57,7 +57,7 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, trees: in
 
     Urls that a rule fits are the labelled ones: the rule decides them, and a sample of about `train_rows` of them
     (by hash of the url, so equal urls go together) fits the trees that decide the others. Suffix statistics (share
-    blocked and count of the host's last two labels) come from that sample, so their table never exceeds it. Null
+    blocked and count of the host's last two labels) are counted over all labelled urls, at every size. Null
     urls and urls without :// have an empty host and path and no rule; the trees judge them as they do others. With
     labels of one kind only, that kind is the verdict of all; with none, allow. Repeated rows get equal results.
     """
@@ -77,11 +77,12 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, trees: in
     suffix = F.substring_index("host", ".", -2)
     traits = base.select("*", suffix.alias("suffix"), *[c.alias(k) for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
     train = settle(traits.where(F.col("ruled").isNotNull() & chosen).withColumn("label", (F.col("ruled") == "block").cast("double")))
-    stats = settle(train.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("c")))
+    stats = settle(labelled.groupBy(suffix.alias("suffix")).agg(F.count_if(F.col("m.verdict") == "block").cast("double").alias("b"), F.count("*").alias("c")))
+    n_stats = stats.count()
     prior = n_block / n
 
     def with_suffix(df: DataFrame) -> DataFrame:
-        seen = df.join(F.broadcast(stats), "suffix", "left")
+        seen = df.join(small(stats, n_stats), "suffix", "left")
         rate = (F.coalesce("b", F.lit(0.0)) + 4 * prior) / (F.coalesce("c", F.lit(0)) + 4)
         seen = seen.withColumn("suffix_rate", rate).withColumn("suffix_log", F.log1p(F.coalesce("c", F.lit(0)).cast("double")))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)

@@ -74,6 +74,16 @@ def test_url_rules_against_a_plain_version(spark):
     assert {r.verdict for r in urls.judge(pages.where("url IS NULL")).collect()} == {"allow"}
 
 
+def test_suffix_statistics_count_all_labelled_urls(spark):
+    # only the suffix tells the two kinds of hosts apart, and the sample for the trees holds few urls of each host
+    rules = (("org", "/a/", "allow"), ("org", "/b/", "block"))
+    hosts = [f"h{i}.org" for i in range(1000, 1400)]
+    listed = [f"http://{h}/{'ab'[i % 2]}/{k:02}" for i, h in enumerate(hosts) for k in range(20)] + [f"http://{h}/c/00" for h in hosts]
+    pages = spark.createDataFrame(list(enumerate(listed)), "page_id long, url string")
+    got = {r.host: r.verdict for r in urls.judge(pages, rules=rules, train_rows=300).where("rule IS NULL").collect()}
+    assert got == {h: ("allow", "block")[i % 2] for i, h in enumerate(hosts)}
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(f"P{i}" for i in range(10, 25))), (2, "one"), (3, None), (4, ""), (None, "same text"), (6, "here twice"), (6, "here twice")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(docs, bench).collect()}
