@@ -3,8 +3,8 @@
 1. Count the benchmark's terms over the whole corpus.
 2. In every benchmark window choose the `anchors` rarest terms. Store the postings (term, document, position) of
    those terms only, and subtract the term's offset in the item: postings of one occurrence meet on one diagonal.
-3. Intersect: a diagonal stays if some window has all of its anchors there (`phrases`), or enough of its terms
-   within a slack of positions (`proximity`).
+3. Intersect: a diagonal stays if some window has all of its anchors there (`phrases`). Near matches have postings of
+   their own, of each item's rarest terms: a place stays if enough of them lie within a slack of it (`near_places`).
 4. Compare the whole item with the document along each diagonal that is left: exact runs of window length are hits.
 """
 
@@ -31,14 +31,19 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("item", F.xxhash64("item_id", "words"))
 
 
-def anchors_of(items: DataFrame, docs: DataFrame, window: int, anchors: int) -> DataFrame:
-    """(term, item, at): the terms of every window that are rarest in the corpus."""
+def lines_of(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, line): an item's terms in order, as (at, n, term), n being the term's count in the corpus."""
     places = items.select("item", F.posexplode("words").alias("at", "term"))
     vocabulary = settle(places.select("term").distinct())
     words = docs.select(F.explode(terms(F.col("text"))).alias("term"))
     counts = settle(words.join(small(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("n")))
     ranked = places.join(small(counts, counts.count()), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    by_item = ranked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "n", "term"))).alias("line"))
+    return ranked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "n", "term"))).alias("line"))
+
+
+def anchors_of(items: DataFrame, docs: DataFrame, window: int, anchors: int) -> DataFrame:
+    """(term, item, at): the terms of every window that are rarest in the corpus."""
+    by_item = lines_of(items, docs)
     width = F.least(F.size("line"), F.lit(window))
     windows = by_item.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("line") - width), lambda s: F.slice("line", s + 1, width))).alias("w"))
     rarest = F.slice(F.array_sort(F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))), 1, anchors)
@@ -102,22 +107,67 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anch
     return with_hits(documents, benchmark, window, anchors).where(F.size("hits") == 0).select("row.*")
 
 
-def proximity(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, item_id, start, matched, n): items of which `share` of the words stand near their place in a document.
+def near_places(documents: DataFrame, items: DataFrame, within: int, share: float, anchors: int) -> DataFrame:
+    """(key, item, lane, starts): where an item may lie near its words' places in a document; lanes part the starts.
 
-    Diagonals of the index, up to `within` apart, count as one place, so inserted or lost words don't part them;
-    `matched` is the number of item words found within `within` positions of where the item would have them.
-    Nulls and empty texts match nothing.
+    Of an item's n words `lost` may be missing, so of any lost + k words k must be near. The rarest are chosen, k being
+    `anchors` where the item has so many: no place with enough words is left out. Words that the corpus lacks are the
+    rarest, have no postings and use up what may be missing.
     """
-    docs = documents.select("doc_id", "text", row_key().alias("key"))
+    docs = documents.select(row_key().alias("key"), "text")
+    n = F.size("line")
+    lost = n - F.ceil(F.lit(share) * n).cast("int")
+    chosen = lines_of(items, docs).select("item", F.least(F.greatest(n - lost, F.lit(1)), F.lit(anchors)).alias("k"), lost.alias("lost"), "line")
+    rarest = F.slice(F.array_sort(F.transform("line", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))), 1, F.col("k") + F.col("lost"))
+    chosen = settle(chosen.select("item", "k", F.explode(rarest).alias("x")).where("x.n > 0").select("item", "k", F.col("x.term").alias("term"), F.col("x.at").alias("at")))
+    by_term = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "k", "at")).alias("places"))
+    met = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term")).join(small(by_term, chosen.count()), "term").select("key", "pos", F.explode("places").alias("p"))
+    # the diagonals within the slack of a start make one lane's width, so they lie in two lanes that follow each other
+    width = 2 * within + 1
+    lane = F.floor((F.col("pos") - F.col("p.at")) / F.lit(width)).cast("int")
+    dealt = met.select("key", "p.item", "p.k", F.struct(F.col("p.at").alias("at"), (F.col("pos") - F.col("p.at")).alias("diagonal")).alias("hit"), F.explode(F.array(lane - 1, lane)).alias("lane"))
+    lanes = dealt.groupBy("key", "item", "lane").agg(F.first("k").alias("k"), F.collect_set("hit").alias("hits")).where(F.size("hits") >= F.col("k"))
+    first = F.col("lane") * width + within
+    met_at = lambda d: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: F.abs(h["diagonal"] - d) <= within), lambda h: h["at"])))
+    return lanes.select("key", "item", "lane", F.filter(F.sequence(first, first + (width - 1)), lambda d: met_at(d) >= F.col("k")).alias("starts")).where(F.size("starts") > 0)
+
+
+def with_near(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
+    """(row: the whole document row, near: (item_id, start, matched, n) of each place of an item); rules of `proximity`."""
     items = settle(benchmark_items(benchmark))
-    found = settle(phrases(documents, benchmark, window, anchors))
+    found = settle(near_places(documents, items, within, share, anchors))
     n_found = found.count()
-    places = found.groupBy("key", "item", F.floor(F.col("diagonal") / (within + 1)).alias("lane")).agg(F.min("diagonal").alias("diagonal")).join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("cands"))
-    rows = docs.join(small(places, n_found), "key").select("doc_id", "cands", F.explode(F.array(terms(F.col("text")))).alias("doc"))
+    placed = found.join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "words", "starts")).alias("cands"))
+    docs = documents.select(F.struct("*").alias("row"), row_key().alias("key"))
+    joined = docs.join(small(placed, n_found), "key", "left").select("row", F.coalesce("cands", F.array().cast(placed.schema["cands"].dataType)).alias("cands"))
+    rows = joined.select("row", "cands", F.explode(F.array(terms(F.col("row.text")))).alias("doc"))
+
+    def matched(words, d):
+        near = lambda w, j: (d + j + within >= 0) & F.array_contains(F.slice("doc", F.greatest(d + j - within, F.lit(0)) + 1, F.greatest(d + j + within + 1, F.lit(0)) - F.greatest(d + j - within, F.lit(0))), w)
+        return F.size(F.filter(F.transform(words, near), lambda x: x))
+
+    def starts(c):
+        told = F.transform(c["starts"], lambda d: F.struct((-matched(c["words"], d)).alias("lost"), d.alias("start"), c["item"].alias("item"), c["item_id"].alias("item_id"), F.size(c["words"]).alias("n")))
+        return F.filter(told, lambda x: -x["lost"] >= F.lit(share) * x["n"])
+
+    told = rows.select("row", F.explode(F.array(F.array_sort(F.flatten(F.transform("cands", starts))))).alias("told"))
+    # the starts with most words first; those too near to one that is kept tell of its place
+    known = lambda kept, x: F.exists(kept, lambda y: (y["item"] == x["item"]) & (F.abs(y["start"] - x["start"]) <= 2 * within))
+    kept = F.aggregate("told", F.filter("told", lambda x: F.lit(False)), lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return told.select("row", F.transform(kept, lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), (-x["lost"]).alias("matched"), x["n"].alias("n"))).alias("near"))
+
+
+def proximity(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
+    """(doc_id, item_id, start, matched, n): items of which `share` of the words stand near their place in a document.
+
+    `matched` is the number of item words found within `within` positions of where an item that starts at `start` would
+    have them, so inserted, lost and replaced words don't hide it. Every start with enough words is told or lies within
+    2 * `within` of a told one that has as many. Nulls and empty texts match nothing.
+    """
+    return with_near(documents, benchmark, within, share, anchors).select(F.col("row.doc_id").alias("doc_id"), F.explode("near").alias("m")).select("doc_id", "m.*")
 
-    def near(c):
-        hit = F.transform(c["words"], lambda w, j: F.array_contains(F.slice("doc", F.greatest(c["diagonal"] + j - within, F.lit(0)) + 1, F.lit(2 * within + 1)), w))
-        return F.struct(c["item_id"].alias("item_id"), c["diagonal"].alias("start"), F.size(F.filter(hit, lambda x: x)).alias("matched"), F.size(c["words"]).alias("n"))
 
-    return rows.select("doc_id", F.explode(F.transform("cands", near)).alias("m")).select("doc_id", "m.*").where(F.col("matched") >= F.lit(share) * F.col("n"))
+def near_contamination(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
+    """One row per document row: doc_id, n_near, near: the places of `proximity`, as item:start:matched:n in order."""
+    told = F.array_sort(F.transform("near", lambda m: F.concat_ws(":", F.coalesce(m["item_id"].cast("string"), F.lit("")), m["start"].cast("string"), m["matched"].cast("string"), m["n"].cast("string"))))
+    return with_near(documents, benchmark, within, share, anchors).select(F.col("row.doc_id").alias("doc_id"), F.size("near").cast("long").alias("n_near"), F.array_join(told, ",").alias("near"))

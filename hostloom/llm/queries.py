@@ -22,6 +22,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op3_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -50,7 +54,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op3_near_matches, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates)}
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

@@ -107,6 +107,35 @@ def test_decontamination(spark, docs):
     assert near_hit and near_hit[0].matched >= 13
 
 
+def test_near_matches_against_a_plain_version(spark):
+    rng = np.random.default_rng(6)
+    items = {1: [f"p{k}" for k in range(15)], 2: [f"q{k}" for k in range(40)], 3: ["solo"], 4: ["two", "words"], 5: ["a", "b", "a", "c"] * 5}
+    once = lambda w, at, new: w[:at] + [new] + w[at + 1 :]
+    texts = [once(items[1], 7, "unseen"), [x for k, w in enumerate(items[1]) for x in ([w, "in"] if k % 8 == 4 else [w])], items[1][:5] + items[1][7:], items[1][:6], ["solo", "x", "two", "words", "two", "y", "words"], []]
+    for _ in range(30):
+        w = [f"z{k}" for k in range(int(rng.integers(0, 12)))]
+        for i in rng.choice([1, 2, 5], 2):
+            w += [x for x in items[int(i)] if rng.random() > 0.22] + ["pad"] * int(rng.integers(0, 3))
+        texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {}
+    for r in decontaminate.proximity(docs, bench).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append((r.start, r.matched))
+    most = {}
+    for i, w in enumerate(texts):
+        for item, words_ in items.items():
+            n = {d: sum(x in w[max(0, d + j - 3) : max(0, d + j + 4)] for j, x in enumerate(words_)) for d in range(-len(words_) - 4, len(w) + 4)}
+            if max(n.values()) >= 0.7 * len(words_):
+                most[(i, item)] = max(n.values())
+            assert all(n[d] == m for d, m in got.get((i, item), []))
+            assert all(any(abs(d - e) <= 6 for e, _ in got[(i, item)]) for d, m in n.items() if m == max(n.values()) and m >= 0.7 * len(words_))
+    assert {k: max(m for _, m in v) for k, v in got.items()} == most
+    assert {(0, 1), (1, 1), (2, 1), (4, 3), (4, 4)} <= set(got) and (3, 1) not in got
+    assert Counter(r.doc_id for r in decontaminate.near_contamination(docs, bench).collect()) == Counter([*range(len(texts)), 99])
+    assert {r.n_near for r in decontaminate.near_contamination(docs, bench.limit(0)).collect()} == {0}
+
+
 def test_substring_dedup_against_a_plain_version(docs):
     seqs = [words(t) for _, t, _, _ in TEXTS]
     n = Counter(tuple(w[s : s + 35]) for w in seqs for s in range(len(w) - 34))
