@@ -65,7 +65,8 @@ def quotas(goals: DataFrame, blocks: F.Column, shards: int = SHARDS) -> DataFram
 def mixture(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS, blocks_per_source: int = BLOCKS_PER_SOURCE, seed: int = SEED) -> DataFrame:
     """One row per document row: doc_id, size, source_size, target, taken, source, text_crc32, source_taken, blocks.
 
-    The mix is cut into blocks of equally many words; `quotas` gives each source whole blocks. A source's documents
+    The mix is cut into blocks of equally many words; `quotas` gives each source whole blocks, and a source with words
+    whose target is too small for any takes one block, cut at its target. A source's documents
     stand in a seeded order (hash of seed and row), which cuts its words into blocks in random order; the mix takes
     them from the first on and begins anew after the last, so a document is taken `cap` times at most. Null text has
     size 0; a null source is a source of its own, last in order; repeated rows are documents of their own; an empty
@@ -83,7 +84,11 @@ def mixture(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: in
     dealt = dealt.groupBy("source").agg(F.sum("quota").alias("blocks"))
     b, d = blocked.alias("b"), dealt.alias("d")
     plan = b.join(d, F.col("b.source").eqNullSafe(F.col("d.source")), "left").select("b.*", F.coalesce("d.blocks", F.lit(0)).alias("blocks"))
-    plan = settle(plan.withColumn("source_taken", F.least(F.col("blocks") * F.col("block_words"), F.col("source_size") * cap)))
+    # a target below half a block wins no seat: such a source takes one block, cut at its target
+    missed = (F.col("blocks") == 0) & (F.col("target") > 0)
+    won = F.when(missed, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.col("blocks") * F.col("block_words"))
+    plan = plan.withColumn("source_taken", F.least(won, F.col("source_size") * cap)).withColumn("blocks", F.when(missed, F.lit(1)).otherwise(F.col("blocks")))
+    plan = settle(plan)
     offsets = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))

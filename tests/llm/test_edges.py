@@ -338,6 +338,17 @@ def test_mixing(docs):
     assert set(mix.mixed_documents(docs).columns) == set(docs.columns)
 
 
+def test_a_tiny_source_beside_a_hot_one_is_mixed(spark):
+    texts = [(i, "hot", "word " * 2000) for i in range(100)] + [(1000 + i, "tiny", "few words here") for i in range(4)] + [(2000, "none", " ")]
+    df = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    out = rows(mix.mixture(df))
+    tiny = [r for r in out if r["source"] == "tiny"]
+    assert {r["target"] for r in tiny} == {24.0} and sum(r["taken"] for r in tiny) == 24 == tiny[0]["source_taken"]
+    assert all(r["taken"] == 0 for r in out if r["source"] == "none")
+    n = Counter(r.doc_id for r in mix.mixed_documents(df).collect())
+    assert all(n[1000 + i] == 2 for i in range(4)) and n[2000] == 0 and n[0] > 0
+
+
 def test_quotas_are_sainte_lague(spark):
     goals = [("a", 530.0), ("b", 240.0), ("c", 130.0), (None, 99.0), ("z", 1.0)]
     df = spark.createDataFrame(goals, "source string, target double")
