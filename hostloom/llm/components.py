@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import settle
+from hostloom.llm.common import discard, settle
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -29,10 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where(F.col("u") != F.col("v")).distinct()
         least = _stars(large)
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        last, stars = stars, settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        discard(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._settled_at = stars._settled_at  # so that discard() finds it
+    return out

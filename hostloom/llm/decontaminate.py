@@ -6,6 +6,8 @@
 3. Intersect: a diagonal stays if some window has all of its anchors there (`phrases`). Near matches have postings of
    their own, of each item's rarest terms: a place stays if enough of them lie within a slack of it (`near_places`).
 4. Compare the whole item with the document along each diagonal that is left: exact runs of window length are hits.
+   Only documents with candidates are cut up for this; an item's words stay in a table of their own, so what is broadcast
+   holds places, and joins shuffle where the counted places are too many.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import row_key, settle, small
+from hostloom.llm.common import discard, row_key, settle, small
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,8 +38,8 @@ def lines_of(items: DataFrame, docs: DataFrame) -> DataFrame:
     places = items.select("item", F.posexplode("words").alias("at", "term"))
     vocabulary = settle(places.select("term").distinct())
     words = docs.select(F.explode(terms(F.col("text"))).alias("term"))
-    counts = settle(words.join(small(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("n")))
-    ranked = places.join(small(counts, counts.count()), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = settle(words.join(small(vocabulary, vocabulary.count(), 24), "term").groupBy("term").agg(F.count("*").alias("n")))
+    ranked = places.join(small(counts, counts.count(), 32), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return ranked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "n", "term"))).alias("line"))
 
 
@@ -58,34 +60,45 @@ def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, an
     chosen = settle(anchors_of(items, docs, window, anchors))
     by_term = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "at")).alias("places"))
     postings = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    met = postings.join(small(by_term, chosen.count()), "term").select("key", "pos", F.explode("places").alias("p"))
+    met = postings.join(small(by_term, chosen.count(), 48), "term").select("key", "pos", F.explode("places").alias("p"))
     diagonals = met.groupBy("key", F.col("p.item").alias("item"), (F.col("pos") - F.col("p.at")).alias("diagonal")).agg(F.collect_set("p.at").alias("seen"))
     lines = chosen.groupBy("item").agg(F.collect_set("at").alias("all_at")).join(items.select("item", F.size("words").alias("n")), "item")
     width = F.least(F.col("n"), F.lit(window))
     # a diagonal can hold a window only if every anchor inside that window was seen there
     holds = F.exists(F.sequence(F.lit(0), F.col("n") - width), lambda s: F.size(F.array_intersect(F.filter("all_at", lambda a: (a >= s) & (a < s + width)), "seen")) == F.size(F.filter("all_at", lambda a: (a >= s) & (a < s + width))))
     enough = F.size("seen") >= F.least(F.lit(anchors), width)
-    return diagonals.where(F.size("seen") >= F.lit(1)).join(small(lines, items.count()), "item").where(enough & holds).select("key", "item", "diagonal")
-
-
-def with_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """(row: the whole document row, n_words, hits: (item_id, start, words) of each occurrence of a window)."""
+    return diagonals.where(F.size("seen") >= F.lit(1)).join(small(lines, chosen.count() + items.count(), 32), "item").where(enough & holds).select("key", "item", "diagonal")
+
+
+def at_places(documents: DataFrame, found: DataFrame, items: DataFrame, before: int = 0) -> DataFrame:
+    """found, plus item_id, words, and `doc`: the document's words from `first` on, `before` words ahead of the item's start to
+    as many behind its end. found: (key, item, start), settled. A document is cut up once, whatever the number of its places."""
+    sizes = items.select("item", F.size("words").alias("n"))
+    n_items, n_found = items.count(), found.count()
+    places = found.join(small(sizes, n_items, 16), "item").groupBy("key").agg(F.collect_list(F.struct("item", "start", "n")).alias("places"))
+    docs = documents.select(row_key().alias("key"), "text").join(small(places, n_found, 24), "key")
+    # explode, not a plain column: the text would otherwise be cut into words again for each place
+    cut = docs.select("key", "places", F.explode(F.array(terms(F.col("text")))).alias("doc")).select("key", "doc", F.explode("places").alias("p"))
+    first = F.greatest(F.col("p.start") - before, F.lit(0))
+    part = F.slice("doc", first + 1, F.greatest(F.col("p.start") + F.col("p.n") + before - first, F.lit(0)))
+    rows = cut.select("key", "p.item", "p.start", first.alias("first"), part.alias("doc"))
+    return rows.join(small(items, n_items, 1024), "item")
+
+
+def window_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
+    """(key, hits: distinct (item_id, start, words) of each occurrence of a window), for documents with any; settled."""
     items = settle(benchmark_items(benchmark))
-    found = settle(phrases(documents, benchmark, window, anchors))
-    n_found = found.count()
-    placed = found.join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("cands"))
-    docs = documents.select(F.struct("*").alias("row"), row_key().alias("key"))
-    joined = docs.join(small(placed, n_found), "key", "left").select("row", F.coalesce("cands", F.array().cast(placed.schema["cands"].dataType)).alias("cands"))
-    # explode, not a plain column: a filter on the hits would otherwise cut the text into words again for each word compared
-    rows = joined.select("row", "cands", F.explode(F.array(terms(F.col("row.text")))).alias("doc"))
-
-    def occurrences(c):
-        same = F.transform(c["words"], lambda w, j: (c["diagonal"] + j >= 0) & F.coalesce(F.get("doc", c["diagonal"] + j) == w, F.lit(False)))
-        width = F.least(F.size(c["words"]), F.lit(window))
-        starts = F.filter(F.sequence(F.lit(0), F.size(c["words"]) - width), lambda s: F.forall(F.slice(same, s + 1, width), lambda x: x))
-        return F.transform(starts, lambda s: F.struct(c["item_id"].alias("item_id"), (c["diagonal"] + s).alias("start"), width.alias("words")))
-
-    return rows.select("row", F.size("doc").cast("long").alias("n_words"), F.flatten(F.transform("cands", occurrences)).alias("hits"))
+    found = settle(phrases(documents, benchmark, window, anchors).withColumnRenamed("diagonal", "start"))
+    rows = at_places(documents, found, items)
+    at = lambda j: F.get("doc", F.col("start") + j - F.col("first"))
+    same = F.transform("words", lambda w, j: (F.col("start") + j >= 0) & F.coalesce(at(j) == w, F.lit(False)))
+    width = F.least(F.size("words"), F.lit(window))
+    rows = rows.select("key", "item_id", "start", width.alias("width"), F.explode(F.array(same)).alias("same"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda s: F.forall(F.slice("same", s + 1, F.col("width")), lambda x: x))
+    hits = rows.select("key", F.explode(F.transform(starts, lambda s: F.struct("item_id", (F.col("start") + s).alias("start"), F.col("width").alias("words")))).alias("hit"))
+    hits = settle(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")))
+    discard(items, found)
+    return hits
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -96,15 +109,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items without words match nothing; an item with a null id marks words but is not counted or named. Repeated rows
     get equal results. Other columns are ignored.
     """
+    hits = window_hits(documents, benchmark, window, anchors)
     hit_at = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["words"] - 1))))
     named = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"].cast("string")), lambda x: x.isNotNull())))
-    hits = with_hits(documents, benchmark, window, anchors).select(F.col("row.doc_id").alias("doc_id"), "n_words", F.size(hit_at).cast("long").alias("n_hit"), named.alias("named"), "hits")
-    return hits.select("doc_id", "n_words", "n_hit", F.size("named").cast("long").alias("n_items"), F.sha2(F.array_join("named", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits")
+    told = hits.select("key", F.size(hit_at).cast("long").alias("n_hit"), named.alias("named"), "hits")
+    rows = documents.select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("n_words"), row_key().alias("key")).join(told, "key", "left")
+    names = F.coalesce("named", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    none = F.array().cast(hits.schema["hits"].dataType)
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("hits", none).alias("hits"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
     """The document rows without any benchmark window, as they are; same rules as `contamination`."""
-    return with_hits(documents, benchmark, window, anchors).where(F.size("hits") == 0).select("row.*")
+    hits = window_hits(documents, benchmark, window, anchors).select(F.col("key").alias("hit"))
+    rows = documents.select(F.struct("*").alias("row"), row_key().alias("key"))
+    return rows.join(small(hits, hits.count(), 8), F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
 def near_places(documents: DataFrame, items: DataFrame, within: int, share: float, anchors: int) -> DataFrame:
@@ -121,7 +141,7 @@ def near_places(documents: DataFrame, items: DataFrame, within: int, share: floa
     rarest = F.slice(F.array_sort(F.transform("line", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))), 1, F.col("k") + F.col("lost"))
     chosen = settle(chosen.select("item", "k", F.explode(rarest).alias("x")).where("x.n > 0").select("item", "k", F.col("x.term").alias("term"), F.col("x.at").alias("at")))
     by_term = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "k", "at")).alias("places"))
-    met = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term")).join(small(by_term, chosen.count()), "term").select("key", "pos", F.explode("places").alias("p"))
+    met = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term")).join(small(by_term, chosen.count(), 48), "term").select("key", "pos", F.explode("places").alias("p"))
     # the diagonals within the slack of a start make one lane's width, so they lie in two lanes that follow each other
     width = 2 * within + 1
     lane = F.floor((F.col("pos") - F.col("p.at")) / F.lit(width)).cast("int")
@@ -132,29 +152,26 @@ def near_places(documents: DataFrame, items: DataFrame, within: int, share: floa
     return lanes.select("key", "item", "lane", F.filter(F.sequence(first, first + (width - 1)), lambda d: met_at(d) >= F.col("k")).alias("starts")).where(F.size("starts") > 0)
 
 
-def with_near(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
-    """(row: the whole document row, near: (item_id, start, matched, n) of each place of an item); rules of `proximity`."""
+def near_hits(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
+    """(key, near: (item_id, start, matched, n) of each place of an item), for documents with any; settled. Rules of `proximity`."""
     items = settle(benchmark_items(benchmark))
-    found = settle(near_places(documents, items, within, share, anchors))
-    n_found = found.count()
-    placed = found.join(small(items, items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "words", "starts")).alias("cands"))
-    docs = documents.select(F.struct("*").alias("row"), row_key().alias("key"))
-    joined = docs.join(small(placed, n_found), "key", "left").select("row", F.coalesce("cands", F.array().cast(placed.schema["cands"].dataType)).alias("cands"))
-    rows = joined.select("row", "cands", F.explode(F.array(terms(F.col("row.text")))).alias("doc"))
-
-    def matched(words, d):
-        near = lambda w, j: (d + j + within >= 0) & F.array_contains(F.slice("doc", F.greatest(d + j - within, F.lit(0)) + 1, F.greatest(d + j + within + 1, F.lit(0)) - F.greatest(d + j - within, F.lit(0))), w)
-        return F.size(F.filter(F.transform(words, near), lambda x: x))
-
-    def starts(c):
-        told = F.transform(c["starts"], lambda d: F.struct((-matched(c["words"], d)).alias("lost"), d.alias("start"), c["item"].alias("item"), c["item_id"].alias("item_id"), F.size(c["words"]).alias("n")))
-        return F.filter(told, lambda x: -x["lost"] >= F.lit(share) * x["n"])
-
-    told = rows.select("row", F.explode(F.array(F.array_sort(F.flatten(F.transform("cands", starts))))).alias("told"))
+    found = near_places(documents, items, within, share, anchors)
+    found = settle(found.select("key", "item", F.explode("starts").alias("start")).distinct())
+    rows = at_places(documents, found, items, before=within)
+
+    def near(w, j):  # whether the word stands within the slack of its place
+        low = F.greatest(F.col("start") + j - within, F.lit(0))
+        return (F.col("start") + j + within >= 0) & F.array_contains(F.slice("doc", low - F.col("first") + 1, F.greatest(F.col("start") + j + within + 1 - low, F.lit(0))), w)
+
+    rows = rows.select("key", "item", "item_id", "start", F.size("words").alias("n"), F.size(F.filter(F.transform("words", near), lambda x: x)).alias("matched"))
+    rows = rows.where(F.col("matched") >= F.lit(share) * F.col("n"))
+    told = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("matched")).alias("lost"), "start", "item", "item_id", "n"))).alias("told"))
     # the starts with most words first; those too near to one that is kept tell of its place
     known = lambda kept, x: F.exists(kept, lambda y: (y["item"] == x["item"]) & (F.abs(y["start"] - x["start"]) <= 2 * within))
     kept = F.aggregate("told", F.filter("told", lambda x: F.lit(False)), lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    return told.select("row", F.transform(kept, lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), (-x["lost"]).alias("matched"), x["n"].alias("n"))).alias("near"))
+    near_of = settle(told.select("key", F.transform(kept, lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), (-x["lost"]).alias("matched"), x["n"].alias("n"))).alias("near")))
+    discard(items, found)
+    return near_of
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
@@ -164,10 +181,13 @@ def proximity(documents: DataFrame, benchmark: DataFrame, within: int = 3, share
     have them, so inserted, lost and replaced words don't hide it. Every start with enough words is told or lies within
     2 * `within` of a told one that has as many. Nulls and empty texts match nothing.
     """
-    return with_near(documents, benchmark, within, share, anchors).select(F.col("row.doc_id").alias("doc_id"), F.explode("near").alias("m")).select("doc_id", "m.*")
+    rows = documents.select("doc_id", row_key().alias("key")).join(near_hits(documents, benchmark, within, share, anchors), "key")
+    return rows.select("doc_id", F.explode("near").alias("m")).select("doc_id", "m.*")
 
 
 def near_contamination(documents: DataFrame, benchmark: DataFrame, within: int = 3, share: float = 0.7, anchors: int = ANCHORS) -> DataFrame:
     """One row per document row: doc_id, n_near, near: the places of `proximity`, as item:start:matched:n in order."""
     told = F.array_sort(F.transform("near", lambda m: F.concat_ws(":", F.coalesce(m["item_id"].cast("string"), F.lit("")), m["start"].cast("string"), m["matched"].cast("string"), m["n"].cast("string"))))
-    return with_near(documents, benchmark, within, share, anchors).select(F.col("row.doc_id").alias("doc_id"), F.size("near").cast("long").alias("n_near"), F.array_join(told, ",").alias("near"))
+    near = near_hits(documents, benchmark, within, share, anchors)
+    rows = documents.select("doc_id", row_key().alias("key")).join(near.select("key", F.size("near").cast("long").alias("n_near"), F.array_join(told, ",").alias("near")), "key", "left")
+    return rows.select("doc_id", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce("near", F.lit("")).alias("near"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import settle, small
+from hostloom.llm.common import discard, settle, small
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 SHARDS, BLOCKS_PER_SOURCE, SEED = 8, 1000, 17
-BUCKETS = 4096
+#: Buckets of a source's order, and piles that its repeated rows are counted in.
+BUCKETS, PILES = 4096, 4096
 
 
 def words_in(text: F.Column) -> F.Column:
@@ -21,7 +22,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     """(source, source_size, w, target): sources in code point order, null last, weigh `weights` in turn.
 
     Water-filling in closed form: sources are capped in the order of cap * size / weight; the rest share what is left
-    by weight. The result is what repeated resharing of the excess comes to. One row per source goes to one task.
+    by weight. The result is what repeated resharing of the excess comes to. One row per source goes to one task: meant
+    for up to millions of sources, whatever the number of documents.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.array(*map(F.lit, weights))
@@ -63,46 +65,81 @@ def quotas(goals: DataFrame, blocks: F.Column, shards: int = SHARDS) -> DataFram
 
 
 def mixture(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS, blocks_per_source: int = BLOCKS_PER_SOURCE, seed: int = SEED) -> DataFrame:
-    """One row per document row: doc_id, size, source_size, target, taken, source, text_crc32, source_taken, blocks.
+    """One row per document row: doc_id, size, source_size, target, taken, source, text_crc32, source_taken, blocks, shards.
 
-    The mix is cut into blocks of equally many words; `quotas` gives each source whole blocks, and a source with words
-    whose target is too small for any takes one block, cut at its target. A source's documents
+    The mix is cut into blocks of equally many words; `quotas` gives each source whole blocks, some for each shard, and a
+    source with words whose target is too small for any takes one block, cut at its target. A source's documents
     stand in a seeded order (hash of seed and row), which cuts its words into blocks in random order; the mix takes
-    them from the first on and begins anew after the last, so a document is taken `cap` times at most. Null text has
+    them from the first on and begins anew after the last, so a document is taken `cap` times at most. A second seeded
+    order deals these blocks to the shards, to each as many as its quota; `shards` names the shards of the blocks in
+    which a document's taken copies begin, one after the other (empty where nothing is taken). Null text has
     size 0; a null source is a source of its own, last in order; repeated rows are documents of their own; an empty
     table gives an empty result; sources without words take nothing. Equal runs give equal results.
     """
+    out, blocks = _taken(documents, weights, share, cap, shards, blocks_per_source, seed)
+    n_blocks = blocks.count()
+    for k in range(cap):  # the block in which the k-th copy begins
+        began = F.col("offset") + k * F.col("source_size")
+        out = out.withColumn("block", F.when((F.col("size") > 0) & (began < F.col("source_taken")), F.floor(began / F.col("block_words"))))
+        o, b = out.alias("o"), small(blocks, n_blocks, 32).alias("b")
+        out = o.join(b, F.col("o.source").eqNullSafe(F.col("b.source")) & (F.col("o.block") == F.col("b.block")), "left").select("o.*", F.col("b.shard").alias(f"shard_{k}")).drop("block")
+    named = F.concat_ws(",", *[F.col(f"shard_{k}").cast("string") for k in range(cap)])
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "text_crc32", F.col("source_taken").cast("long").alias("source_taken"), F.col("blocks").cast("long").alias("blocks"), named.alias("shards"))
+
+
+def _taken(documents: DataFrame, weights, share: float, cap: int, shards: int, blocks_per_source: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with their place in the source's order and what is taken of them, `blocks` of `_planned`)."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
-    rows = settle(documents.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), order.alias("at"))).withColumn("bucket", F.pmod(F.shiftright("at", 40), F.lit(BUCKETS)))
-    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    pile = F.pmod(F.monotonically_increasing_id(), F.lit(PILES)).cast("int")
+    rows = settle(documents.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), order.alias("at"), pile.alias("pile")))
+    # rows that are equal in all that counts are a few lines of the order, so a group of copies is a few rows from here on
+    lines = settle(rows.groupBy("source", "at", "doc_id", "size", "text_crc32", "pile").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.shiftright("at", 40), F.lit(BUCKETS))))
+    per_bucket = lines.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("bucket_size"))
     goals = settle(targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap))
     n_sources = goals.count()
-    # words a block: about `blocks_per_source` blocks for the mean source
-    per = F.greatest(F.floor(F.sum("target").over(Window.partitionBy()) / F.lit(float(max(1, n_sources) * blocks_per_source))), F.lit(1))
-    blocked = goals.withColumn("block_words", per)
-    dealt = quotas(goals, F.floor(F.col("total") / F.greatest(F.floor(F.col("total") / (F.col("n") * F.lit(float(blocks_per_source)))), F.lit(1))), shards)
-    dealt = dealt.groupBy("source").agg(F.sum("quota").alias("blocks"))
-    b, d = blocked.alias("b"), dealt.alias("d")
-    plan = b.join(d, F.col("b.source").eqNullSafe(F.col("d.source")), "left").select("b.*", F.coalesce("d.blocks", F.lit(0)).alias("blocks"))
-    # a target below half a block wins no seat: such a source takes one block, cut at its target
-    missed = (F.col("blocks") == 0) & (F.col("target") > 0)
-    won = F.when(missed, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.col("blocks") * F.col("block_words"))
-    plan = plan.withColumn("source_taken", F.least(won, F.col("source_size") * cap)).withColumn("blocks", F.when(missed, F.lit(1)).otherwise(F.col("blocks")))
-    plan = settle(plan)
+    plan, blocks = _planned(goals, n_sources, cap, shards, blocks_per_source, seed)
+    discard(rows)
     offsets = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size", "text_crc32", "pile").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     p, o = placed.alias("p"), offsets.alias("o")
     joined = p.join(o, F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.bucket") == F.col("o.bucket"))).select("p.*", (F.col("o.before") + F.col("p.inside")).alias("offset"))
-    j, g = joined.alias("j"), small(plan, n_sources).alias("g")
-    out = j.join(g, F.col("j.source").eqNullSafe(F.col("g.source"))).select("j.doc_id", "j.size", "g.source_size", "g.target", "j.source", "j.text_crc32", "j.offset", "g.source_taken", "g.blocks")
+    # each of the equal rows has a place of its own
+    joined = joined.select("doc_id", "source", "size", "text_crc32", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.col("offset") + i * F.col("size"))).alias("offset"))
+    j, g = joined.alias("j"), small(plan, n_sources, 96).alias("g")
+    out = j.join(g, F.col("j.source").eqNullSafe(F.col("g.source"))).select("j.*", "g.source_size", "g.target", "g.source_taken", "g.blocks", "g.block_words")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("source_taken") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("source_taken") - rounds * F.col("source_size")
-    taken = rounds * F.col("size") + F.least(F.greatest(rest - F.col("offset"), F.lit(0)), F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "text_crc32", F.col("source_taken").cast("long").alias("source_taken"), F.col("blocks").cast("long").alias("blocks"))
+    return out.withColumn("taken", (rounds * F.col("size") + F.least(F.greatest(rest - F.col("offset"), F.lit(0)), F.col("size"))).cast("long")), blocks
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def _planned(goals: DataFrame, n_sources: int, cap: int, shards: int, blocks_per_source: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(plan: goals with blocks, block_words, source_taken; blocks: source, block, shard of each block taken), settled."""
+    # words a block: about `blocks_per_source` blocks for the mean source
+    whole = F.sum("target").over(Window.partitionBy())
+    per = F.greatest(F.floor(whole / F.lit(float(max(1, n_sources) * blocks_per_source))), F.lit(1))
+    dealt = settle(quotas(goals, F.floor(F.col("total") / F.greatest(F.floor(F.col("total") / (F.col("n") * F.lit(float(blocks_per_source)))), F.lit(1))), shards))
+    won = dealt.groupBy("source").agg(F.sum("quota").alias("blocks"))
+    b, d = goals.withColumn("block_words", per).alias("b"), won.alias("d")
+    plan = b.join(d, F.col("b.source").eqNullSafe(F.col("d.source")), "left").select("b.*", F.coalesce("d.blocks", F.lit(0)).alias("blocks"))
+    # a target below half a block wins no seat: such a source takes one block, cut at its target, for a shard by hash
+    missed = (F.col("blocks") == 0) & (F.col("target") > 0)
+    plan = plan.withColumn("missed", missed).withColumn("block_words", F.when(missed, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.col("block_words")))
+    plan = plan.withColumn("blocks", F.when(missed, F.lit(1)).otherwise(F.col("blocks")))
+    plan = settle(plan.withColumn("source_taken", F.least(F.col("blocks") * F.col("block_words"), F.col("source_size") * cap)))
+    every = plan.where("blocks > 0").select("source", "missed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    drawn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "source", "block"), "block")
+    every = every.withColumn("rank", F.row_number().over(drawn) - 1)
+    upto = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
+    seats = dealt.withColumn("upto", upto).where("quota > 0").select("source", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota"), F.col("upto") - 1)).alias("rank"))
+    e, s = every.alias("e"), seats.alias("s")
+    shard = F.coalesce("s.shard", F.pmod(F.xxhash64(F.lit(seed), "e.source"), F.lit(shards))).cast("int")
+    blocks = settle(e.join(s, F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("e.rank") == F.col("s.rank")), "left").select("e.source", "e.block", shard.alias("shard")))
+    discard(dealt)
+    return plan, blocks
+
+
+def mixed_documents(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS, blocks_per_source: int = BLOCKS_PER_SOURCE, seed: int = SEED) -> DataFrame:
     """The mix as document rows: each row as often as its words are taken, to the nearest whole number (at most `cap`).
 
     Only the document at the end of a source's last block is taken in part, so rounding moves a source by half a
@@ -110,8 +147,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     key = F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("binary")), F.col("source"))
     order = F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.col("source"))
-    taken = mixture(documents, **options).select(order.alias("key"), "size", "taken")
+    taken = _taken(documents, weights, share, cap, shards, blocks_per_source, seed)[0].select(order.alias("key"), "size", "taken")
     per_key = settle(taken.groupBy("key").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share")))
-    rows = documents.select(F.struct("*").alias("row"), key.alias("key")).join(small(per_key, per_key.count()), "key")
+    rows = documents.select(F.struct("*").alias("row"), key.alias("key")).join(small(per_key, per_key.count(), 16), "key")
     times = F.floor(F.col("share") + 0.5).cast("int")
     return rows.where(times > 0).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")

@@ -5,12 +5,15 @@ of its part, so sketches of two sets differ in at most as many places as the set
 at 90 % differ in at most (n + m) / 19 shingles (at 80 % in (n + m) / 9), and that is fewer than the parts of their size band: one part at least
 is equal (pigeonhole), and documents that share no part of a band can't link.
 
-1. Sets as digests, one row per document; equal sets are one from here on.
-2. Parts of all sizes bands pass a count-min sketch; only parts that repeat are shuffled. Sets that share a part join one
-   candidate group (connected components).
-3. Groups are cut into blocks of bounded size. In each pair of blocks the Hamming distance of the sketches, a lower
-   bound, discards pairs; the others are verified on their shingles. A task returns only links that join something new.
-4. Components of the links.
+1. Sets as digests of 128 bits; equal sets are one from here on, named by a number.
+2. Parts of all size bands pass a count-min sketch; only parts that repeat are shuffled.
+3. Stars: of the sets that share a part, the least and the greatest are compared with all others, so a part of two or three
+   sets is done. This is linear in the parts, and most groups of copies are joined by it.
+4. What is left: parts whose other sets still lie in two or more components. Sets that such parts join are cut into
+   blocks of bounded size. In each pair of blocks the Hamming distance of the sketches, a lower bound, discards pairs;
+   the others are verified on their shingles, but for those that are joined already. Only this step is quadratic, in sets
+   that share parts and yet don't link by way of a star.
+5. Components of the links; each takes the least doc_id of its documents.
 """
 
 from __future__ import annotations
@@ -24,27 +27,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm import countmin
-from hostloom.llm.common import SLICE, as_bytes, mix, rolling, settle, small, word_hashes
+from hostloom.llm.common import SLICE, as_bytes, discard, mix, rolling, row_key, settle, small, word_hashes
 from hostloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Cells in each row of the sketch, as a power of two: 2 rows of 2 ** 26 bits are broadcast, 16 MB.
 SKETCH_BITS = 26
-#: Sets and bytes of shingles in a block of a candidate group.
-BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
-
-
-def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, without words it has none."""
-    words = word_hashes(data.lower())  # of bytes: A-Z only
+#: Sets and bytes of shingles in a block of a candidate group; sets that one task compares with a star's centre.
+BLOCK_SETS, BLOCK_BYTES, STAR_SETS = 512, 8 << 20, 4096
+#: Ways to deal a set's shingles to parts before empty parts count.
+LEVELS = 8
+#: Bytes of shingles that a task hands on at once.
+BATCH_BYTES = 32 << 20
+
+
+def shingles(data: bytes, size: int = SHINGLE, seed: int = 0) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, without words it has none.
+    Hashes of two seeds are independent."""
+    words = word_hashes(data.lower(), seed)  # of bytes: A-Z only
     if len(words) == 0:
         return words
     return np.unique(rolling(words, min(size, len(words)), 61 + 4 * max(0, size - len(words))))
 
 
-def digest(found: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit sums that name the set."""
-    return tuple(int(mix(found, s).sum(dtype=np.uint64).view(np.int64)) for s in (71, 73)) if len(found) else (0, 0)
+def digest(found: np.ndarray) -> int:
+    """A signed 64-bit sum that names the set."""
+    return int(mix(found, 71).sum(dtype=np.uint64).view(np.int64)) if len(found) else 0
 
 
 def difference(n: int, percent: int) -> int:
@@ -56,34 +64,45 @@ def parts(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of the parts of a set's parity sketch, in its size band and, if it can link there, in the band below.
 
     Sizes from 2 ** b to 2 ** (b + 1) - 1 are band b. It has more parts than any two linked sets of the band differ
-    in. A part's key is the XOR of its shingles' hashes. Parts without a shingle are left out where the others
-    alone outnumber the difference.
+    in. A part's key is the XOR of its shingles' hashes. Parts without a shingle have no key: where more parts have one than the
+    set can differ in, an equal part is among them. Other sets deal their shingles anew, by the next of LEVELS hashes,
+    so two sets neither of which was done at a level meet at the next. Only after the last one empty parts get keys too.
     """
     n = len(found)
     if not n:
         return found
-    band = n.bit_length() - 1
+    band, most = n.bit_length() - 1, difference(n, percent)
     keys = []
     for b in (band, band - 1) if band and n * percent <= 100 * ((1 << band) - 1) else (band,):
         top = difference((2 << b) - 1, percent) + 1
-        bits = max(0, (top - 1).bit_length())
-        place = mix(found, 81)
-        part = (place >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(n, dtype=np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        value, at = np.bitwise_xor.reduceat(mix(found, 82)[order], first), part[first]
-        if len(at) <= difference(n, percent):
-            full = np.zeros(1 << bits, dtype=np.uint64)
-            full[at] = value
-            value, at = full, np.arange(1 << bits)
-        keys.append(mix(value ^ mix(at.astype(np.uint64) + (np.uint64(b) << np.uint64(40)), 84)))
+        for level in range(LEVELS):
+            part = ((mix(found, 81 + 16 * level) >> np.uint64(32)) * np.uint64(top) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            value, at = np.bitwise_xor.reduceat(mix(found, 82)[order], first), part[first]
+            if len(at) <= most and level == LEVELS - 1:
+                full = np.zeros(top, dtype=np.uint64)
+                full[at] = value
+                value, at = full, np.arange(top)
+            keys.append(mix(value ^ mix(at.astype(np.uint64) + np.uint64((b << 8 | level) << 40), 84)))
+            if len(at) > most:
+                break
     return np.concatenate(keys)
 
 
-def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct hashes link."""
+    least, most = sorted((len(a), len(b)))
+    if 100 * least < percent * most:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (least + most - both)
+
+
+def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets of `left` and of `right` (positions in `sets`; the same array: all its pairs) that join
-    sets which no earlier link has joined."""
+    sets which no earlier link has joined; sets of one `known` component are joined from the start."""
     n = np.array([len(s) for s in sets])
     words = 1 << max(0, (int(n.max()) // 8).bit_length())
     sketch = np.zeros((len(sets), words), dtype=np.uint64)
@@ -92,7 +111,7 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
         cell, count = np.unique(bit, return_counts=True)
         odd = cell[count % 2 == 1]
         np.bitwise_or.at(sketch[i], (odd >> np.uint64(6)).astype(np.int64), np.uint64(1) << (odd & np.uint64(63)))
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -103,6 +122,7 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     out = []
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if left is right else right
+        others = others if known is None else others[known[others] != known[i]]
         if not len(others):
             continue
         most = (100 - percent) * (n[others] + n[i]) // (100 + percent)
@@ -110,11 +130,9 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
         most = (100 - percent) * (n[fits] + n[i]) // (100 + percent)
         for j in fits[np.bitwise_count(sketch[fits] ^ sketch[i]).sum(axis=1) <= most].tolist():
             a, b = find(i), find(j)
-            if a != b:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n[i] + n[j] - both):
-                    root[a] = b
-                    out.append((i, j))
+            if a != b and linked(sets[i], sets[j], percent):
+                root[a] = b
+                out.append((i, j))
     return out
 
 
@@ -123,32 +141,65 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
 
     A set: distinct `size`-word shingles (A-Z lower-cased; fewer words: the whole sequence as one). Documents link when
     100 * intersection >= percent * union; component_id is the least doc_id that links reach. Null, empty and wordless
-    texts have no shingles and stand alone. Rows that share a doc_id are one document, null ids have component null
-    unless a row with an id has their set. Sets are compared by 64-bit hashes of shingles, texts are read whole.
+    texts have no shingles and stand alone. Rows are judged by their own texts, also where they share a doc_id. Rows with
+    a null id link like others; only a component without any id has component_id null. Sets are compared by 64-bit
+    hashes of shingles and named by 128 bits; texts are read whole.
     """
+    rows, named = classes(documents, size, percent, bits)
+    full = rows.where("n_shingles > 0").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def classes(documents: DataFrame, size: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named), both settled: rows of doc_id, key, n_shingles, s1, s2; named sets of s1, s2, component, component_id."""
 
     def describe(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for data in as_bytes(batch.column(1)):
                 found = shingles(data or b"", size)
-                out.append((len(found), *digest(found)))
+                out.append((len(found), digest(found), digest(shingles(data or b"", size, 200))))
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_shingles", "s1", "s2"])
-
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    rows = settle(docs.mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long"))
-    sets = settle(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")))
-    groups = candidate_groups(docs, size, percent, bits)
-    links = settle(verified_links(docs, sets, groups, size, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "key", "n_shingles", "s1", "s2"])
+
+    docs = documents.select(F.col("doc_id").cast("long"), "text").withColumn("key", row_key())
+    rows = settle(docs.mapInArrow(describe, "doc_id long, key long, n_shingles long, s1 long, s2 long"))
+    sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("key").alias("key"))
+    sets = settle(sets.withColumn("node", F.monotonically_increasing_id()))
+    joined = joined_sets(docs, sets, size, percent, bits)
+    of = settle(sets.join(joined, "node", "left").select("s1", "s2", "id", F.coalesce("component", "node").alias("component")))
+    least = of.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = settle(of.join(least, "component").select("s1", "s2", "component", "component_id"))
+    discard(sets, of, joined)
+    return rows, named
+
+
+def joined_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """(node, component) of the sets that link with others."""
+    found = shared_parts(docs, sets, size, percent, bits)
+    ends = settle(found.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high")))
+    placed = found.join(ends, "part")
+    stars = placed.select(F.explode(F.array("low", "high")).alias("hub"), "node", "low", "high").where((F.col("node") != F.col("hub")) & ~((F.col("node") == F.col("low")) & (F.col("hub") == F.col("high"))))
+    stars = settle(stars.select("hub", "node").distinct())
+    payload = payloads(docs, sets, stars, size)
+    links = settle(star_links(stars, payload, percent))
     joined = components(links)
-    named = sets.join(joined, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    full = rows.where("n_shingles > 0").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def candidate_groups(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
-    """(node, component): sets, by their first digest, that share parts with others, directly or by way of others."""
+    label = F.coalesce("component", "node").alias("label")
+    others = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("part", "node").join(joined, "node", "left").select("part", "node", label)
+    others = settle(others)
+    undone = others.groupBy("part").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("node").alias("v")).where(F.col("a") < F.col("b")).select("part", "v")
+    rest = settle(others.join(undone, "part").select("node", "v", "label"))
+    if rest.first() is not None:
+        more = settle(block_links(rest, sets, payload, percent))
+        before = joined
+        joined = components(links.unionByName(more))
+        discard(more, before)
+    discard(found, ends, stars, payload, links, others, rest)
+    return joined
+
+
+def shared_parts(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """(part, node), settled: the parts that the sketch counts twice or more, and the sets that have them."""
     texts = docs.where(F.col("text").isNotNull()).select("text")
 
     def keys(columns: dict) -> Iterator[np.ndarray]:
@@ -165,58 +216,99 @@ def candidate_groups(docs: DataFrame, size: int, percent: int, bits: int) -> Dat
                 key = parts(found, percent)
                 key = key[countmin.repeated(sketch.value, key, bits)]
                 made.append(key.view(np.int64))
-                named.append(np.full(len(key), digest(found)[0], dtype=np.int64))
+                named.append(np.full(len(key), digest(found), dtype=np.int64))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(named))], ["part", "s1"])
 
-    found = settle(texts.mapInArrow(repeated, "part long, s1 long").distinct())
+    found = texts.mapInArrow(repeated, "part long, s1 long").distinct()
+    # half of the digest finds the set: should two sets share it, both get the part and are verified later
+    found = settle(found.join(small(sets.select("s1", "node"), sets.count(), 16), "s1").select("part", "node"))
     sketch.destroy()
-    hubs = found.groupBy("part").agg(F.min("s1").alias("v"), F.max("s1").alias("last")).where(F.col("v") < F.col("last")).select("part", "v")
-    return components(found.join(hubs, "part").where(F.col("s1") != F.col("v")).select(F.col("s1").alias("u"), "v").distinct())
+    return found
 
 
-def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): links between representatives, enough of them to join all that link."""
-    members = settle(sets.where(F.col("rep").isNotNull()).join(groups, F.col("s1") == F.col("node")).select("rep", "s1", "n", "component"))
-    cuts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.join(cuts, "component")
+def payloads(docs: DataFrame, sets: DataFrame, stars: DataFrame, size: int) -> DataFrame:
+    """(node, found), settled: the shingles of the sets that occur in stars, from one text of each."""
+    nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
+    wanted = settle(nodes.join(sets, "node").select("node", "key", "s1"))
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), SLICE):
-                batch = whole.slice(k, SLICE)
-                made = [shingles(data, size) for data in as_bytes(batch.column(1))]
-                own = np.array([digest(f)[0] for f in made], dtype=np.int64) == np.asarray(batch.column(2))  # an id may have other texts
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in made], pa.binary()), batch.column(3), batch.column(4)], ["rep", "found", "component", "blocks"])
-                yield out.filter(pa.array(own))
-
-    n = members.count()
-    wanted = small(members.select(F.col("rep").alias("doc_id"), "s1", "component", "blocks"), n)
-    gathered = docs.join(wanted, "doc_id").select("doc_id", "text", "s1", "component", "blocks").mapInArrow(gather, "rep long, found binary, component long, blocks int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = gathered.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "found", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        nodes, made, n = [], [], 0
+        for batch in batches:
+            for data, node, s1 in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = shingles(data or b"", size)
+                if digest(found) == s1:  # another text may have the key's hash
+                    nodes.append(node)
+                    made.append(found.tobytes())
+                    n += len(made[-1])
+                if n >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "found"])
+                    nodes, made, n = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "found"])
+
+    read = docs.join(small(wanted, wanted.count(), 24), "key").select("text", "node", "s1").mapInArrow(gather, "node long, found binary")
+    payload = settle(read.groupBy("node").agg(F.first("found").alias("found")))  # repeated rows of a text, met before the shuffle
+    discard(wanted)
+    return payload
+
+
+def star_links(stars: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the links between stars' centres and the others. A star is dealt in chunks, each led by its centre; a task
+    holds two sets at a time."""
+    chunks = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("chunks"))
+    rays = stars.join(chunks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", F.lit(1).alias("place"))
+    centres = chunks.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("node"), F.lit(0).alias("place"))
+    dealt = rays.unionByName(centres).join(payload, "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place")
+
+    def compare(batches) -> Iterator[pa.RecordBatch]:
+        led, centre = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            u, v = [], []
+            for k in range(0, len(batch), SLICE):
+                for hub, node, place, data in zip(*[c.to_pylist() for c in batch.slice(k, SLICE).columns], strict=True):
+                    found = np.frombuffer(data, dtype=np.uint64)
+                    if not place:
+                        led, centre = hub, found
+                    elif led == hub and linked(centre, found, percent):
+                        u.append(hub)
+                        v.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return dealt.select("hub", "node", "place", "found").mapInArrow(compare, "u long, v long")
+
+
+def block_links(rest: DataFrame, sets: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between sets that parts join and stars have not; rest: node, v (a node with an equal part), label."""
+    groups = components(rest.where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct())
+    labels = rest.groupBy("node").agg(F.min("label").alias("label"))
+    members = settle(groups.join(labels, "node").join(sets.select("node", "n"), "node"))
+    cuts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(cuts, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "label", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(payload, "node")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep")
         found = [np.frombuffer(b, dtype=np.uint64) for b in pdf["found"]]
-        reps, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
+        nodes, own, label = pdf["node"].to_numpy(), pdf["own"].to_numpy(), pdf["label"].to_numpy()
         every = np.arange(len(found))
         if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            out = links_of(found, every, every, percent)
+            out = links_of(found, every, every, percent, label)
         else:
-            out = links_of(found, every[own == pdf["i"].iloc[0]], every[own == pdf["j"].iloc[0]], percent)
-        return pd.DataFrame({"u": [reps[a] for a, _ in out], "v": [reps[b] for _, b in out]}, dtype="int64")
+            out = links_of(found, every[own == pdf["i"].iloc[0]], every[own == pdf["j"].iloc[0]], percent, label)
+        return pd.DataFrame({"u": [nodes[a] for a, _ in out], "v": [nodes[b] for _, b in out]}, dtype="int64")
 
     return dealt.groupBy("component", "i", "j").applyInPandas(link, "u long, v long")
 
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """The documents, one of each component: the one with the least doc_id; of repeated rows of it, one. Rows without an id stay."""
-    found = settle(near_duplicates(documents, size, percent, bits).where(F.col("doc_id").isNotNull()))
-    per_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
-    odd = settle(per_id.where((F.col("component_id") != F.col("doc_id")) | (F.col("n_rows") > 1)).select(F.col("doc_id").alias("odd_id"), (F.col("component_id") == F.col("doc_id")).alias("stays")))
-    packed = documents.select("doc_id", F.struct("*").alias("row"))  # whatever the other columns are called
-    marked = packed.join(small(odd, odd.count()), F.col("doc_id") == F.col("odd_id"), "left")
+    """The documents, one of each component: of those with the least doc_id (null only where none has an id) one row.
+    Rows without words are in no component and stay, repeated or not."""
+    rows, named = classes(documents, size, percent, bits)
+    of = settle(rows.where("n_shingles > 0").join(named, ["s1", "s2"]).select("doc_id", "key", "component"))
+    best = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    odd = settle(of.join(best, "component").select(F.col("key").alias("odd"), (F.col("key") == F.col("m.key")).alias("stays")).distinct())
+    discard(rows, named, of)
+    packed = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"))  # whatever the other columns are called
+    marked = packed.join(small(odd, odd.count(), 9), F.col("key") == F.col("odd"), "left")
     once = marked.where(F.col("stays").isNull()).select("row.*")
-    return once.unionByName(marked.where("stays").dropDuplicates(["doc_id"]).select("row.*"))
+    return once.unionByName(marked.where("stays").dropDuplicates(["key"]).select("row.*"))

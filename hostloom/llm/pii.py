@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import as_bytes, settle
+from hostloom.llm.common import apart_from, as_bytes, discard, settle
 from hostloom.llm.quality import fit_logistic
 
 KINDS = ("email", "ip", "card", "phone", "other")
@@ -23,6 +23,7 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser spans that the labelers judge: number groups, and addresses that are spelled out or lack a dot.
 NUMBERS = re.compile(rb"(?<![0-9A-Za-z+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,17}(?![0-9A-Za-z])")
 SPELLED = re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:\x20?[(\[]\x20?at\x20?[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20)[A-Za-z]{2,10}(?![A-Za-z])")
+BRACKETED = re.compile(rb"[(\[]\x20?at\x20?[)\]].*[(\[]\x20?dot\x20?[)\]]")
 #: Gazetteer of words that name personal data, and words that name other numbers.
 NAMES = frozenset("phone tel telephone telefon mobile cell call fax handy telefono telefone portable mail email correo contact contacto kontakt card visa mastercard carte tarjeta karte ssn social passport pasaporte iban konto account cuenta compte address adresse direccion dob".split())
 OTHERS = frozenset("page pages isbn issn version item order ref part no nr number invoice total price eur usd year vol volume line table figure id".split())
@@ -38,6 +39,11 @@ def luhn(digits: bytes) -> bool:
     return (sum(d[-1::-2]) + sum(x * 2 - 9 * (x > 4) for x in d[-2::-2])) % 10 == 0
 
 
+def _at_most_255(digits: bytes) -> bool:
+    """Digits without leading zeros; long ones aren't read as a number."""
+    return len(digits) < 3 or len(digits) == 3 and digits <= b"255"
+
+
 def emails(data: bytes) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping matches, found from each @: linear in the text."""
     last, at = 0, data.find(b"@")
@@ -56,7 +62,7 @@ def base_spans(data: bytes, digits: bool) -> list[tuple[int, int, int]]:
     """(start, end, kind) in bytes, in order of start, then kind."""
     found = [(s, e, 0) for s, e in emails(data)] if b"@" in data else []
     if digits:
-        found += [(m.start(), m.end(), 1) for m in IP.finditer(data) if all(len(g.lstrip(b"0")) < 4 and int(g) <= 255 for g in m.groups())]
+        found += [(m.start(), m.end(), 1) for m in IP.finditer(data) if all(_at_most_255(g.lstrip(b"0")) for g in m.groups())]
         for m in CARD.finditer(data):
             if 14 <= len(d := re.sub(rb"[^0-9]", b"", m[0])) <= 19 and luhn(d):
                 found.append((m.start(), m.end(), 2))
@@ -66,12 +72,14 @@ def base_spans(data: bytes, digits: bool) -> list[tuple[int, int, int]]:
 
 
 def votes(data: bytes, s: int, e: int, base: int) -> tuple[int, ...]:
-    """Of each labeler: 1 personal, -1 not, 0 no opinion. Regex, checksum, gazetteer, context, date shape, sameness."""
+    """Of each labeler: 1 personal, -1 not, 0 no opinion. Regex, checksum, gazetteer, context, date shape, sameness.
+    Checksum and sameness judge numbers only, not addresses with digits in them."""
     span = data[s:e]
-    d = re.sub(rb"[^0-9]", b"", span)
+    number = not re.search(rb"[A-Za-z]", span)
+    d = re.sub(rb"[^0-9]", b"", span) if number else b""
     around = [w.decode("ascii", "ignore").lower() for w in re.findall(rb"[A-Za-z]+", data[max(0, s - 40) : s])[-5:]]
     return (
-        1 if base >= 0 or STRICT.match(span) or not d else 0,
+        1 if base >= 0 or STRICT.match(span) or BRACKETED.search(span) else 0,
         0 if len(d) < 13 else 1 if luhn(d) else -1,
         1 if NAMES & set(around) else 0,
         -1 if OTHERS & set(around) or data[max(0, s - 1) : s] in (b"$", b"#", b".", b"/", b"=", b"-") or data[e : e + 1] in (b"%", b"/", b"=") else 0,
@@ -87,8 +95,9 @@ def candidates(data: bytes, digits: bool, base: list[tuple[int, int, int]]) -> I
     loose = [m.span() for m in NUMBERS.finditer(data)] if digits else []
     if b"dot" in data:
         loose += [m.span() for m in SPELLED.finditer(data)]
+    clear = apart_from(base)
     for s, e in loose:
-        if not any(s < b[1] and b[0] < e for b in base):
+        if clear(s, e):
             yield s, e, -1, votes(data, s, e, -1)
 
 
@@ -144,11 +153,12 @@ def train(documents: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray |
     share = int(min(1.0, train_spans / sum(patterns.values())) * (1 << 32))
     # equal spans in equal places hash alike: one of them, weighed by the root of their number, so copies can't flood it
     sample = seen.where(F.col("place") < share).groupBy("place", "votes", "at").agg(F.count("*").alias("n")).collect()
+    discard(seen)
     sample.sort(key=lambda r: (r.place, r.votes, r.at))
     y = np.array([post[tuple(map(int, r.votes.split(",")))] for r in sample])
     if not len(y) or not (y > 0.5).any() or not (y <= 0.5).any():
         return None
-    return fit_logistic([(np.array(r.at, np.int64), np.ones(len(r.at))) for r in sample], y, 1 << BITS)
+    return fit_logistic([(np.array(r.at, np.int64), np.ones(len(r.at))) for r in sample], y, 1 << BITS, n=np.sqrt([r.n for r in sample]))
 
 
 def find(documents: DataFrame, train_spans: int = TRAIN_SPANS, add_at: float = ADD_AT) -> DataFrame:

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import _SPACE, as_bytes, mix, rolling, settle, word_hashes
+from hostloom.llm.common import _SPACE, as_bytes, discard, mix, rolling, settle, word_hashes
 
 BITS = 14
-#: Labelled rows that the model is fitted on, in expectation; chosen by hash of the id.
+#: Labelled documents that the model is fitted on, at most; chosen by hash of the id.
 TRAIN_ROWS = 3_000
 #: A document is rejected from this calibrated probability of low quality on.
 REJECT_AT = 0.9
@@ -56,23 +56,25 @@ def hashed_features(data: bytes, words: np.ndarray, bits: int = BITS) -> tuple[n
     return at.astype(np.int32), (value / max(1e-9, np.sqrt((value**2).sum()))).astype(np.float32)
 
 
-#: Rows that the fit and the sample's transport handle at once.
+#: Rows that the fit handles at once.
 CHUNK = 128
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, rounds: int = 150, ridge: float = 1e-3) -> np.ndarray:
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, rounds: int = 150, ridge: float = 1e-3, n: np.ndarray | None = None) -> np.ndarray:
     """Weights and, last, the bias; full-batch Adam over a bounded sample, so reruns agree. Gradients are summed over
-    chunks of rows, so nothing but the sparse rows themselves is held."""
+    chunks of rows, so nothing but the sparse rows themselves is held. y: 0 to 1, soft labels count for both classes by
+    their share; `n` weighs rows; either class weighs half in all."""
     w, m, v = np.zeros(dims + 1), np.zeros(dims + 1), np.zeros(dims + 1)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    n = np.ones(len(y)) if n is None else n
+    yes, no = 0.5 * n * y / max(1e-9, (n * y).sum()), 0.5 * n * (1 - y) / max(1e-9, (n * (1 - y)).sum())
     for step in range(1, rounds + 1):
         g = ridge * np.append(w[:-1], 0) / len(rows)
         for k in range(0, len(rows), CHUNK):
             part = rows[k : k + CHUNK]
             at, value = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
             owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(r[0]) for r in part])
-            z = np.bincount(owner, value * w[at], len(part)) + w[-1]
-            slope = weight[k : k + CHUNK] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[k : k + CHUNK])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[at], len(part)) + w[-1], -40, 40)))
+            slope = no[k : k + CHUNK] * p - yes[k : k + CHUNK] * (1 - p)
             g[:-1] += np.bincount(at, value * slope[owner], dims)
             g[-1] += slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -100,36 +102,48 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float, float] | None:
     """Weights and calibration from labelled quality rows (quality 0 is the positive class); None without both kinds.
 
-    A fifth of the sample is held out of the fit for the calibration. Labels with a null id or quality are ignored.
+    A fifth of the sample is held out of the fit for the calibration. Labels with a null id or quality are ignored; an id
+    with several labels has the least of them, an id with several texts the least text. One task fits the model to the
+    sample, which `train_rows` bounds whatever the input, and hands the driver 2 ** bits weights.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    n = known.count()
-    unit = 1 << 20
-    chosen = settle(known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(unit)) < int(min(1.0, train_rows / max(1, n)) * unit)))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = settle(known.withColumn("lot", F.xxhash64("doc_id", F.lit(5))))
+    n, unit = max(1, known.count()), 1 << 20
+    share = min(1.0, 1.5 * train_rows / n)  # cut down by hash first, so that few rows are ranked
+    chosen = settle(known.where(F.pmod("lot", F.lit(unit)) < int(share * unit)).orderBy("lot", "doc_id").limit(train_rows))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows rows at most
+    once = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def features(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), CHUNK):
                 part = batch.slice(k, CHUNK)
-                made = [hashed_features(t, word_hashes(t), bits) for t in as_bytes(part.column(1))]
-                packed = [np.asarray(part.column(0)), np.array([len(m[0]) for m in made], np.int32), np.asarray(part.column(2)), np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["ids", "sizes", "quality", "at", "value"])
-
-    sent = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "ids binary, sizes binary, quality binary, at binary, value binary")
-    rows = []
-    for r in sent.collect():  # about train_rows texts, packed by CHUNK
-        cuts = np.cumsum(np.frombuffer(bytes(r.sizes), np.int32))[:-1]
-        parts = zip(np.split(np.frombuffer(bytes(r.at), np.int32), cuts), np.split(np.frombuffer(bytes(r.value), np.float32), cuts), strict=True)
-        rows += zip(np.frombuffer(bytes(r.ids), np.int64).tolist(), np.frombuffer(bytes(r.quality), np.int32).tolist(), parts, strict=True)
-    rows.sort(key=lambda r: (r[0], len(r[2][0]), r[2][0].tobytes()[:64]))
-    x = [r[2] for r in rows]
-    y = np.array([r[1] == 0 for r in rows], dtype=np.float64)
-    held = np.array([i % 5 == 4 for i in range(len(rows))], dtype=bool)
-    if len(rows) < 10 or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:
+                made = [hashed_features(t, word_hashes(t), bits) for t in as_bytes(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], ["doc_id", "quality", "at", "value"])
+
+    def fit(batches) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for i, q, at, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append((i, q, (np.frombuffer(at, np.int32), np.frombuffer(value, np.float32))))
+        rows.sort(key=lambda r: r[0])
+        made = fitted([r[2] for r in rows], np.array([r[1] == 0 for r in rows], dtype=np.float64), bits)
+        out = [] if made is None else [(made[0].tobytes(), made[1], made[2])]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64())], ["w", "a", "b"])
+
+    sample = settle(once.select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(features, "doc_id long, quality int, at binary, value binary"))
+    found = sample.repartition(1).mapInArrow(fit, "w binary, a double, b double").collect()  # one row
+    discard(known, chosen, sample)
+    return (np.frombuffer(bytes(found[0].w), np.float32), found[0].a, found[0].b) if found else None
+
+
+def fitted(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int) -> tuple[np.ndarray, float, float] | None:
+    """Weights, and slope and offset of the calibration; None where there is too little of either kind."""
+    held = np.arange(len(x)) % 5 == 4
+    if len(x) < 10 or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return None
     w = fit_logistic([r for r, h in zip(x, held, strict=True) if not h], y[~held], 1 << bits)
-    z = np.array([float(w[a] @ v) + w[-1] for (a, v), h in zip(x, held, strict=True) if h])
+    z = np.array([float(w[at] @ value) + w[-1] for (at, value), h in zip(x, held, strict=True) if h])
     a, b = platt(z, y[held])
     return (w.astype(np.float32), a, b) if a > 0 else (w.astype(np.float32), 1.0, 0.0)
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from hostloom.llm.common import settle
 
-#: The tree is held by the driver: two numbers a node, so leaves are bounded.
-MAX_LEAVES = 1 << 16
 SHARDS = 8
+#: A row's place along a dimension is a key of KEY_BITS: the dimension's value, then a hash of the row; equal rows are
+#: told apart by a second key. A pass over the rows finds STEP_BITS of a cut.
 STEP_BITS, KEY_BITS, DIM_BITS = 12, 60, 24
 
 
@@ -23,73 +23,91 @@ def _dims(has: set[str]) -> dict[str, F.Column]:
 
 
 def tree_shards(documents: DataFrame, target_bytes: int | None = None, shards: int | None = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard): leaves of a K-d tree with near equal bytes.
+    """(doc_id, size, text_crc32, equal, shard): leaves of a K-d tree with near equal bytes; `equal` tells equal rows apart.
 
     A node that stands for k leaves is cut along its widest dimension (extent over the table's extent) where its left
     side has floor(k / 2) / k of its bytes. The cut is found digit by digit from histograms of a sortable key (the
     dimension, then a hash that breaks ties), so ties and hot sources are cut too and nothing is sorted or sampled.
     Size is the UTF-8 bytes plus 1; null text has none (size 1, crc null). Null metadata is a value like others.
-    Repeated rows share a leaf. An empty table gives an empty result. `target_bytes` (or `shards`) sets the leaves.
+    The law is near equal bytes. Equal texts (the groups) lie together only as far as their metadata do: a cut may part
+    them, and it parts repeated rows too, or else a shard would grow with its largest group. An empty table gives an
+    empty result. `target_bytes` (or `shards`) sets the leaves; the driver holds a few numbers for each leaf.
     """
+    rows, n, total = keyed(documents)
+    if total is None:
+        return rows.select("doc_id", "size", "text_crc32", "equal", F.lit(0).alias("shard"))
+    leaves = shards if target_bytes is None else math.ceil(total / target_bytes)
+    if leaves < 1:
+        raise ValueError(f"{leaves} leaves; the tree takes 1 or more")
+    return _grow(rows, n, leaves).drop(*[f"d{i}" for i in range(n)])
+
+
+def keyed(documents: DataFrame) -> tuple[DataFrame, int, int | None]:
+    """(rows: doc_id, size, text_crc32, a key d0, d1, ... for each dimension, equal; number of dimensions; bytes in all)."""
     text = F.col("text").cast("binary")
     has = set(documents.columns)
     meta = documents.select(
         "doc_id", *[c for c in ("source", "lang") if c in has], (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    rows = settle(meta.select("doc_id", "size", "text_crc32", *[c.alias(f"d{i}") for i, c in enumerate(_dims(has).values())]))
-    n = len(_dims(has))
-    span = rows.agg(*[f(f"d{i}") for i in range(n) for f in (F.min, F.max)], F.sum("size")).first()
-    if span[-1] is None:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"))
-    leaves = shards if target_bytes is None else math.ceil(span[-1] / target_bytes)
-    if not 1 <= leaves <= MAX_LEAVES:
-        raise ValueError(f"{leaves} leaves; the tree takes 1 to {MAX_LEAVES}")
+    dims = _dims(has)
+    # equal rows may stand in any order, so the order in which they were read tells them apart
+    equal = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - KEY_BITS)
+    rows = settle(meta.select("doc_id", "size", "text_crc32", *[c.alias(f"d{i}") for i, c in enumerate(dims.values())], equal.alias("equal")))
+    span = rows.agg(*[f(f"d{i}") for i in range(len(dims)) for f in (F.min, F.max)], F.sum("size")).first()
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 64 - (KEY_BITS - DIM_BITS))
-    for i in range(n):
-        low, wide = span[2 * i], span[2 * i + 1] - span[2 * i]
+    for i in range(len(dims)):
+        low, wide = span[2 * i] or 0.0, (span[2 * i + 1] or 0.0) - (span[2 * i] or 0.0)
         place = ((F.col(f"d{i}") - low) / (wide or 1.0) * ((1 << DIM_BITS) - 1)).cast("long")
         rows = rows.withColumn(f"d{i}", F.shiftleft(place, KEY_BITS - DIM_BITS).bitwiseOR(tie))
-    return _grow(rows, n, leaves).drop(*[f"d{i}" for i in range(n)])
+    return rows, len(dims), span[-1]
 
 
 def _grow(rows: DataFrame, n: int, leaves: int) -> DataFrame:
-    """Adds `shard`. Per level: one pass for the extents, then a pass for each digit that the cuts still need."""
+    """Adds `shard`. Per level: one pass for the extents, then a pass for each digit that the cuts still need: first of
+    the key, then, where the rows at a cut have one key, of the key that tells equal rows apart."""
     spark = rows.sparkSession
     rows, nodes, first = rows.withColumn("node", F.lit(0)), {0: leaves}, {0: 0}
     while any(k > 1 for k in nodes.values()):
         wide = rows.groupBy("node").agg(F.sum("size"), *[F.max(f"d{i}") - F.min(f"d{i}") for i in range(n)]).collect()
-        cut = {r[0]: {"dim": max(range(n), key=lambda i: (r[2 + i] >> (KEY_BITS - DIM_BITS), -i)), "want": r[1] * (nodes[r[0]] // 2) / nodes[r[0]], "low": 0} for r in wide if nodes[r[0]] > 1}
-        digit, open_nodes = KEY_BITS, set(cut)
-        while open_nodes and digit:
-            digit -= STEP_BITS
-            now = spark.createDataFrame([(k, cut[k]["dim"], cut[k]["low"]) for k in open_nodes], "node int, dim int, low long")
-            key = F.element_at(F.array(*[F.col(f"d{i}") for i in range(n)]), F.col("dim") + 1)
-            bins = rows.join(F.broadcast(now), "node").where(F.shiftright(key, digit + STEP_BITS) == F.shiftright("low", digit + STEP_BITS))
-            bins = bins.groupBy("node", F.shiftright(key, digit).alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-            # the bin in which the wanted share falls, chosen where the bins are
-            running = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
-            wants = spark.createDataFrame([(k, float(cut[k]["want"])) for k in open_nodes], "node int, want double")
-            hit = bins.withColumn("upto", running).join(F.broadcast(wants), "node").where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("bytes") < F.col("want"))).select("node", "bin", "bytes", "n", (F.col("upto") - F.col("bytes")).alias("before")).collect()
-            for r in hit:
-                c = cut[r[0]]
-                c["low"], c["want"] = r[1] << digit, c["want"] - r[4]
-                if r[3] == 1 or not digit:  # one row left: it goes where it fits better
-                    c["low"] += (1 << digit) - 1 if 2 * c["want"] >= r[2] else -1
-                    open_nodes.discard(r[0])
+        cut = {r[0]: {"dim": max(range(n), key=lambda i: (r[2 + i] >> (KEY_BITS - DIM_BITS), -i)), "want": r[1] * (nodes[r[0]] // 2) / nodes[r[0]], "low": 0, "upto": -1} for r in wide if nodes[r[0]] > 1}
+        key = F.element_at(F.array(*[F.col(f"d{i}") for i in range(n)]), F.col("dim") + 1)
+        open_nodes = set(cut)
+        for side in ("low", "upto"):  # rows up to key `low` go left; of those that have it, those up to `upto`
+            digit = KEY_BITS
+            if side == "upto":
+                for k in open_nodes:
+                    cut[k]["upto"] = 0
+            while open_nodes and digit:
+                digit -= STEP_BITS
+                now = spark.createDataFrame([(k, cut[k]["dim"], cut[k]["low"], cut[k][side], float(cut[k]["want"])) for k in open_nodes], "node int, dim int, low long, at long, want double")
+                place = key if side == "low" else F.col("equal")
+                inside = F.shiftright(place, digit + STEP_BITS) == F.shiftright("at", digit + STEP_BITS)
+                bins = rows.join(F.broadcast(now), "node").where(inside if side == "low" else inside & (key == F.col("low")))
+                bins = bins.groupBy("node", F.shiftright(place, digit).alias("bin")).agg(F.first("want").alias("want"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
+                # the bin in which the wanted share falls, chosen where the bins are: 2 ** STEP_BITS of a node at most
+                running = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
+                hit = bins.withColumn("upto", running).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("bytes") < F.col("want"))).select("node", "bin", "bytes", "n", (F.col("upto") - F.col("bytes")).alias("before")).collect()
+                for r in hit:
+                    c = cut[r[0]]
+                    c[side], c["want"] = r[1] << digit, c["want"] - r[4]
+                    if r[3] == 1:  # one row left: it goes where it fits better
+                        c[side] += (1 << digit) - 1 if 2 * c["want"] >= r[2] else -1
+                        open_nodes.discard(r[0])
         nodes = {x: k for at, v in nodes.items() for x, k in (((2 * at, v // 2), (2 * at + 1, v - v // 2)) if v > 1 else ((2 * at, v),))}
         first = {x: (first[x // 2] if x % 2 == 0 else first[x // 2] + nodes[x - 1]) for x in sorted(nodes)}
-        cuts = spark.createDataFrame([(k, c["dim"], c["low"]) for k, c in cut.items()], "node int, dim int, low long")
-        key = F.element_at(F.array(*[F.col(f"d{i}") for i in range(n)]), F.col("dim") + 1)
-        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", (2 * F.col("node") + F.coalesce((key > F.col("low")).cast("int"), F.lit(0))).cast("int")).drop("dim", "low")
+        # a cut that the first key settles takes all of that key to the left
+        cuts = spark.createDataFrame([(k, c["dim"], c["low"], c["upto"] if c["upto"] >= 0 else (1 << KEY_BITS)) for k, c in cut.items()], "node int, dim int, low long, upto long")
+        right = (key > F.col("low")) | ((key == F.col("low")) & (F.col("equal") > F.col("upto")))
+        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", (2 * F.col("node") + F.coalesce(right.cast("int"), F.lit(0))).cast("int")).drop("dim", "low", "upto")
     names = spark.createDataFrame(sorted(first.items()), "node int, shard int")
     return rows.join(F.broadcast(names), "node").drop("node")
 
 
 def slots(sharded: DataFrame, buckets: int = 512) -> DataFrame:
-    """Adds `slot`: numbers from 0 without gaps in each shard. Rows are numbered in hashed buckets of a shard, and
-    buckets start where the ones before them end, so no task holds a whole shard."""
-    rows = sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    """Adds `slot`: numbers from 0 without gaps in each shard, for `equal`. Rows are numbered in hashed buckets of a shard,
+    over which repeated rows spread too, and buckets start where the ones before them end, so no task holds a whole shard."""
+    rows = sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "equal"), F.lit(buckets)).cast("int"))
     starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = starts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")))
-    return numbered.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("r") - 1).drop("bucket", "start", "r")
+    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "equal")))
+    return numbered.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("r") - 1).drop("bucket", "start", "r", "equal")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm import countmin
-from hostloom.llm.common import as_bytes, rolling, row_key, settle, sliding_max, sliding_min, small, word_hashes
+from hostloom.llm.common import as_bytes, rolling, row_key, settle, sliding_max, sliding_min, word_hashes
 
 WINDOW = 35
 #: Cells in each row of the sketch, as a power of two: 2 rows of 2 ** 27 bits are broadcast, 32 MB.
@@ -40,8 +40,8 @@ def marks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def repeats(documents: DataFrame, window: int = WINDOW, bits: int = SKETCH_BITS):
     """(sketch, singles): the broadcast sketch, and (key, pos) of the windows it wrongly counts as repeated.
 
-    All starts of windows that the sketch counts twice are grouped by a 96-bit hash of the window, with counts combined
-    before the shuffle; a group of one names the only place of a window that isn't repeated. What remains are exactly
+    All starts of windows that the sketch counts twice are grouped by two hashes of the window, 96 bits that are
+    independent from the bytes up, with counts combined before the shuffle; a group of one names the only place of a window that isn't repeated. What remains are exactly
     the repeated windows, and copies of any number never meet in one task.
     """
 
@@ -63,7 +63,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, bits: int = SKETCH_BITS)
                 words = word_hashes(data)
                 at = np.flatnonzero(countmin.repeated(sketch.value, marks(words, window)[0], bits))
                 if len(at):
-                    h2 = (rolling(words, window, 53)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    h2 = (rolling(word_hashes(data, 200), window, 53)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     held.append((rolling(words, window, 51)[at].view(np.int64), h2, np.full(len(at), key, dtype=np.int64), at.astype(np.int32)))
                     n += len(at)
                 if n >= BATCH:
@@ -118,5 +118,6 @@ def strip_repeats(documents: DataFrame, window: int = WINDOW, bits: int = SKETCH
                 text.append(line)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    rows = docs.join(small(by_row, singles.count(), 4_000_000), "key", "left").select("doc_id", "text", "singles")
+    # singles grow with the corpus, so they are shuffled at every size; hashed, so texts needn't be sorted
+    rows = docs.join(by_row.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "singles")
     return rows.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -82,7 +82,7 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, trees: in
     prior = n_block / n
 
     def with_suffix(df: DataFrame) -> DataFrame:
-        seen = df.join(small(stats, n_stats), "suffix", "left")
+        seen = df.join(small(stats, n_stats, 48), "suffix", "left")
         rate = (F.coalesce("b", F.lit(0.0)) + 4 * prior) / (F.coalesce("c", F.lit(0)) + 4)
         seen = seen.withColumn("suffix_rate", rate).withColumn("suffix_log", F.log1p(F.coalesce("c", F.lit(0)).cast("double")))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
