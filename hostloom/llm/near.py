@@ -7,21 +7,23 @@ is equal (pigeonhole), and documents that share no part of a band can't link.
 
 1. Sets as digests of 128 bits; equal sets are one from here on, named by a number.
 2. Parts of all size bands pass a count-min sketch; only parts that repeat are shuffled.
-3. Stars: of the sets that share a part, the least and the greatest are compared with all others, so a part of two or three
-   sets is done. This is linear in the parts, and most groups of copies are joined by it.
-4. What is left: parts whose other sets still lie in two or more components. Sets that such parts join are cut into
-   blocks of bounded size. In each pair of blocks the Hamming distance of the sketches, a lower bound, discards pairs;
-   the others are verified on their shingles, but for those that are joined already. Only this step is quadratic, in sets
-   that share parts and yet don't link by way of a star.
+3. Stars, in two rounds. First every set is compared with one other, of the sets that are least in its parts the one that
+   shares most of them: this joins most groups of copies. Then, where a part's sets still lie in two or more
+   components, its least and greatest set are compared with those of other components. The Hamming distance of the
+   sketches (a few bits for each shingle), a lower bound, discards pairs; only sets of the others are shuffled with
+   their shingles, to verify them.
+4. What is left: parts whose other sets still lie in two or more components. The sketches of each such part's sets are
+   compared, in pairs of blocks of bounded size; sets that may link by them are cut into blocks anew and verified on
+   their shingles, but for those that are joined already. Only this step is quadratic, in the sketches of sets that
+   share one part, four or more of them, and yet don't link by way of a star.
 5. Components of the links; each takes the least doc_id of its documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ from hostloom.llm.common import SLICE, as_bytes, discard, mix, rolling, row_key,
 from hostloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-#: Cells in each row of the sketch, as a power of two: 2 rows of 2 ** 26 bits are broadcast, 16 MB.
-SKETCH_BITS = 26
+#: Cells in each row of the sketch, as a power of two: 2 rows of 2 ** 27 bits are broadcast, 32 MB.
+SKETCH_BITS = 27
 #: Sets and bytes of shingles in a block of a candidate group; sets that one task compares with a star's centre.
 BLOCK_SETS, BLOCK_BYTES, STAR_SETS = 512, 8 << 20, 4096
 #: Ways to deal a set's shingles to parts before empty parts count.
@@ -64,7 +66,7 @@ def parts(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of the parts of a set's parity sketch, in its size band and, if it can link there, in the band below.
 
     Sizes from 2 ** b to 2 ** (b + 1) - 1 are band b. It has more parts than any two linked sets of the band differ
-    in. A part's key is the XOR of its shingles' hashes. Parts without a shingle have no key: where more parts have one than the
+    in, and an eighth on top, so that empty parts don't use up the difference. A part's key is the XOR of its shingles' hashes. Parts without a shingle have no key: where more parts have one than the
     set can differ in, an equal part is among them. Other sets deal their shingles anew, by the next of LEVELS hashes,
     so two sets neither of which was done at a level meet at the next. Only after the last one empty parts get keys too.
     """
@@ -75,6 +77,7 @@ def parts(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     keys = []
     for b in (band, band - 1) if band and n * percent <= 100 * ((1 << band) - 1) else (band,):
         top = difference((2 << b) - 1, percent) + 1
+        top += (top + 7) // 8
         for level in range(LEVELS):
             part = ((mix(found, 81 + 16 * level) >> np.uint64(32)) * np.uint64(top) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -100,18 +103,41 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (least + most - both)
 
 
-def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT, known: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between sets of `left` and of `right` (positions in `sets`; the same array: all its pairs) that join
-    sets which no earlier link has joined; sets of one `known` component are joined from the start."""
-    n = np.array([len(s) for s in sets])
-    words = 1 << max(0, (int(n.max()) // 8).bit_length())
-    sketch = np.zeros((len(sets), words), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        bit = mix(s, 83) >> np.uint64(64 - (words.bit_length() - 1 + 6))
-        cell, count = np.unique(bit, return_counts=True)
-        odd = cell[count % 2 == 1]
-        np.bitwise_or.at(sketch[i], (odd >> np.uint64(6)).astype(np.int64), np.uint64(1) << (odd & np.uint64(63)))
-    root = np.arange(len(sets)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
+def parity(found: np.ndarray) -> bytes:
+    """The parity sketch: each shingle toggles one of 4 * 2 ** band bits, 64 at least. Sketches of the next band fold to this one's."""
+    bits = max(64, 4 << (max(1, len(found)).bit_length() - 1))
+    return np.packbits(np.bincount((mix(found, 83) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def most(n: np.ndarray | int, m: int, percent: int):
+    """Most shingles in which linked sets of n and m differ."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, percent: int) -> bool:
+    """Whether sizes and sketches of two sets allow a link."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if abs(n - m) > most(n, m, percent):
+        return False
+    while len(x) != len(y):
+        x, y = (fold(x), y) if len(x) > len(y) else (x, fold(y))
+    return int(np.bitwise_count(x ^ y).sum()) <= most(n, m, percent)
+
+
+def joins(n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray, verify: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs between sets of `left` and of `right` (masks; the same array: all its pairs) of different `known` components that
+    the sketches allow, as far as they join sets that no earlier pair has joined. With `verify`, pairs that it confirms;
+    sets of one component are then joined from the start."""
+    width = np.array([len(x) for x in sketches]) // 8
+    at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    rows = {w: np.frombuffer(b"".join(sketches[i] for i in ids), dtype=np.uint64).reshape(len(ids), w) for w, ids in at.items()}
+    _, first, of = np.unique(known, return_index=True, return_inverse=True)
+    root = first[of] if verify else np.arange(len(n))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -120,19 +146,21 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
         return int(x)
 
     out = []
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if left is right else right
-        others = others if known is None else others[known[others] != known[i]]
-        if not len(others):
-            continue
-        most = (100 - percent) * (n[others] + n[i]) // (100 + percent)
-        fits = others[np.abs(n[others] - n[i]) <= most]
-        most = (100 - percent) * (n[fits] + n[i]) // (100 + percent)
-        for j in fits[np.bitwise_count(sketch[fits] ^ sketch[i]).sum(axis=1) <= most].tolist():
-            a, b = find(i), find(j)
-            if a != b and linked(sets[i], sets[j], percent):
-                root[a] = b
-                out.append((i, j))
+    for w, ids in at.items():
+        wider = (at[2 * w], fold(rows[2 * w])) if 2 * w in at else (ids[:0], rows[w][:0])
+        for r, i in enumerate(ids.tolist()):
+            for others, table in ((ids[r + 1 :], rows[w][r + 1 :]), wider):
+                fits = (known[others] != known[i]) & (np.abs(n[others] - n[i]) <= most(n[others], n[i], percent))
+                fits &= right[others] if left is right or left[i] else left[others]
+                if left is right and not left[i]:
+                    continue
+                others, table = others[fits], table[fits]
+                near = np.bitwise_count(table ^ rows[w][r]).sum(axis=1) <= most(n[others], n[i], percent)
+                for j in others[near].tolist():
+                    a, b = find(i), find(j)
+                    if a != b and (verify is None or verify(i, j)):
+                        root[a] = b
+                        out.append((i, j))
     return out
 
 
@@ -158,13 +186,13 @@ def classes(documents: DataFrame, size: int, percent: int, bits: int) -> tuple[D
             out = []
             for data in as_bytes(batch.column(1)):
                 found = shingles(data or b"", size)
-                out.append((len(found), digest(found), digest(shingles(data or b"", size, 200))))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "key", "n_shingles", "s1", "s2"])
+                out.append((len(found), digest(found), digest(shingles(data or b"", size, 200)), parity(found) if len(found) else None))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["doc_id", "key", "n_shingles", "s1", "s2", "sketch"])
 
     docs = documents.select(F.col("doc_id").cast("long"), "text").withColumn("key", row_key())
-    rows = settle(docs.mapInArrow(describe, "doc_id long, key long, n_shingles long, s1 long, s2 long"))
-    sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("key").alias("key"))
+    rows = settle(docs.mapInArrow(describe, "doc_id long, key long, n_shingles long, s1 long, s2 long, sketch binary"))
+    sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("key").alias("key"), F.min("sketch").alias("sketch"))
     sets = settle(sets.withColumn("node", F.monotonically_increasing_id()))
     joined = joined_sets(docs, sets, size, percent, bits)
     of = settle(sets.join(joined, "node", "left").select("s1", "s2", "id", F.coalesce("component", "node").alias("component")))
@@ -177,24 +205,39 @@ def classes(documents: DataFrame, size: int, percent: int, bits: int) -> tuple[D
 def joined_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     """(node, component) of the sets that link with others."""
     found = shared_parts(docs, sets, size, percent, bits)
-    ends = settle(found.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high")))
-    placed = found.join(ends, "part")
-    stars = placed.select(F.explode(F.array("low", "high")).alias("hub"), "node", "low", "high").where((F.col("node") != F.col("hub")) & ~((F.col("node") == F.col("low")) & (F.col("hub") == F.col("high"))))
-    stars = settle(stars.select("hub", "node").distinct())
-    payload = payloads(docs, sets, stars, size)
-    links = settle(star_links(stars, payload, percent))
+    least = found.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where(F.col("hub") < F.col("high")).select("part", "hub")
+    shared = found.join(least, "part").where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count("*").alias("n"))
+    near = settle(shared.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("m")).select("node", "m.hub"))
+    links = settle(star_links(docs, sets, near, size, percent))
     joined = components(links)
-    label = F.coalesce("component", "node").alias("label")
-    others = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("part", "node").join(joined, "node", "left").select("part", "node", label)
-    others = settle(others)
-    undone = others.groupBy("part").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("node").alias("v")).where(F.col("a") < F.col("b")).select("part", "v")
-    rest = settle(others.join(undone, "part").select("node", "v", "label"))
+
+    # rows of parts whose sets lie in two or more components
+    ends = [F.min("label").alias("a"), F.max("label").alias("b"), F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("label", "node").alias("low_label"), F.max_by("label", "node").alias("high_label")]
+    labelled = lambda rows, joined: rows.join(small(joined, joined.count(), 16), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    rows = labelled(found, joined)
+    undone = settle(rows.groupBy("part").agg(*ends).where(F.col("a") < F.col("b")).drop("a", "b"))
+    rows = settle(rows.join(undone, "part"))
+    stars = rows.select("node", "label", F.explode(F.array(F.struct(F.col("low").alias("hub"), F.col("low_label").alias("hub_label")), F.struct(F.col("high").alias("hub"), F.col("high_label").alias("hub_label")))).alias("e"))
+    stars = stars.where((F.col("node") != F.col("e.hub")) & (F.col("label") != F.col("e.hub_label"))).select("node", "e.hub").distinct()
+    stars = settle(stars.join(near, ["node", "hub"], "left_anti"))
+    discard(found, near, undone)
+    if stars.first() is None:
+        discard(rows, links, stars)
+        return joined
+    more = settle(star_links(docs, sets, stars, size, percent))
+    discard(joined)
+    links = settle(links.unionByName(more))
+    joined = components(links)
+    others = settle(labelled(rows.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("part", "node"), joined))
+    crowded = others.groupBy("part").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n_part")).where(F.col("a") < F.col("b")).select("part", "n_part")
+    rest = settle(others.join(crowded, "part"))
+    discard(rows, stars, more, others)
     if rest.first() is not None:
-        more = settle(block_links(rest, sets, payload, percent))
-        before = joined
+        more = settle(block_links(docs, sets, rest, size, percent))
+        discard(joined)
         joined = components(links.unionByName(more))
-        discard(more, before)
-    discard(found, ends, stars, payload, links, others, rest)
+        discard(more)
+    discard(links, rest)
     return joined
 
 
@@ -227,77 +270,136 @@ def shared_parts(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits
     return found
 
 
-def payloads(docs: DataFrame, sets: DataFrame, stars: DataFrame, size: int) -> DataFrame:
-    """(node, found), settled: the shingles of the sets that occur in stars, from one text of each."""
-    nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
-    wanted = settle(nodes.join(sets, "node").select("node", "key", "s1"))
+def dealt(docs: DataFrame, sets: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(g, i, j, tag, node, label, found): the shingles of sets, dealt to all their places; places: node, label, place: struct
+    of g, i, j, tag. A set's text is read and hashed once, and its shingles are shuffled once for each place."""
+    to = places.groupBy("node").agg(F.min("label").alias("label"), F.collect_set("place").alias("places"))
+    wanted = settle(to.join(sets, "node").select("key", "s1", "node", "label", "places"))
+    n = wanted.agg(F.sum(F.size("places") + 2)).first()[0] or 0
+    names = ["g", "i", "j", "tag", "node", "label", "found"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
-        nodes, made, n = [], [], 0
+        out, n, done = [], 0, set()
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
         for batch in batches:
-            for data, node, s1 in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for data, s1, node, label, places in zip(as_bytes(batch.column(0)), *[batch.column(k).to_pylist() for k in range(1, 5)], strict=True):
+                if node in done:  # repeated rows of a text: one from each task will do
+                    continue
                 found = shingles(data or b"", size)
-                if digest(found) == s1:  # another text may have the key's hash
-                    nodes.append(node)
-                    made.append(found.tobytes())
-                    n += len(made[-1])
+                if digest(found) != s1:  # another text has the key's hash
+                    continue
+                done.add(node)
+                raw = found.tobytes()
+                out += [(p["g"], p["i"], p["j"], p["tag"], node, label, raw) for p in places]
+                n += len(raw) * len(places)
                 if n >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "found"])
-                    nodes, made, n = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "found"])
+                    yield pack(out)
+                    out, n = [], 0
+        yield pack(out)
+
+    read = docs.join(small(wanted, n, 24), "key").select("text", "s1", "node", "label", "places")
+    return read.mapInArrow(gather, "g long, i int, j int, tag int, node long, label long, found binary")
 
-    read = docs.join(small(wanted, wanted.count(), 24), "key").select("text", "node", "s1").mapInArrow(gather, "node long, found binary")
-    payload = settle(read.groupBy("node").agg(F.first("found").alias("found")))  # repeated rows of a text, met before the shuffle
-    discard(wanted)
-    return payload
 
+def allowed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, node) that sizes and sketches allow to link."""
 
-def star_links(stars: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    def near(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*x, percent) for x in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["hub", "node"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = stars.join(of("node"), "node").join(of("hub"), "hub")
+    return pairs.select("hub", "node", "n_hub", "s_hub", "n_node", "s_node").mapInArrow(near, "hub long, node long")
+
+
+def star_links(docs: DataFrame, sets: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): the links between stars' centres and the others. A star is dealt in chunks, each led by its centre; a task
     holds two sets at a time."""
+    stars = settle(allowed(stars, sets, percent))
     chunks = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("chunks"))
-    rays = stars.join(chunks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", F.lit(1).alias("place"))
-    centres = chunks.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("node"), F.lit(0).alias("place"))
-    dealt = rays.unionByName(centres).join(payload, "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place")
+    place = lambda chunk, tag: F.struct(F.col("hub").alias("g"), chunk.alias("i"), F.lit(0).alias("j"), F.lit(tag).alias("tag")).alias("place")
+    rays = stars.join(chunks, "hub").select("node", F.col("node").alias("label"), place(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), 1))
+    centres = chunks.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select(F.col("hub").alias("node"), F.col("hub").alias("label"), place(F.col("c"), 0))
+    led = dealt(docs, sets, rays.unionByName(centres), size).repartition("g", "i").sortWithinPartitions("g", "i", "tag")
 
     def compare(batches) -> Iterator[pa.RecordBatch]:
-        led, centre = None, np.zeros(0, dtype=np.uint64)
+        at, centre = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             u, v = [], []
             for k in range(0, len(batch), SLICE):
-                for hub, node, place, data in zip(*[c.to_pylist() for c in batch.slice(k, SLICE).columns], strict=True):
+                for hub, tag, node, data in zip(*[c.to_pylist() for c in batch.slice(k, SLICE).columns], strict=True):
                     found = np.frombuffer(data, dtype=np.uint64)
-                    if not place:
-                        led, centre = hub, found
-                    elif led == hub and linked(centre, found, percent):
+                    if not tag:
+                        at, centre = hub, found
+                    elif at == hub and linked(centre, found, percent):
                         u.append(hub)
                         v.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return dealt.select("hub", "node", "place", "found").mapInArrow(compare, "u long, v long")
+    return led.select("g", "tag", "node", "found").mapInArrow(compare, "u long, v long")
 
 
-def block_links(rest: DataFrame, sets: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between sets that parts join and stars have not; rest: node, v (a node with an equal part), label."""
-    groups = components(rest.where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct())
-    labels = rest.groupBy("node").agg(F.min("label").alias("label"))
-    members = settle(groups.join(labels, "node").join(sets.select("node", "n"), "node"))
-    cuts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+def grouped(batches) -> Iterator[pa.Table]:
+    """The rows of each (g, i, j), of which rows stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("g", "i", "j")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(key[:, s]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = tuple(key[:, s])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _told(groups: Iterator[pa.Table], joined: Callable[[pa.Table, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of what is joined in each group; a group is a pair of blocks, or one block with itself."""
+    for group in groups:
+        i, j, tag = (np.asarray(group.column(c)) for c in ("i", "j", "tag"))
+        left = tag == i[0]
+        pairs = joined(group, left, left if i[0] == j[0] else tag == j[0])
+        if pairs:
+            node = np.asarray(group.column("node"))
+            at = np.array(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["u", "v"])
+
+
+def _paired(rows: DataFrame, blocks: F.Column) -> DataFrame:
+    """rows once for each pair of blocks of their group `g` that holds them: adds i, j, and the own block `tag`."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(cuts, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "label", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(payload, "node")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(b, dtype=np.uint64) for b in pdf["found"]]
-        nodes, own, label = pdf["node"].to_numpy(), pdf["own"].to_numpy(), pdf["label"].to_numpy()
-        every = np.arange(len(found))
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            out = links_of(found, every, every, percent, label)
-        else:
-            out = links_of(found, every[own == pdf["i"].iloc[0]], every[own == pdf["j"].iloc[0]], percent, label)
-        return pd.DataFrame({"u": [nodes[a] for a, _ in out], "v": [nodes[b] for _, b in out]}, dtype="int64")
-
-    return dealt.groupBy("component", "i", "j").applyInPandas(link, "u long, v long")
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("tag", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("tag", "other")).withColumn("j", F.greatest("tag", "other")).drop("blocks", "other")
+
+
+def block_links(docs: DataFrame, sets: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): links between sets that parts join and stars have not; rest: part, node, label, n_part (its rows)."""
+
+    def sketched(group: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        return joins(np.asarray(group.column("n")), group.column("sketch").to_pylist(), left, right, percent, np.asarray(group.column("label")))
+
+    def verified(group: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        found = [np.frombuffer(b, dtype=np.uint64) for b in group.column("found").to_pylist()]
+        check = lambda i, j: linked(found[i], found[j], percent)
+        return joins(np.array([len(f) for f in found]), [parity(f) for f in found], left, right, percent, np.asarray(group.column("label")), check)
+
+    first = _paired(rest.withColumnRenamed("part", "g"), F.ceil(F.col("n_part") / BLOCK_SETS)).drop("n_part")
+    first = first.join(sets.select("node", "n", "sketch"), "node").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select("g", "i", "j", "tag", "node", "label", "n", "sketch")
+    may = settle(first.mapInArrow(lambda batches: _told(grouped(batches), sketched), "u long, v long").distinct())
+    labels = rest.groupBy("node").agg(F.min("label").alias("label"))
+    members = settle(components(may).withColumnRenamed("component", "g").join(labels, "node").join(sets.select("node", "n"), "node"))
+    cuts = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("cut"))
+    places = _paired(members.join(cuts, "g"), F.col("cut")).select("node", "label", F.struct("g", "i", "j", "tag").alias("place"))
+    second = dealt(docs, sets, places, size).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return second.mapInArrow(lambda batches: _told(grouped(batches), verified), "u long, v long")
 
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:

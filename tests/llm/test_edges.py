@@ -225,7 +225,7 @@ def test_a_long_chain_of_shared_parts_stays_linear(spark, monkeypatch):
     n = 10_000
     chain = [(i, " ".join([f"c{i // 2}x{k}" for k in range(9)] + [f"d{(i + 1) // 2}x{k}" for k in range(9)] + [f"own{i}x{k}" for k in range(9)])) for i in range(n)]
     asked = []
-    monkeypatch.setattr(near, "block_links", lambda rest, *a: asked.append(rest.count()) or spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(near, "block_links", lambda docs, sets, rest, *a: asked.append(rest.count()) or spark.createDataFrame([], "u long, v long"))
     got = near.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string").repartition(8), percent=80, bits=22).collect()
     assert len(got) == n and all(r.component_id == r.doc_id for r in got) and sum(asked) < n / 50
 
