@@ -48,7 +48,9 @@ def uses_edges(docs: DataFrame) -> DataFrame:
 
 def known_users(uses: DataFrame, users: DataFrame) -> DataFrame:
     """(username, email, fullname) of users on hosts; attributes from the global list where it has them."""
-    return uses.select("username").distinct().join(users.dropDuplicates(["username"]), "username", "left")
+    rest = [c for c in users.columns if c != "username"]
+    once = users.groupBy("username").agg(F.max(F.struct(*rest)).alias("v")).select("username", "v.*")  # of several, always the same
+    return uses.select("username").distinct().join(once, "username", "left")
 
 
 def explode_software(docs: DataFrame) -> DataFrame:

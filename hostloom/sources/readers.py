@@ -55,18 +55,16 @@ def labels(raw: DataFrame, skip_builtin: bool = False) -> DataFrame:
 
 
 def read_threat_feed(spark: SparkSession, path: str, feed: str, platform: str = "chromium", columns: dict[str, str] | None = None) -> DataFrame:
-    """(feed, platform, id, reason, source, date) of a CSV feed with a header; columns maps id, reason, source, date to its names."""
+    """(feed, platform, id, reason, source, date) of the first FEED_ROWS rows of a CSV feed with a header; columns maps id, reason, source, date to its names."""
     columns = {"id": "id", "reason": "reason", "source": "source", "date": "date"} | (columns or {})
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns]).withColumn("row", F.monotonically_increasing_id())
+    raw = raw.orderBy("row").limit(FEED_ROWS)  # the rule of the feed, not a saving
     return feed_rows(raw.select("row", *[(F.col(f"`{v}`") if v in raw.columns else F.lit(None).cast("string")).alias(k) for k, v in columns.items()]), feed, platform)
 
 
 def feed_rows(raw: DataFrame, feed: str, platform: str) -> DataFrame:
-    """Ids lower-cased and checked against the platform's format; default reason, cut texts; the last row of an id wins.
-
-    A feed has at most FEED_ROWS ids: beyond that it is refused, since it is joined as a small table.
-    """
+    """Ids lower-cased and checked against the platform's format; default reason, cut texts; the last row of an id wins."""
     text = lambda c, n: F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n)
     rows = raw.withColumn("id", F.lower(F.trim("id"))).where(F.col("id").rlike(CHROMIUM_ID if platform == "chromium" else FIREFOX_ID))
     last = rows.groupBy("id").agg(F.max_by(F.struct("reason", "source", "date"), "row").alias("v"))
