@@ -73,6 +73,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS)
 
     Two searches, from either end, each a loop over hops (never over rows): the frontier joins the edges, keeps the
     least path to every new node, and drops nodes it has seen. They meet in the middle, so hubs are expanded half as far.
+    Both searches keep their paths in the order from a to b, so the least halves make the least whole.
     """
     if not 1 <= max_hops <= MAX_HOPS:
         raise ValueError(f"1 to {MAX_HOPS} hops")
@@ -83,14 +84,15 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS)
         seen = ask.select("a", "b", F.col(start).alias("node"), F.array(start).alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("hops"))
         front = seen
         for hop in range(1, hops + 1):
-            step = front.join(edges, F.col("node") == F.col("src")).select("a", "b", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("kinds", F.array("kind")).alias("kinds"), F.lit(hop).alias("hops"))
+            nodes, kinds = (["nodes", F.array("dst")], ["kinds", F.array("kind")]) if start == "a" else ([F.array("dst"), "nodes"], [F.array("kind"), "kinds"])
+            step = front.join(edges, F.col("node") == F.col("src")).select("a", "b", F.col("dst").alias("node"), F.concat(*nodes).alias("nodes"), F.concat(*kinds).alias("kinds"))
             step = step.groupBy("a", "b", "node").agg(F.min(F.struct("nodes", "kinds")).alias("p")).select("a", "b", "node", "p.nodes", "p.kinds", F.lit(hop).alias("hops"))
             front = cut(step.join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti"))
             seen = cut(seen.unionByName(front))
         return seen
 
     left = reached("a", (max_hops + 1) // 2)
-    right = reached("b", max_hops // 2).select("a", "b", "node", F.reverse("nodes").alias("back"), F.reverse("kinds").alias("back_kinds"), F.col("hops").alias("back_hops"))
+    right = reached("b", max_hops // 2).select("a", "b", "node", F.col("nodes").alias("back"), F.col("kinds").alias("back_kinds"), F.col("hops").alias("back_hops"))
     met = left.join(right, ["a", "b", "node"]).select("a", "b", (F.col("hops") + F.col("back_hops")).alias("n"), F.concat("nodes", F.slice("back", 2, 2 * MAX_HOPS)).alias("nodes"), F.concat("kinds", "back_kinds").alias("kinds"))
     best = met.groupBy("a", "b").agg(F.min(F.struct("n", "nodes", "kinds")).alias("p"))
     none = F.array().cast("array<string>")

@@ -19,6 +19,10 @@ PERMISSIONS = {
     "downloads": 6, "offscreen": 6, "activeTab": 2, "storage": 1, "contextMenus": 1, "alarms": 1, "notifications": 1, "sidePanel": 1,
 }
 PRIVACY, PRIVACY_CAP = {4: 4, 3: 3, 5: 3, 1: 2, 7: 2}, 8
+PRIVACY_LABELS = {
+    1: "personally identifiable information", 3: "financial and payment information", 4: "authentication information", 5: "personal communications",
+    6: "location", 7: "web history", 8: "user activity", 9: "website content",
+}
 ALL_URLS = ("<all_urls>", "*://*/*", "http://*/*", "https://*/*")
 HOST_PATTERN = r"(?i)^(?:<all_urls>|\*://|[a-z]+://)"
 FEED_THREAT = {"malicious": 100, "unwanted": 70, "listed": 45}
@@ -120,6 +124,7 @@ def capability(df: DataFrame) -> DataFrame:
     n_hosts, n_matches = F.size("hosts"), F.size("matches")
     broad, everywhere = F.arrays_overlap("hosts", every), F.arrays_overlap("matches", every)
     privacy = F.create_map(*[F.lit(x) for k, v in PRIVACY.items() for x in (k, v)])
+    labels = F.create_map(*[F.lit(x) for k, v in PRIVACY_LABELS.items() for x in (k, v)])
     codes = F.array_sort(F.array_distinct(F.filter(F.coalesce("privacy_codes", F.array().cast("array<bigint>")), lambda c: c.isin(*PRIVACY))))
     declared = F.least(F.lit(PRIVACY_CAP), F.aggregate(codes, F.lit(0), lambda a, c: a + F.element_at(privacy, c.cast("int"))))
     reach = F.when(n_hosts > 0, F.when(broad, 20).otherwise(F.least(F.lit(10), 2 * n_hosts))).otherwise(0)
@@ -133,7 +138,7 @@ def capability(df: DataFrame) -> DataFrame:
         when_signal((n_hosts > 0) & ~broad, "host-access", reach, F.format_string("requests access to %d host pattern(s)", n_hosts)),
         when_signal((n_matches > 0) & everywhere, "content-script-all-urls", 10, "content script runs on every page"),
         when_signal((n_matches > 0) & ~everywhere, "content-script", 5, F.format_string("injects a content script into %d pattern(s)", n_matches)),
-        when_signal(F.size(codes) > 0, "declared-data-collection", told, F.concat(F.lit("developer declares it collects data of kinds "), F.array_join(F.transform(codes, lambda c: c.cast("string")), ", "))),
+        when_signal(F.size(codes) > 0, "declared-data-collection", told, F.concat(F.lit("developer declares it collects: "), F.array_join(F.transform(codes, lambda c: F.element_at(labels, c.cast("int"))), ", "))),
         when_signal(weak.isNotNull(), "weak-csp", 15, F.concat(F.lit("content security policy: "), weak)),
     )
     total = F.least(F.lit(100), score + F.when(weak.isNotNull(), 15).otherwise(0)).cast("int")

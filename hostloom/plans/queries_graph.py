@@ -50,7 +50,15 @@ def gr2_blast_scores(inv):
     return graph.blast_scores(graph.blast_radius(inv, "user", inv.users.select(F.col("username").alias("seed"))), inv)
 
 
-@query()
+_STEPS = "".join(f""", p{i} AS (SELECT a, b, dst AS node, min({{'nodes': list_append(p.nodes, dst), 'kinds': list_append(p.kinds, kind)}}) AS p FROM p{i - 1} JOIN e ON src = node
+  ANTI JOIN ({" UNION ALL ".join(f"SELECT a, b, node FROM p{k}" for k in range(i))}) s ON s.a = p{i - 1}.a AND s.b = p{i - 1}.b AND s.node = e.dst GROUP BY a, b, dst)""" for i in range(1, 5))
+
+
+@query(LINKS + """, e AS (SELECT src, dst, min(kind) AS kind FROM (SELECT src, dst, kind FROM links UNION ALL SELECT dst, src, kind FROM links) GROUP BY src, dst),
+ends AS (SELECT 'host_' || min(host_id) AS a, 'host_' || max(host_id) AS b FROM hosts GROUP BY team_id),
+p0 AS (SELECT a, b, a AS node, {'nodes': [a], 'kinds': CAST([] AS VARCHAR[])} AS p FROM ends)""" + _STEPS + """
+SELECT a, b, coalesce(array_to_string(p.nodes, '|'), '') AS nodes, coalesce(array_to_string(p.kinds, '|'), '') AS kinds
+FROM ends LEFT JOIN (""" + " UNION ALL ".join(f"SELECT a, b, p FROM p{i} WHERE node = b" for i in range(5)) + """) USING (a, b)""")
 def gr3_shortest_paths(inv):
     ends = inv.hosts.groupBy("team_id").agg(F.concat(F.lit("host_"), F.min("host_id")).alias("a"), F.concat(F.lit("host_"), F.max("host_id")).alias("b"))
     return graph.shortest_paths(ends, graph.links(inv), 4)

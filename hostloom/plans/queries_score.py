@@ -106,10 +106,11 @@ risk AS (SELECT key, store, hosts AS host_count, capability_score, trust_score,
 banded AS (SELECT *, CASE WHEN risk_score >= 75 THEN 'critical' WHEN risk_score >= 50 THEN 'high' WHEN risk_score >= 25 THEN 'medium' ELSE 'low' END AS risk_band FROM risk)"""
 
 
-@query(LIST + " SELECT key, capability_score FROM cap")
+@query(LIST + " SELECT key, capability_score, CASE WHEN s % 6 = 0 THEN 'developer declares it collects: financial and payment information, authentication information, personal communications' END AS declared FROM cap JOIN li USING (key)")
 def s3_capability(inv):
     df = score.capability(score.permission_sets(listings(inv)))
-    return df.select(F.concat(F.lit("ext:"), "store", F.lit(":"), "extension_id").alias("key"), "capability_score")
+    declared = F.get(F.filter("capability_signals", lambda s: s["code"] == "declared-data-collection"), 0)["detail"]
+    return df.select(F.concat(F.lit("ext:"), "store", F.lit(":"), "extension_id").alias("key"), "capability_score", declared.alias("declared"))
 
 
 @query(LIST + " SELECT key, CASE WHEN s % 10 = 0 THEN '''unsafe-eval'' lets it run code built from strings' WHEN s % 7 = 0 THEN 'loads scripts from https://cdn.example.org' END AS weak FROM li")
@@ -164,7 +165,9 @@ def s13_score_extensions(inv):
     return scored(inv).select("key", "store", "host_count", "capability_score", "trust_score", "threat_score", "exposure_score", "name_penalty", "risk_score", "risk_band", "known_bad")
 
 
-@query()
+@query(LIST + """, seen AS (SELECT extension_key AS key, count(DISTINCT host_id) AS n, list_sort(list(DISTINCT version)) AS versions FROM installed_on WHERE extension_key IS NOT NULL GROUP BY 1)
+SELECT key, sha1('{"display_name":"' || display_name || '","extension_id":"' || extension_id || '","host_count":' || coalesce(n, 0) || ',"installed_paths":[],"key":"' || key || CASE WHEN s % 5 = 0 THEN '","max_cvss":' || CAST(s / 5.0 AS DOUBLE) || ',"name":"' ELSE '","name":"' END || name
+  || '","store":"' || store || '","versions":[' || CASE WHEN n > 0 THEN '"' || array_to_string(versions, '","') || '"' ELSE '' END || '],"rare":' || (SELECT count(*) >= 10 AND coalesce(n, 0) / count(*) < 0.03 FROM hosts) || '}') AS fingerprint FROM li LEFT JOIN seen USING (key)""")
 def s14_fingerprints(inv):
     return score.extension_fingerprints(groups(inv), inv.hosts.agg(F.count("*").alias("fleet_hosts")))
 

@@ -179,7 +179,7 @@ def test_shortest_paths_against_a_plain_search(spark):
         return []
 
     got = {(r.a, r.b): r.nodes for r in graph.shortest_paths(spark.createDataFrame(pairs, "a string, b string"), edges).collect()}
-    assert {k: len(v) for k, v in got.items()} == {p: len(search(*p)) for p in pairs}
+    assert got == {p: search(*p) for p in pairs}
     assert all(not v or all(y in near[x] for x, y in itertools.pairwise(v)) for v in got.values())
     nodes_of, kept = graph.ego_network(spark.createDataFrame([("host_1",)], "seed string"), edges, 2, 3)
     assert [r.hop for r in nodes_of.orderBy("hop", "node").collect()] == [0, 1, 1] and nodes_of.first().truncated and kept.count() == 2
@@ -263,3 +263,9 @@ def test_a_stream_comes_to_what_the_batch_does(spark, tmp_path):
     state = inventory_stream.host_state(spark, str(tmp_path / "s2"))
     assert state.count() == 5 and inventory_stream.stale_hosts(state, "2001-02-01").count() == 5
     assert inventory_stream.host_state(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_titles_lose_every_suffix(spark):
+    cases = {"Tool 1.2.3": "tool", "Tool" + " (a)" * 9 + " x64 (b) 64-bit": "tool", "Tool (x) Release 7 (y)": "tool", "": "", None: None, "a (b) c": "a (b) c", "(x)": ""}
+    df = spark.createDataFrame([(n,) for n in cases], "n string")
+    assert {r.n: r.t for r in df.select("n", categorize.normalize_title(F.col("n")).alias("t")).collect()} == cases
