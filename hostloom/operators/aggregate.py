@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from hostloom.functions import lists
 from hostloom.plans.inventory import Inventory
 
-LIST_CAP = 500
+#: LIST_LIMIT bounds the lists of names in a report's row; the tables behind them hold all.
+LIST_CAP, LIST_LIMIT = 500, 10_000
 
 
 def platform_thresholds(hosts: DataFrame, share: float = lists.OUTLIER_SHARE) -> DataFrame:
@@ -57,18 +58,31 @@ def platforms(inv: Inventory) -> DataFrame:
     return inv.hosts.where(F.coalesce("platform", F.lit("")) != "").select("platform").distinct().orderBy("platform")
 
 
-def users_by_software(inv: Inventory, names: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(name, users): sorted distinct users of each title's hosts in scope. names: (name)."""
+def first_of_each(rows: DataFrame, by: list[str], column: str, alias: str, limit: int) -> DataFrame:
+    """(*by, alias): the first `limit` values of each group, sorted. Rows are distinct and not null. Each map task sends at
+    most `limit` of a group, so a group of any size fits."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(column))).where(F.col("_n") <= limit)
+    return first.groupBy(*by).agg(F.sort_array(F.collect_list(column)).alias(alias))
+
+
+def users_of(inv: Inventory, names: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(name, username): distinct users of each title's hosts in scope, one row each. names: (name)."""
     wanted = inv.installed_on.select("name", "host_id").join(names.distinct(), "name", "left_semi").join(hosts.select("host_id"), "host_id", "left_semi")
-    return wanted.join(inv.uses, "host_id").groupBy("name").agg(F.sort_array(F.collect_set("username")).alias("users"))
+    return wanted.join(inv.uses.where("username IS NOT NULL"), "host_id").select("name", "username").distinct()
+
+
+def users_by_software(inv: Inventory, names: DataFrame, hosts: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """(name, users): sorted distinct users of each title's hosts in scope, the first `limit`; `users_of` has all."""
+    return first_of_each(users_of(inv, names, hosts), ["name"], "username", "users", limit)
 
 
-def detection_summary(found: DataFrame) -> DataFrame:
-    """(measure, value, n): counts in all, by level, category and type in one pass of grouping sets, and the distinct hosts and users."""
+def detection_summary(found: DataFrame, hostnames: DataFrame, usernames: DataFrame) -> DataFrame:
+    """(measure, value, n): counts in all, by level, category and type in one pass of grouping sets, and the distinct hosts
+    and users. found: findings; hostnames, usernames: all hosts and users of them (`detect.affected`), not the lists in rows."""
     by = found.groupingSets([[], ["risk_level"], ["category"], ["detection_type"]], "risk_level", "category", "detection_type").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     names = F.create_map(*[F.lit(x) for pair in ((7, "total"), (3, "risk_level"), (5, "category"), (6, "detection_type")) for x in pair])
     counts = by.select(F.element_at(names, F.col("g").cast("int")).alias("measure"), F.coalesce("risk_level", "category", "detection_type", F.lit("all")).alias("value"), "n")
-    distinct = [found.select(F.explode(c).alias("x")).agg(F.count_distinct("x").alias("n")).select(F.lit(c).alias("measure"), F.lit("all").alias("value"), "n") for c in ("affected_hosts", "affected_users")]
+    distinct = [df.agg(F.count_distinct(c).alias("n")).select(F.lit(m).alias("measure"), F.lit("all").alias("value"), "n") for m, df, c in (("affected_hosts", hostnames, "hostname"), ("affected_users", usernames, "username"))]
     return counts.unionByName(distinct[0]).unionByName(distinct[1])
 
 

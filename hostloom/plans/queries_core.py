@@ -129,7 +129,8 @@ UNION ALL SELECT 'detection_type', detection_type, count(*) FROM found GROUP BY
 UNION ALL SELECT 'affected_hosts', 'all', count(DISTINCT x) FROM (SELECT unnest(string_split(affected_hosts, '|')) AS x FROM found)
 UNION ALL SELECT 'affected_users', 'all', count(DISTINCT x) FROM (SELECT unnest(string_split(affected_users, '|')) AS x FROM found) WHERE x <> ''""")
 def agg7_detection_summary(inv):
-    return aggregate.detection_summary(detect.detections(inv, inv.hosts, approved(inv)))
+    found = detect.findings(inv, inv.hosts, approved(inv))
+    return aggregate.detection_summary(found, *detect.affected(inv, found, inv.hosts, approved(inv)))
 
 
 @query(THRESHOLDS + " SELECT * FROM thresholds")

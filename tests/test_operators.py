@@ -269,3 +269,17 @@ def test_titles_lose_every_suffix(spark):
     cases = {"Tool 1.2.3": "tool", "Tool" + " (a)" * 9 + " x64 (b) 64-bit": "tool", "Tool (x) Release 7 (y)": "tool", "": "", None: None, "a (b) c": "a (b) c", "(x)": ""}
     df = spark.createDataFrame([(n,) for n in cases], "n string")
     assert {r.n: r.t for r in df.select("n", categorize.normalize_title(F.col("n")).alias("t")).collect()} == cases
+
+
+def test_lists_of_detections_are_bounded_and_counts_are_not(spark):
+    inv = fleet(spark)
+    wide = spark.range(100, 130).select(F.col("id").alias("host_id"), F.format_string("w%03d", "id").alias("hostname"), F.lit("p").alias("platform"))
+    software = spark.createDataFrame([("teamviewer", "teamviewer", ["apps"], ["Tool"])], "name string, display_name string, sources array<string>, category array<string>")
+    installed = wide.select(F.lit("teamviewer").alias("name"), "host_id", F.lit("1").alias("version"))
+    uses = wide.select(F.concat(F.lit("u"), "hostname").alias("username"), "host_id")
+    big = Inventory(**(inv.__dict__ | {"hosts": wide, "software": software, "installed_on": installed, "uses": uses}))
+    row = detect.detections(big, wide, kind="high_risk", limit=5).collect()
+    assert [(r.software_name, r.host_count, r.affected_hosts, r.affected_users) for r in row] == [("teamviewer", 30, [f"w{i}" for i in range(100, 105)], [f"uw{i}" for i in range(100, 105)])]
+    on, of = detect.affected(big, detect.findings(big, wide, kinds=("high_risk",)), wide)
+    assert on.count() == 30 and of.count() == 30
+    assert detect.detections(big, wide, kind="outlier").count() == 0 and detect.detections(big, wide, kind="version_sprawl").count() == 0
