@@ -25,34 +25,61 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("host_id").agg(F.max(F.struct("updated_at", *rest)).alias("m")).select("host_id", *[F.col(f"m.{c}").alias(c) for c in rows.columns if c != "host_id"])
 
 
-def merge_newest(path: str) -> Callable[[DataFrame, int], None]:
+def _bucket_folders(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Of each bucket the versions that hold it, oldest first; versions that weren't finished don't count."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for v in fs.listStatus(root) if fs.exists(root) else []:
+        if v.getPath().getName().startswith("v=") and fs.exists(jvm.Path(v.getPath(), "_SUCCESS")):
+            for b in fs.listStatus(v.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    found.setdefault(int(b.getPath().getName()[7:]), []).append(int(v.getPath().getName()[2:]))
+    return {b: sorted(vs) for b, vs in found.items()}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def merge_newest(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: the state under `path` becomes the newest row of each host.
 
-    Every batch writes a version of its own and reads the one before, so a batch that fails or runs again changes
-    nothing that others have read: the greater updated_at wins, whatever the order of batches.
+    State lies in buckets by a hash of the host. A batch reads and writes only the buckets that its hosts fall into, as
+    `v=<batch>/bucket=<b>`; of each bucket the newest version counts. Choose `buckets` (fixed for a path) so that one fits a
+    task. A batch that fails or runs again changes nothing that others have read: it starts from versions before its own, and
+    each bucket's version before the last one is kept. Older ones are removed.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}"))
-        newest(rows).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        number = F.pmod(F.xxhash64("host_id"), F.lit(buckets)).cast("int")
+        batch = newest(batch).persist()
+        touched = sorted(r.b for r in batch.select(number.alias("b")).distinct().collect())  # at most `buckets` numbers
+        held = {b: [v for v in vs if v < batch_id] for b, vs in _bucket_folders(spark, path).items()}
+        old = [f"{path}/v={held[b][-1]}/bucket={b}" for b in touched if held.get(b)]
+        rows = newest(batch.unionByName(spark.read.schema(batch.schema).parquet(*old))) if old else batch
+        rows.withColumn("bucket", number).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+        for b in touched:
+            for v in held.get(b, [])[:-1]:
+                _remove(spark, f"{path}/v={v}/bucket={b}")
+        batch.unpersist()
 
     return step
 
 
-def stream_host_state(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Starts the ingest of a stream of host rows; available input is processed, then the query ends. The checkpoint is the
-    watermark: a failed batch doesn't advance it."""
-    return stream_dedupe(docs).writeStream.foreachBatch(merge_newest(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_host_state(docs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Starts the ingest of a stream of host rows; available input is processed, then the query ends. A failed batch doesn't
+    advance the checkpoint. The merge takes repeated and late rows as they come, so none is dropped."""
+    return docs.writeStream.foreachBatch(merge_newest(path, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def host_state(spark: SparkSession, path: str, schema: str = HOST_COLUMNS) -> DataFrame:
-    """The state's last version, empty before the first batch."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.Path(s.getPath(), "_SUCCESS"))] if fs.exists(root) else []
-    return spark.read.schema(schema).parquet(f"{path}/v={max(done)}") if done else spark.createDataFrame([], schema)
+    """The state: the last version of each bucket; empty before the first batch."""
+    last = [f"{path}/v={vs[-1]}/bucket={b}" for b, vs in sorted(_bucket_folders(spark, path).items())]
+    return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)
 
 
 def stale_hosts(state: DataFrame, as_of: str, days: int = 7) -> DataFrame:

@@ -283,3 +283,19 @@ def test_lists_of_detections_are_bounded_and_counts_are_not(spark):
     on, of = detect.affected(big, detect.findings(big, wide, kinds=("high_risk",)), wide)
     assert on.count() == 30 and of.count() == 30
     assert detect.detections(big, wide, kind="outlier").count() == 0 and detect.detections(big, wide, kind="version_sprawl").count() == 0
+
+
+def test_stream_state_rewrites_touched_buckets_only_and_takes_late_rows(spark, tmp_path):
+    path = str(tmp_path / "state")
+    make = lambda *rows: spark.createDataFrame(rows, "host_id long, hostname string, t string").select("host_id", "hostname", F.lit("p").alias("platform"), F.col("t").cast("timestamp").alias("updated_at"))
+    step = inventory_stream.merge_newest(path, 8)
+    step(make(*[(i, "first", "2001-01-02") for i in range(100)]), 0)
+    for batch in range(1, 5):
+        step(make((7, f"new{batch}", f"2001-01-0{2 + batch}"), (7, "old", "2000-01-01"), (1000, "late", "1999-01-01")), batch)
+    step(make((7, "new4", "2001-01-06")), 4)  # runs again
+    state = {r.host_id: r.hostname for r in inventory_stream.host_state(spark, path).collect()}
+    assert state == {i: "first" for i in range(100)} | {7: "new4", 1000: "late"}
+    held = inventory_stream._bucket_folders(spark, path)
+    assert len(held) == 8 and all(len(v) <= 2 for v in held.values()) and sum(v == [0] for v in held.values()) >= 6
+    step(make(), 5)
+    assert {r.host_id: r.hostname for r in inventory_stream.host_state(spark, path).collect()} == state
