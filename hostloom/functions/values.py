@@ -80,6 +80,11 @@ def range_version_key(version: Column, width: Column | int = 12) -> Column:
     return F.transform(padded, key)
 
 
+def greatest_version(version: str = "version") -> Column:
+    """Aggregate: the greatest version by `version_sort_key`, so 10.0 beats 9.0; ties by text, null only where all are."""
+    return F.max(F.when(F.col(version).isNotNull(), F.struct(version_sort_key(F.col(version)).alias("k"), F.col(version).alias("v"))))["v"]
+
+
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1 in the order of version ranges; null if either is null."""
     width = F.greatest(F.size(F.split(F.trim(a), r"\.")), F.size(F.split(F.trim(b), r"\.")))

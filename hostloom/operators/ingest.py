@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.functions import lists
-from hostloom.functions.values import filled, first_filled
+from hostloom.functions.values import filled, first_filled, greatest_version
 from hostloom.sources.readers import latest
 
 # Vendor component extensions, install roots, store formats.
@@ -156,7 +156,7 @@ def merge_case_variants(software: DataFrame, installed_on: DataFrame) -> tuple[D
     """Titles that differ in case only become one in lower case, with all versions and sources; edges follow, one per title and host."""
     merged = software.groupBy(F.lower("name").alias("name")).agg(F.min("display_name").alias("display_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions")))).alias("versions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     edges = installed_on.withColumn("name", F.lower("name"))
-    return merged, edges.groupBy("name", "host_id").agg(F.max("version").alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return merged, edges.groupBy("name", "host_id").agg(greatest_version().alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def merge_extension_keys(software: DataFrame, installed_on: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +166,7 @@ def merge_extension_keys(software: DataFrame, installed_on: DataFrame) -> tuple[
     order = F.struct((F.lower("name") != F.col("extension_key")).alias("a"), path.alias("b"), F.length("name").alias("c"), F.col("name").alias("d"))
     ext = software.where(F.col("extension_key").isNotNull())
     nodes = ext.groupBy("extension_key").agg(F.min_by("name", order).alias("survivor"), F.min_by("display_name", order).alias("display_name"), F.count("*").alias("merged"))
-    edges = installed_on.where(F.col("extension_key").isNotNull()).groupBy(F.col("extension_key").alias("name"), "host_id").agg(F.max("version").alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    edges = installed_on.where(F.col("extension_key").isNotNull()).groupBy(F.col("extension_key").alias("name"), "host_id").agg(greatest_version().alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     return nodes.withColumnRenamed("extension_key", "name"), edges
 
 
@@ -179,8 +179,9 @@ def dedupe_edges(installed_on: DataFrame, hosts: DataFrame | None = None) -> tup
 
 def display_names(hosts: DataFrame) -> DataFrame:
     """Adds display_name: `<hostname> #<id>` where several hosts share the hostname."""
-    n = F.count("*").over(Window.partitionBy("hostname"))
-    return hosts.withColumn("display_name", F.when(n > 1, F.concat("hostname", F.lit(" #"), F.col("host_id").cast("string"))).otherwise(F.col("hostname")))
+    shared = hosts.groupBy(F.col("hostname").alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1")
+    shown = F.when(F.col("_n").isNotNull(), F.concat("hostname", F.lit(" #"), F.col("host_id").cast("string"))).otherwise(F.col("hostname"))
+    return hosts.join(shared, F.col("hostname") == F.col("_h"), "left").withColumn("display_name", shown).drop("_h", "_n")
 
 
 def is_browser_extension(source: Column) -> Column:

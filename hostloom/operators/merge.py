@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.functions.values import version_sort_key
+from hostloom.functions.values import greatest_version, version_sort_key
 
 STALE_DAYS, SKEW_MINUTES, ORPHANS_SHOWN = 7, 5, 50
 
@@ -83,7 +83,7 @@ def upsert_installed_on(state: DataFrame, batch: DataFrame, hosts: DataFrame, se
     by_name = old.join(batch.select("host_id", "name").distinct(), ["host_id", "name"], "left_semi")
     by_key = old.join(batch.select("host_id", "name").distinct(), ["host_id", "name"], "left_anti").join(batch.select("host_id", "extension_key").where(F.col("extension_key").isNotNull()).distinct(), ["host_id", "extension_key"], "left_semi").select(state.columns)
     at = F.lit(seen_at).cast("timestamp")
-    now = batch.join(touched, "host_id", "left_semi").groupBy("name", "host_id").agg(F.max("version").alias("version"), F.max("source").alias("source"), F.max("extension_key").alias("extension_key")).withColumns({"first_seen": at, "last_seen": at})
+    now = batch.join(touched, "host_id", "left_semi").groupBy("name", "host_id").agg(greatest_version().alias("version"), F.max("source").alias("source"), F.max("extension_key").alias("extension_key")).withColumns({"first_seen": at, "last_seen": at})
     a, b = by_name.alias("a"), now.alias("b")
     merged = b.join(a, ["name", "host_id"], "left").select("name", "host_id", *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("version", "source", "extension_key")], F.coalesce("a.first_seen", "b.first_seen").alias("first_seen"), "b.last_seen")
     columns = ["name", "host_id", "version", "source", "extension_key", "first_seen", "last_seen"]

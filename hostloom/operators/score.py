@@ -257,7 +257,7 @@ def publisher_reputable(ext: DataFrame, publishers: DataFrame, verified: DataFra
         F.when((F.col("store") == "safari") & F.endswith(F.lower("extension_id"), F.concat(F.lit("@"), F.lower("app_team_id"))), F.struct(F.lit("safari").alias("kind"), F.col("app_team_id").alias("trusted"))),
     ), lambda c: c.isNotNull())).alias("c")).select("key", "c.*")
     authors = ext.where("store = 'firefox'").select("key", F.lit("firefox").alias("kind"), F.explode(F.transform("author_ids", lambda a: a.cast("string"))).alias("trusted"))
-    known = claims.unionByName(authors).join(F.broadcast(ids), ["kind", "trusted"], "left_semi").select("key").distinct()
+    known = claims.unionByName(authors).join(ids, ["kind", "trusted"], "left_semi").select("key").distinct()
     return ext.select("key").distinct().join(known.withColumn("_k", F.lit(True)), "key", "left").join(verified, "key", "left").select("key", (F.coalesce("_k", F.lit(False)) & F.coalesce("verified", F.lit(False))).alias("reputable"))
 
 

@@ -299,3 +299,10 @@ def test_stream_state_rewrites_touched_buckets_only_and_takes_late_rows(spark, t
     assert len(held) == 8 and all(len(v) <= 2 for v in held.values()) and sum(v == [0] for v in held.values()) >= 6
     step(make(), 5)
     assert {r.host_id: r.hostname for r in inventory_stream.host_state(spark, path).collect()} == state
+
+
+def test_display_names_and_greatest_versions(spark):
+    hosts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "host_id long, hostname string")
+    assert {r.host_id: r.display_name for r in ingest.display_names(hosts).collect()} == {1: "a #1", 2: "a #2", 3: "b", 4: None, 5: None}
+    df = spark.createDataFrame([("x", "9.0"), ("x", "10.0"), ("x", None), ("y", None)], "name string, version string")
+    assert {r.name: r.v for r in df.groupBy("name").agg(values.greatest_version().alias("v")).collect()} == {"x": "10.0", "y": None}
