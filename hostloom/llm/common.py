@@ -89,10 +89,15 @@ def word_hashes(data: bytes, seed: int = 0) -> np.ndarray:
     Words are read in lanes of eight bytes. Each lane passes the finaliser with its place before lanes are added up, so
     no pattern of letters cancels out, as it would in a polynomial modulo 2 ** 64.
     """
-    whole = data + bytes(8)
     starts, ends = word_bounds(np.frombuffer(data, dtype=np.uint8))
+    return span_hashes(data, starts, ends, seed)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hashes of word_hashes for any spans of the bytes, in their order."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    whole = data + bytes(8)
     sizes = ends - starts
     eight = np.ndarray(len(whole) - 7, dtype="<u8", buffer=whole, strides=(1,))
     out = eight[starts] & _LANE[np.minimum(sizes, 8)]

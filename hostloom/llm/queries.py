@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import decontaminate, language, mix, near, pii, quality, secrets, shard, substrings, urls
+from hostloom.llm import bpe, decontaminate, language, mix, near, pii, quality, secrets, shard, substrings, urls
 from hostloom.llm.common import table
 
 
@@ -54,7 +54,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op3_near_matches, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN), tokens)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op3_near_matches, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates, op13_byte_bpe)}
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
