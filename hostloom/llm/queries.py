@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import bpe, decontaminate, language, mix, near, negatives, pii, quality, secrets, shard, substrings, urls
+from hostloom.llm import bpe, decontaminate, language, mix, near, negatives, pii, quality, repair, secrets, shard, substrings, urls
 from hostloom.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damage(conversations))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +71,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op3_near_matches, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates, op12_hard_negatives, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_shards, op2_url_filter, op3_decontaminate, op3_near_matches, op4_substring_dedup, op5_secrets, op6_pii, op7_quality, op8_mix, op9_language, op10_near_duplicates, op11_conversation_repair, op12_hard_negatives, op13_byte_bpe)}
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
