@@ -215,9 +215,9 @@ def cat1_normalize(inv):
     return inv.software.select("name", categorize.normalize_title(F.col("name")).alias("title"))
 
 
-@query(" SELECT name, CASE p_partkey % 20 WHEN 5 THEN 'Communication|Team Chat' WHEN 6 THEN 'Browser' END AS catalog_category FROM software")
+@query(" SELECT name, CASE p_partkey % 20 WHEN 5 THEN 'Communication|Team Chat' WHEN 6 THEN 'Browser' END AS catalog_category, CASE p_partkey % 20 WHEN 5 THEN 'Workplace messaging and collaboration platform.' WHEN 6 THEN 'Google''s web browser based on Chromium.' END AS catalog_description FROM software")
 def cat2_catalog(inv):
-    return categorize.catalog_lookup(inv.software).select("name", "catalog_category")
+    return categorize.catalog_lookup(inv.software).select("name", "catalog_category", "catalog_description")
 
 
 def _articles(inv: Inventory) -> DataFrame:
@@ -227,11 +227,13 @@ def _articles(inv: Inventory) -> DataFrame:
 
 
 @query(""" SELECT name, CASE WHEN p_partkey % 20 = 5 THEN 'Communication|Team Chat' WHEN p_partkey % 20 = 6 THEN 'Browser' WHEN p_size % 7 = 0 THEN p_type WHEN p_size % 3 = 0 THEN 'Browser' WHEN p_size % 2 = 0 THEN 'Application' ELSE p_type END AS category,
-CASE WHEN p_partkey % 20 IN (5, 6) OR p_size % 7 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'Is a web browser for U.S. users.' WHEN p_size % 2 = 0 THEN 'A roguelike game.' END AS description,
+CASE WHEN p_partkey % 20 = 5 THEN 'Workplace messaging and collaboration platform.' WHEN p_partkey % 20 = 6 THEN 'Google''s web browser based on Chromium.' WHEN p_size % 7 = 0 THEN 'told ' || vendor WHEN p_size % 3 = 0 THEN 'Is a web browser for U.S. users.' WHEN p_size % 2 = 0 THEN 'A roguelike game.' ELSE 'told ' || vendor END AS description,
+CAST(p_size % 4 + 1 AS INTEGER) AS attempts,
 CASE WHEN p_partkey % 20 IN (5, 6) THEN 'catalog' WHEN p_size % 7 = 0 THEN 'miss' WHEN p_size % 3 = 0 OR p_size % 2 = 0 THEN 'article' ELSE 'miss' END AS outcome FROM software""")
 def cat6_categorize(inv):
     # one article a title: parts that share a normalised title are catalog hits anyway
-    return categorize.categorize(inv.software, _articles(inv), AS_OF).select("name", "category", "description", "outcome")
+    stored = inv.software.withColumn("description", F.concat(F.lit("told "), "vendor")).withColumn("attempts", F.col("p_size") % 4)
+    return categorize.categorize(stored, _articles(inv), AS_OF).select("name", "category", "description", "attempts", "outcome")
 
 
 @query(" SELECT name, CASE WHEN p_partkey % 20 IN (5, 6) OR p_size % 2 = 0 THEN p_type END AS category FROM software")
