@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostloom.functions.shared import shared_dir
 from hostloom.functions.values import typed_id
 from hostloom.plans.inventory import Inventory
 
@@ -16,10 +15,10 @@ MAX_HOPS, EGO_HOPS, EGO_CAP, GRAPH_TITLES = 6, 3, 500, 50
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder that the session names; a folder of our own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-hostloom-"))
+    """checkpoint() to the shared folder that the session names."""
+    at, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
     return df.checkpoint()
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostloom.functions.shared import shared_dir
 from hostloom.operators import aggregate, categorize, runs, scope, score
 from hostloom.plans.inventory import SQL, Inventory, inventory
 from hostloom.plans.queries_core import flat
@@ -310,11 +311,8 @@ def str3_stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder of this run under the session's shared folder; a local one only where none is named."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-hostloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of this run under the session's shared folder."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 QUERIES |= {"str1_stream_hosts": str1_stream_hosts, "str3_stream_activity": str3_stream_activity}

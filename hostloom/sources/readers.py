@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from hostloom.functions.values import first_filled
 
@@ -13,6 +14,7 @@ seen_time timestamp, updated_at timestamp, software_updated_at string, team_id b
 software array<struct<name:string,version:string,source:string,display_name:string,bundle_identifier:string,extension_id:string,browser:string,extension_for:string,vendor:string,generated_cpe:string,
 installed_paths:array<string>,signature_information:array<struct<installed_path:string,team_identifier:string>>,
 vulnerabilities:array<struct<cve:string,cve_id:string,cvss_score:double,cvss:double,cvss_v3_score:double,epss_probability:double,details:string,created_at:string>>>>"""
+CORRUPT = "_corrupt_record"
 USER = "username string, email string, name string, full_name string"
 LABEL = "id bigint, name string, description string, label_type string, label_membership_type string, query string, host_count bigint"
 BLOCKLIST = "guid string, why string, versionRange array<struct<minVersion:string,maxVersion:string>>"
@@ -25,8 +27,33 @@ REASON_CHARS, SOURCE_CHARS, DATE_CHARS, FEED_ROWS = 120, 300, 40, 200_000
 
 
 def read_host_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested host documents, one JSON object a line; malformed lines and rows without an id are dropped."""
-    return named_hosts(spark.read.schema(HOST_DOCUMENT).option("mode", "DROPMALFORMED").json(path))
+    """Nested host documents, one JSON object a line. Malformed lines and documents without an id are left to `quarantine`."""
+    return sound_documents(_documents(spark.read, path))
+
+
+def stream_host_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream of the files that land under a folder."""
+    return sound_documents(_documents(spark.readStream, path))
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cause, record): the lines of host documents that aren't read, `malformed` (no JSON object, cut off, or a field of
+    another type: as they came) or `no id` (as they were read). With `read_host_documents` it covers every line but empty ones."""
+    docs = _documents(spark.read, path)
+    cause = F.when(F.col(CORRUPT).isNotNull(), "malformed").when(F.col("id").isNull(), "no id")
+    whole = F.to_json(F.struct(*[c for c in docs.columns if c not in (CORRUPT, "file")]))
+    return docs.select("file", cause.alias("cause"), F.coalesce(CORRUPT, whole).alias("record")).where("cause IS NOT NULL")
+
+
+def _documents(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """All lines: those that fit the schema, and the text of those that don't in a column of its own."""
+    rows = reader.schema(f"{HOST_DOCUMENT}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def sound_documents(docs: DataFrame) -> DataFrame:
+    """The documents of `_documents` that fit the schema and have an id."""
+    return named_hosts(docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file"))
 
 
 def named_hosts(docs: DataFrame) -> DataFrame:
