@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostloom.functions.shared import shared_dir
+from hostloom.functions.shared import discard, settle, shared_dir
 from hostloom.functions.values import typed_id
 from hostloom.plans.inventory import Inventory
 
 #: Accounts that are on every host and say nothing about reach.
 DEFAULT_ACCOUNTS = ("root", "administrator", "admin", "guest", "defaultaccount", "wdagutilityaccount")
 MAX_HOPS, EGO_HOPS, EGO_CAP, GRAPH_TITLES = 6, 3, 500, 50
+#: Neighbours of a node that one block of its adjacency holds, about.
+ADJACENT = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,55 +68,104 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "kind").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def adjacency(edges: DataFrame, block: int = ADJACENT) -> tuple[DataFrame, DataFrame]:
+    """(blocks, hubs). blocks: (src, block, dst, kind), both directions, one row for each pair of neighbours with its least
+    kind; hubs: (src, blocks) of nodes with more than `block` neighbours, which are dealt over that many blocks, so that no
+    task joins a whole hub."""
+    both = both_ways(edges).groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    hubs = settle(both.groupBy("src").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    number = F.pmod(F.xxhash64("dst"), F.coalesce("blocks", F.lit(1))).cast("int")
+    return settle(both.join(hubs, "src", "left").select("src", number.alias("block"), "dst", "kind")), hubs
+
+
+def neighbours(front: DataFrame, blocks: DataFrame, hubs: DataFrame) -> DataFrame:
+    """front(node, ...) with `dst` and `kind` of each neighbour; a hub's row meets each of its blocks by itself."""
+    dealt = front.join(hubs.select(F.col("src").alias("node"), "blocks"), "node", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return dealt.join(blocks.withColumnRenamed("src", "node"), ["node", "block"]).drop("block")
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, block: int = ADJACENT) -> DataFrame:
     """(a, b, nodes, kinds): a shortest undirected path of at most `max_hops` between each pair; of several the one
     whose node ids come first. a == b: the node alone; no path: empty arrays. pairs: (a, b).
 
-    Two searches, from either end, each a loop over hops (never over rows): the frontier joins the edges, keeps the
-    least path to every new node, and drops nodes it has seen. They meet in the middle, so hubs are expanded half as far.
-    Both searches keep their paths in the order from a to b, so the least halves make the least whole.
+    Two searches, from either end, one hop at a time for all pairs together (a loop over hops, never over rows). Each pair
+    goes on from the end that has the fewer nodes to go on from. After every hop the two fronts are joined: pairs whose
+    fronts meet are done and leave, as do pairs with an empty front, so the loop ends with the longest path that there is.
+    Fronts hold the least path to each node, from a or to b, in the order from a to b, so the least halves make the least
+    whole: a shortest path crosses both fronts in one node.
     """
     if not 1 <= max_hops <= MAX_HOPS:
         raise ValueError(f"1 to {MAX_HOPS} hops")
-    edges = cut(both_ways(edges).groupBy("src", "dst").agg(F.min("kind").alias("kind")))
-    ask = cut(pairs.select("a", "b").distinct())
-
-    def reached(start: str, hops: int) -> DataFrame:
-        seen = ask.select("a", "b", F.col(start).alias("node"), F.array(start).alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("hops"))
-        front = seen
-        for hop in range(1, hops + 1):
-            nodes, kinds = (["nodes", F.array("dst")], ["kinds", F.array("kind")]) if start == "a" else ([F.array("dst"), "nodes"], [F.array("kind"), "kinds"])
-            step = front.join(edges, F.col("node") == F.col("src")).select("a", "b", F.col("dst").alias("node"), F.concat(*nodes).alias("nodes"), F.concat(*kinds).alias("kinds"))
-            step = step.groupBy("a", "b", "node").agg(F.min(F.struct("nodes", "kinds")).alias("p")).select("a", "b", "node", "p.nodes", "p.kinds", F.lit(hop).alias("hops"))
-            front = cut(step.join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti"))
-            seen = cut(seen.unionByName(front))
-        return seen
-
-    left = reached("a", (max_hops + 1) // 2)
-    right = reached("b", max_hops // 2).select("a", "b", "node", F.col("nodes").alias("back"), F.col("kinds").alias("back_kinds"), F.col("hops").alias("back_hops"))
-    met = left.join(right, ["a", "b", "node"]).select("a", "b", (F.col("hops") + F.col("back_hops")).alias("n"), F.concat("nodes", F.slice("back", 2, 2 * MAX_HOPS)).alias("nodes"), F.concat("kinds", "back_kinds").alias("kinds"))
-    best = met.groupBy("a", "b").agg(F.min(F.struct("n", "nodes", "kinds")).alias("p"))
+    blocks, hubs = adjacency(edges, block)
+    ask = settle(pairs.select("a", "b").distinct())
     none = F.array().cast("array<string>")
-    return ask.join(best, ["a", "b"], "left").select("a", "b", F.coalesce("p.nodes", none).alias("nodes"), F.coalesce("p.kinds", none).alias("kinds"))
+    start = lambda end: settle(ask.select("a", "b", F.col(end).alias("node"), F.array(end).alias("nodes"), none.alias("kinds")))
+    front = {end: start(end) for end in ("a", "b")}
+    seen = {end: front[end].select("a", "b", "node") for end in ("a", "b")}
+    found, old = [], []
+
+    def go_on(end: str, chosen: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The front of `end` after a hop of the chosen pairs, with that of the others; the nodes seen so far. Pairs that are done drop out."""
+        ahead = end == "a"
+        going = front[end].join(chosen, ["a", "b"], "left_semi")
+        nodes = F.concat("nodes", F.array("dst")) if ahead else F.concat(F.array("dst"), "nodes")
+        kinds = F.concat("kinds", F.array("kind")) if ahead else F.concat(F.array("kind"), "kinds")
+        step = neighbours(going, blocks, hubs).select("a", "b", F.col("dst").alias("node"), F.struct(nodes.alias("nodes"), kinds.alias("kinds")).alias("p"))
+        step = step.join(seen[end], ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("p").alias("p")).select("a", "b", "node", "p.*")
+        new = settle(step)
+        rest = front[end].join(others, ["a", "b"], "left_semi")
+        return settle(rest.unionByName(new)), settle(seen[end].unionByName(new.select("a", "b", "node")))
+
+    for hop in range(max_hops + 1):
+        back = front["b"].select("a", "b", "node", F.col("nodes").alias("back"), F.col("kinds").alias("back_kinds"))
+        met = front["a"].join(back, ["a", "b", "node"]).select("a", "b", F.concat("nodes", F.slice("back", 2, 2 * MAX_HOPS)).alias("nodes"), F.concat("kinds", "back_kinds").alias("kinds"))
+        found.append(settle(met.groupBy("a", "b").agg(F.min(F.struct("nodes", "kinds")).alias("p"))))
+        sizes = [front[end].groupBy("a", "b").agg(F.count("*").alias(f"n_{end}")) for end in ("a", "b")]
+        left = settle(sizes[0].join(sizes[1], ["a", "b"]).join(found[-1], ["a", "b"], "left_anti"))
+        if hop == max_hops or left.isEmpty():
+            break
+        old += [front["a"], front["b"], seen["a"], seen["b"], left]
+        few, many = (left.where(c).select("a", "b") for c in ("n_a <= n_b", "n_a > n_b"))
+        (front["a"], seen["a"]), (front["b"], seen["b"]) = go_on("a", few, many), go_on("b", many, few)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = settle(ask.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("p.nodes", none).alias("nodes"), F.coalesce("p.kinds", none).alias("kinds")))
+    discard(blocks, hubs, ask, *found, *old, *front.values(), *seen.values())
+    return out
 
 
 def ego_network(seeds: DataFrame, edges: DataFrame, depth: int = 1, cap: int = EGO_CAP) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) around each seed. nodes: (seed, node, hop, truncated), at most `cap` a seed, nearest hop first,
-    then by id; `truncated` tells that the seed has more. links: (seed, src, dst, kind) with both ends kept."""
+    then by id; `truncated` tells that the seed has more. links: (seed, src, dst, kind) with both ends kept.
+
+    A seed has a budget of cap + 1 nodes: each hop takes the least new ids that are left of it, and a seed without budget
+    leaves the front. So only the cap + 1 least neighbours of a node can matter (the ones seen before are among the
+    budget), and the adjacency is cut to these before any hop, on the map side first; hubs are never expanded whole.
+    Links are looked up from their hosts' ends: a host's list is bounded, the hosts of a title are not.
+    """
     if not 1 <= depth <= EGO_HOPS:
         raise ValueError(f"depth is 1 to {EGO_HOPS}")
-    edges = cut(edges.select("src", "dst", "kind").distinct())
-    both = both_ways(edges)
-    seen = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
-    front = seen
+    edges = settle(edges.select("src", "dst", "kind").distinct())
+    both = both_ways(edges).select("src", "dst").distinct()
+    near = settle(both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("r") <= cap + 1).select(F.col("src").alias("node"), "dst"))
+    front = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    seen = settle(front)
+    front, parts = seen, []
     for hop in range(1, depth + 1):
-        step = front.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        seen = cut(seen.unionByName(front))
+        step = front.join(near, "node").select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        spent = seen.groupBy("seed").agg(F.count("*").alias("spent"))
+        ranked = step.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("r") <= cap + 1)
+        front = settle(ranked.join(spent, "seed").where(F.col("r") + F.col("spent") <= cap + 1).select("seed", "node", F.lit(hop).alias("hop")))
+        parts += [seen, front]
+        if front.isEmpty():
+            break
+        seen = settle(seen.unionByName(front))
     ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("hop", "node")))
     sizes = seen.groupBy("seed").agg((F.count("*") > cap).alias("truncated"))
-    nodes = ranked.where(F.col("r") <= cap).join(sizes, "seed").select("seed", "node", "hop", "truncated")
-    kept = nodes.select("seed", F.col("node").alias("src")).join(edges, "src").join(nodes.select("seed", F.col("node").alias("dst")), ["seed", "dst"]).select("seed", "src", "dst", "kind")
+    nodes = settle(ranked.where(F.col("r") <= cap).join(sizes, "seed").select("seed", "node", "hop", "truncated"))
+    kept = nodes.select("seed", F.col("node").alias("dst")).join(edges, "dst").join(nodes.select("seed", F.col("node").alias("src")), ["seed", "src"]).select("seed", "src", "dst", "kind")
+    discard(near, *parts, seen)
     return nodes, kept
 
 
