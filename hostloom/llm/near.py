@@ -6,7 +6,10 @@ at 90 % differ in at most (n + m) / 19 shingles (at 80 % in (n + m) / 9), and th
 is equal (pigeonhole), and documents that share no part of a band can't link.
 
 1. Sets as digests of 128 bits; equal sets are one from here on, named by a number.
-2. Parts of all size bands pass a count-min sketch; only parts that repeat are shuffled.
+2. Parts of all size bands pass a count-min sketch; only parts that repeat are shuffled. There are twice as many parts as
+   a link needs, so linked sets share many, and each set can do without its most frequent ones: it keeps as many of its
+   rarest parts, in one order for all sets, as it may differ in, and one more (`part_groups`). Parts that a template
+   puts into many texts go first; a text with that many parts of its own has no candidates at all.
 3. Stars, in two rounds. First every set is compared with one other, of the sets that are least in its parts the one that
    shares most of them: this joins most groups of copies. Then, where a part's sets still lie in two or more
    components, its least and greatest set are compared with those of other components. The Hamming distance of the
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hostloom.llm import countmin
 from hostloom.llm.common import SLICE, as_bytes, discard, mix, rolling, row_key, settle, small, word_hashes
@@ -62,36 +66,47 @@ def difference(n: int, percent: int) -> int:
     return (100 - percent) * n // percent
 
 
-def parts(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the parts of a set's parity sketch, in its size band and, if it can link there, in the band below.
+def part_groups(found: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, int]]:
+    """(group, keys, keep) of the parts of a set's parity sketch, in its size band and, if it can link there, in the band below.
+
+    Sizes from 2 ** b to 2 ** (b + 1) - 1 are band b. It has twice as many parts as are more than any two linked sets of
+    the band differ in. A part's key is the XOR of its shingles' hashes. Parts without a shingle have no key: where more
+    parts have one than the set can differ in, an equal part is among them. Other sets deal their shingles anew, by the
+    next of LEVELS hashes, so two sets neither of which was done at a level meet at the next. Only after the last one empty
+    parts get keys too.
 
-    Sizes from 2 ** b to 2 ** (b + 1) - 1 are band b. It has more parts than any two linked sets of the band differ
-    in, and an eighth on top, so that empty parts don't use up the difference. A part's key is the XOR of its shingles' hashes. Parts without a shingle have no key: where more parts have one than the
-    set can differ in, an equal part is among them. Other sets deal their shingles anew, by the next of LEVELS hashes,
-    so two sets neither of which was done at a level meet at the next. Only after the last one empty parts get keys too.
+    `keep`: a set with c keys that may differ in d parts shares c - d keys of the group or more with each set that it
+    links with. Where all sets drop their last keys in one common order, such that each keeps d + 1 of them, linked sets
+    still share one. Groups whose shared keys have no such bound (c <= d, or empty parts with keys) keep all.
     """
     n = len(found)
     if not n:
-        return found
+        return []
     band, most = n.bit_length() - 1, difference(n, percent)
-    keys = []
+    groups = []
     for b in (band, band - 1) if band and n * percent <= 100 * ((1 << band) - 1) else (band,):
         top = difference((2 << b) - 1, percent) + 1
-        top += (top + 7) // 8
+        top += top
         for level in range(LEVELS):
             part = ((mix(found, 81 + 16 * level) >> np.uint64(32)) * np.uint64(top) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             value, at = np.bitwise_xor.reduceat(mix(found, 82)[order], first), part[first]
-            if len(at) <= most and level == LEVELS - 1:
+            done = len(at) > most
+            if not done and level == LEVELS - 1:
                 full = np.zeros(top, dtype=np.uint64)
                 full[at] = value
                 value, at = full, np.arange(top)
-            keys.append(mix(value ^ mix(at.astype(np.uint64) + np.uint64((b << 8 | level) << 40), 84)))
-            if len(at) > most:
+            groups.append((b << 8 | level, mix(value ^ mix(at.astype(np.uint64) + np.uint64((b << 8 | level) << 40), 84)), most + 1 if done else len(at)))
+            if done:
                 break
-    return np.concatenate(keys)
+    return groups
+
+
+def parts(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The keys of all groups."""
+    return np.concatenate([keys for _, keys, _ in part_groups(found, percent)]) if len(found) else found
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -242,7 +257,8 @@ def joined_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits:
 
 
 def shared_parts(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
-    """(part, node), settled: the parts that the sketch counts twice or more, and the sets that have them."""
+    """(part, node), settled: of the parts that the sketch counts twice or more each set's rarest ones, as many as it must
+    keep. A part is as frequent as the sets that have it; parts that the sketch counts once come before all others."""
     texts = docs.where(F.col("text").isNotNull()).select("text")
 
     def keys(columns: dict) -> Iterator[np.ndarray]:
@@ -253,20 +269,28 @@ def shared_parts(docs: DataFrame, sets: DataFrame, size: int, percent: int, bits
 
     def repeated(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, named = [], []
+            made: list[list[np.ndarray]] = [[], [], [], []]
             for data in as_bytes(batch.column(0)):
                 found = shingles(data, size)
-                key = parts(found, percent)
-                key = key[countmin.repeated(sketch.value, key, bits)]
-                made.append(key.view(np.int64))
-                named.append(np.full(len(key), digest(found), dtype=np.int64))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(named))], ["part", "s1"])
-
-    found = texts.mapInArrow(repeated, "part long, s1 long").distinct()
+                name = digest(found)
+                for group, key, keep in part_groups(found, percent):
+                    again = countmin.repeated(sketch.value, key, bits)
+                    keep -= len(key) - int(again.sum())
+                    if keep > 0:
+                        key = key[again].view(np.int64)
+                        for column, value in zip(made, (key, name, group, keep), strict=True):
+                            column.append(np.broadcast_to(np.asarray(value, dtype=np.int64), key.shape))
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in made], ["part", "s1", "grp", "keep"])
+
+    found = settle(texts.mapInArrow(repeated, "part long, s1 long, grp long, keep long").distinct())
+    often = found.groupBy("part").agg(F.count("*").alias("often")).where("often > 1")
+    place = F.row_number().over(Window.partitionBy("s1", "grp").orderBy(F.coalesce("often", F.lit(1)), "part"))
+    every, found = found, found.join(often, "part", "left").withColumn("place", place).where("place <= keep AND often > 1").select("part", "s1")
     # half of the digest finds the set: should two sets share it, both get the part and are verified later
     found = settle(found.join(small(sets.select("s1", "node"), sets.count(), 16), "s1").select("part", "node"))
     sketch.destroy()
+    discard(every)
     return found
 
 
