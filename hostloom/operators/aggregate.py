@@ -31,7 +31,8 @@ def software_inventory(inv: Inventory, limit: int = LIST_CAP, versions: int = 25
     """(name, display_name, host_count, versions): installed titles, most hosts first, then by name; the first
     versions in order. Versions are gathered for the listed titles only."""
     counted = inv.installed_on.groupBy("name").agg(F.count_distinct("host_id").alias("host_count")).orderBy(F.desc("host_count"), "name").limit(limit)
-    listed = inv.installed_on.join(F.broadcast(counted.select("name")), "name", "left_semi").where(F.coalesce("version", F.lit("")) != "").groupBy("name").agg(F.slice(F.sort_array(F.collect_set("version")), 1, versions).alias("versions"))
+    seen = inv.installed_on.join(F.broadcast(counted.select("name")), "name", "left_semi").where(F.coalesce("version", F.lit("")) != "").select("name", "version").distinct()
+    listed = first_of_each(seen, ["name"], "version", "versions", versions)
     return counted.join(inv.software.select("name", "display_name"), "name", "left").join(listed, "name", "left").select("name", "display_name", "host_count", F.coalesce("versions", F.array().cast("array<string>")).alias("versions"))
 
 
@@ -101,8 +102,12 @@ def extension_inventory(inv: Inventory, scores: DataFrame | None = None, limit:
     counted = ext.groupBy("key").agg(F.min("name").alias("name"), F.count_distinct(F.nullif("hostname", F.lit(""))).alias("hostname_count"))
     none = inv.software.sparkSession.createDataFrame([], "key string, risk_score int, risk_band string")
     top = counted.join(scores if scores is not None else none, "key", "left").orderBy(F.desc_nulls_last("risk_score"), F.desc("hostname_count"), "key").limit(limit)
-    lists_of = ext.join(F.broadcast(top.select("key")), "key", "left_semi").groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.nullif("hostname", F.lit("")))), 1, 50).alias("hostnames"), F.slice(F.sort_array(F.collect_set("version")), 1, 20).alias("versions"))
-    return top.join(lists_of, "key").select("key", "name", "risk_score", "risk_band", "hostname_count", "hostnames", "versions")
+    shown = ext.join(F.broadcast(top.select("key")), "key", "left_semi")
+    out, none = top, F.array().cast("array<string>")
+    for column, alias, most in (("hostname", "hostnames", 50), ("version", "versions", 20)):
+        values = shown.where(F.col(column).isNotNull() & (F.lit(column == "version") | (F.col(column) != ""))).select("key", column).distinct()
+        out = out.join(first_of_each(values, ["key"], column, alias, most), "key", "left").withColumn(alias, F.coalesce(alias, none))
+    return out.select("key", "name", "risk_score", "risk_band", "hostname_count", "hostnames", "versions")
 
 
 def extension_band_summary(scored: DataFrame) -> DataFrame:

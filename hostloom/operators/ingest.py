@@ -154,7 +154,11 @@ def summarize_vulnerabilities(v: Column, first: int = 50) -> Column:
 
 def merge_case_variants(software: DataFrame, installed_on: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Titles that differ in case only become one in lower case, with all versions and sources; edges follow, one per title and host."""
-    merged = software.groupBy(F.lower("name").alias("name")).agg(F.min("display_name").alias("display_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions")))).alias("versions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    each = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("of"), x.alias("x")))
+    values = F.concat(F.array(F.struct(F.lit("display_name").alias("of"), F.col("display_name").alias("x"))), each("versions"), each("sources"))
+    parts = software.select(F.lower("name").alias("name"), F.explode(values).alias("p")).select("name", "p.*")
+    held = lambda c: F.array_sort(F.collect_set(F.when(F.col("of") == c, F.col("x")))).alias(c)  # noqa: E731  (sets from the map side on: repeats are never gathered)
+    merged = parts.groupBy("name").agg(F.min(F.when(F.col("of") == "display_name", F.col("x"))).alias("display_name"), held("versions"), held("sources"))
     edges = installed_on.withColumn("name", F.lower("name"))
     return merged, edges.groupBy("name", "host_id").agg(greatest_version().alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,9 +179,38 @@ def membership_summary(prior: DataFrame, current: DataFrame, hosts: DataFrame) -
 
 
 def label_member_hash(members: DataFrame) -> DataFrame:
-    """(label_id, hash): SHA-256 of the sorted id list as compact JSON, repeats kept. It gathers a label's ids: see
-    `label_member_digest` for labels of any size."""
-    return members.groupBy("label_id").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("host_id")), lambda x: x.cast("string")), ","), F.lit("]")), 256).alias("hash"))
+    """(label_id, hash): SHA-256 of the sorted id list as compact JSON, repeats kept, null ids left out.
+
+    A label's ids pass one task in order and are fed to the hash as they come; no list of them is ever held. Such a hash
+    can only be computed from its start: `label_member_digest` is the form that is combined from parts."""
+    ids = members.where(F.col("host_id").isNotNull()).select(F.col("label_id").cast("string").alias("label_id"), F.col("host_id").cast("string").alias("id"), "host_id")
+    ordered = ids.repartition("label_id").sortWithinPartitions("label_id", "host_id").select("label_id", "id")
+    hashed = ordered.mapInArrow(_digests, "label_id string, hash string")
+    return hashed.select(F.col("label_id").cast(members.schema["label_id"].dataType).alias("label_id"), "hash")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label_id, hash) of rows (label_id, id) that stand in order."""
+    now, digest, out = None, None, []
+
+    def close() -> None:
+        if digest is not None:
+            digest.update(b"]")
+            out.append((now, digest.hexdigest()))
+
+    for batch in batches:
+        labels, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        start = 0
+        while start < len(ids):
+            end = next((k for k in range(start, len(ids)) if labels[k] != labels[start]), len(ids))
+            fresh = digest is None or labels[start] != now
+            if fresh:
+                close()
+                now, digest = labels[start], hashlib.sha256(b"[")
+            digest.update((("" if fresh else ",") + ",".join(ids[start:end])).encode())
+            start = end
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in (0, 1)], ["label_id", "hash"])
 
 
 def label_member_digest(members: DataFrame) -> DataFrame:

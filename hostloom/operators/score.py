@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -43,6 +44,8 @@ PUBLISHER_SUFFIXES = (
     "security", "technologies", "platforms", "labs", "lab", "devs", "dev", "developers", "developer", "team",
 )
 NAME_CAP = 35
+#: Characters of the runs that regexes of the block list are filed under.
+GRAM = 4
 
 _NONE = "array<string>"
 SIGNAL = "struct<code:string,weight:bigint,detail:string>"
@@ -173,20 +176,95 @@ def trust(df: DataFrame, as_of: str) -> DataFrame:
     return df.withColumns({"trust_score": F.least(F.lit(100), points).cast("int"), "trust_signals": present(*[when_signal(t, c, -p, d) for t, c, p, d in terms])})
 
 
+@F.pandas_udf(T.StructType().add("literal", T.StringType()).add("valid", T.BooleanType()))
+def required_literal(patterns: pd.Series) -> pd.DataFrame:
+    """A text that every match of a regex contains: the longest run of plain characters outside groups, classes and
+    alternatives, without those that a quantifier may leave out; null where none is sure. And whether the regex compiles."""
+
+    def longest(p: str) -> str | None:
+        if re.search(r"\\Q|\(\?[a-zA-Z-]+[:)]", p):  # quotes and flags change how the rest reads
+            return None
+        runs, run, depth, i = [], "", 0, 0
+        while i < len(p):
+            c, step, plain = p[i], 1, False
+            if c == "\\":
+                step, plain = 2, i + 1 < len(p) and not p[i + 1].isalnum()
+                c = p[i + 1 : i + 2]
+            elif c == "[":
+                end = p.find("]", i + 2 + (p[i + 1 : i + 2] == "^"))
+                if end < 0 or "[" in p[i + 1 : end] or "\\]" in p[i : end + 1]:
+                    return None
+                step = end + 1 - i
+            elif c in "()":
+                depth += 1 if c == "(" else -1
+            elif c == "|" and depth == 0:
+                return None
+            elif c in "*?{" and depth == 0:
+                run = run[:-1]
+                step = p.find("}", i) + 1 - i if c == "{" else 1
+                if step < 1:
+                    return None
+            else:
+                plain = c not in ".^$|+*?{"
+            if depth == 0 and plain and c != ")":
+                run += c
+            else:
+                runs.append(run)
+                run = ""
+            i += step
+        return max([*runs, run], key=len) or None
+
+    def judge(p: str | None) -> tuple[str | None, bool]:
+        if p is None:
+            return None, False
+        same = re.sub(r"\\Q(.*?)(?:\\E|$)", lambda m: re.escape(m[1]), p)  # forms that only this compiler doesn't know
+        same = re.sub(r"\(\?<(?![=!])", "(?P<", same).replace(r"\z", r"\Z")
+        try:
+            re.compile(re.sub(r"\\[pP](\{\^?\w+\}|\w)", r"\\w", same))
+        except re.error:
+            return None, False
+        return longest(p), True
+
+    return pd.DataFrame([judge(p) for p in patterns], columns=["literal", "valid"])
+
+
+def matching_patterns(ids: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(extension_id, guid): the regexes that find something in each id. ids: (extension_id), distinct; patterns: (guid, pattern).
+
+    An inverted index: a regex can only match ids that contain each run of GRAM characters of its required literal. It is
+    filed under the run that the fewest ids have, and meets only ids with that run, by equality; a run that no id has ends
+    it. Only regexes without such a literal meet all ids. Regexes that don't compile match nothing.
+    """
+    patterns = patterns.withColumn("pattern", F.replace("pattern", F.lit("(?P<"), F.lit("(?<")))
+    told = patterns.withColumn("l", required_literal("pattern")).where("l.valid").select("guid", "pattern", F.when(F.length("l.literal") >= GRAM, F.col("l.literal")).alias("literal"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda k: F.substring(F.col(c), k, F.lit(GRAM))))).alias("gram")
+    asked = told.where("literal IS NOT NULL").select("guid", "pattern", grams("literal"))
+    held = ids.where(F.length("extension_id") >= GRAM).select("extension_id", grams("extension_id"))
+    often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    filed = asked.join(often, "gram", "left").groupBy("guid", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    by_gram = held.join(filed, "gram").where("extension_id rlike pattern").select("extension_id", "guid")
+    bare = ids.join(told.where("literal IS NULL"), F.expr("extension_id rlike pattern")).select("extension_id", "guid")
+    return by_gram.unionByName(bare)
+
+
 def match_blocklist(ext: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """(extension_id, why): ids on the block list. ext: (extension_id, versions); blocklist: (guid, why, ranges), of which
-    /regex/ guids apply where no guid is the id itself, in order of the guid. Blocked: any version in any range, or no
-    range, or no known version. Regexes are few and broadcast; ids are distinct before they meet them."""
-    ids = ext.select("extension_id", "versions").where(F.col("extension_id").isNotNull())
-    plain = blocklist.where(~F.col("guid").rlike("^/.*/$"))
-    regex = blocklist.where(F.col("guid").rlike("^/.*/$")).withColumn("pattern", F.expr("substring(guid, 2, length(guid) - 2)"))
-    exact = ids.join(plain, F.col("extension_id") == F.col("guid")).select("extension_id", "versions", F.lit(0).alias("rank"), "guid", "why", "ranges")
-    loose = ids.join(F.broadcast(regex), F.expr("extension_id rlike pattern")).select("extension_id", "versions", F.lit(1).alias("rank"), "guid", "why", "ranges")
-    one = exact.unionByName(loose).groupBy("extension_id").agg(F.min_by(F.struct("versions", "why", "ranges"), F.struct("rank", "guid")).alias("m")).select("extension_id", "m.*")
-    inside = lambda v, r: (range_version_key(v) >= range_version_key(F.coalesce(filled(r["minVersion"]), F.lit("0")))) & (range_version_key(v) <= range_version_key(F.coalesce(filled(r["maxVersion"]), F.lit("*"))))
-    known = F.filter(F.coalesce("versions", F.array().cast(_NONE)), lambda v: F.coalesce(v, F.lit("")) != "")
-    blocked = (F.size(F.coalesce("ranges", F.array().cast("array<struct<minVersion:string,maxVersion:string>>"))) < 1) | (F.size(known) == 0) | F.exists(known, lambda v: F.exists("ranges", lambda r: inside(v, r)))
-    return one.where(blocked).select("extension_id", F.coalesce(filled("why"), F.lit("blocked")).alias("why"))
+    """(extension_id, why): ids on the block list. ext: (extension_id, versions); blocklist: (guid, why, ranges).
+
+    The entry of the id itself comes first, then /regex/ guids in order; the first that blocks a version counts. An entry
+    blocks: any known version in any range, or no range, or no known version. A missing or * end of a range is open.
+    """
+    ids = ext.select(F.trim("extension_id").alias("extension_id"), "versions").where(F.coalesce("extension_id", F.lit("")) != "")
+    is_regex = F.col("guid").rlike("^/.*/$")
+    regex = blocklist.where(is_regex).select("guid", F.expr("substring(guid, 2, length(guid) - 2)").alias("pattern"))
+    loose = matching_patterns(ids.select("extension_id").distinct(), regex).withColumn("rank", F.lit(1))
+    exact = ids.select("extension_id").distinct().join(blocklist.where(~is_regex), F.col("extension_id") == F.col("guid")).select("extension_id", "guid", F.lit(0).alias("rank"))
+    met = exact.unionByName(loose).join(blocklist.select("guid", "why", "ranges"), "guid").join(ids, "extension_id")
+    open_end = lambda e: F.coalesce(filled(F.trim(e)), F.lit("*")) == "*"
+    inside = lambda v, r: (open_end(r["minVersion"]) | (range_version_key(v) >= range_version_key(r["minVersion"]))) & (open_end(r["maxVersion"]) | (range_version_key(v) <= range_version_key(r["maxVersion"])))
+    known = F.filter(F.coalesce("versions", F.array().cast(_NONE)), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    blocked = (F.size(F.coalesce("ranges", F.array().cast("array<struct<minVersion:string,maxVersion:string>>"))) < 1) | (F.size(known) == 0) | F.exists(known, lambda v: F.exists("ranges", lambda r: F.coalesce(inside(v, r), F.lit(False))))
+    first = met.where(blocked).groupBy("extension_id").agg(F.min_by(F.struct("why"), F.struct("rank", "guid", "why")).alias("m"))
+    return first.select("extension_id", F.coalesce(filled("m.why"), F.lit("blocked")).alias("why"))
 
 
 def match_feeds(ext: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -280,16 +358,24 @@ def publisher_name_key(name: Column) -> Column:
 
 
 def _brand_hits(compact: DataFrame, brands: tuple[str, ...]) -> DataFrame:
-    """(_c, _hit): the first brand in order that a compact name looks like. The brands are a fixed short list: it is
-    broadcast, and only names of about a brand's length are compared with it."""
+    """(_c, _hit): the first brand in order that a compact name looks like: within one edit or swap of neighbours, or with
+    an affix of at most two letters.
+
+    Words within one edit or swap share a form: themselves, or themselves less one letter. The forms of the brands, and the
+    brands with an affix, are a fixed short table that names meet by equality; only names that share one are compared.
+    """
     looks = list(dict.fromkeys(b.replace("0", "o").replace("1", "l").replace("rn", "m") for b in brands))
-    listed = compact.sparkSession.createDataFrame(list(enumerate(looks)), "i int, brand string")
-    pairs = compact.join(F.broadcast(listed), F.abs(F.length("_c") - F.length("brand")) <= 2)
+    forms = {(f, i, b) for i, b in enumerate(looks) for f in (b, *(b[:k] + b[k + 1 :] for k in range(len(b))), *(b + a for a in AFFIXES if len(a) <= 2))}
+    listed = compact.sparkSession.createDataFrame(sorted(forms), "form string, i int, brand string")
+    shorter = F.transform(F.sequence(F.lit(1), F.length("_c")), lambda k: F.concat(F.substring(F.col("_c"), F.lit(1), k - 1), F.substring(F.col("_c"), k + 1, F.length("_c"))))
+    fits = compact.where(F.length("_c").between(1, max(map(len, looks)) + 2))
+    held = fits.select("_c", F.explode(F.array_distinct(F.concat(F.array("_c"), shorter))).alias("form"))
+    pairs = held.join(F.broadcast(listed), "form").select("_c", "i", "brand").distinct()
     n = F.length("brand")
     swapped = F.expr("exists(sequence(1, length(brand) - 1), k -> _c = concat(left(brand, k - 1), substring(brand, k + 1, 1), substring(brand, k, 1), substring(brand, k + 2)))")
     near = ((F.abs(F.length("_c") - n) <= 1) & (F.levenshtein("_c", "brand") <= 1)) | swapped
     rest = F.expr("substring(_c, length(brand) + 1)")
-    affix = F.startswith("_c", "brand") & rest.isin(*AFFIXES)
+    affix = F.startswith("_c", "brand") & rest.isin(*[a for a in AFFIXES if len(a) <= 2])
     kind = F.when(near, 1).when(affix, 2)
     first = pairs.withColumns({"kind": kind, "rest": rest}).where("kind IS NOT NULL").groupBy("_c").agg(F.min_by(F.struct("kind", "brand", "rest"), "i").alias("m"))
     told = F.when(F.col("m.kind") == 1, signal("typosquat-brand", 18, F.concat(F.lit("name is one edit away from the '"), F.col("m.brand"), F.lit("' brand")))).otherwise(signal("brand-affix", 8, F.concat(F.lit("name appends '"), F.col("m.rest"), F.lit("' to the '"), F.col("m.brand"), F.lit("' brand"))))
@@ -339,7 +425,8 @@ def score_extensions(groups: DataFrame, listings: DataFrame, blocklist: DataFram
     """
     l = listings.withColumnRenamed("store", "l_store").withColumnRenamed("extension_id", "l_id")  # noqa: E741
     base = groups.join(l, (F.col("store") == F.col("l_store")) & (F.col("extension_id") == F.col("l_id")), "left").drop("l_store", "l_id")
-    blocked = match_blocklist(groups.groupBy("extension_id").agg(F.flatten(F.collect_list("versions")).alias("versions")), blocklist).withColumnRenamed("why", "blocked_why")
+    seen = groups.select("extension_id", F.explode_outer("versions").alias("v")).groupBy("extension_id").agg(F.collect_set("v").alias("versions"))
+    blocked = match_blocklist(seen, blocklist).withColumnRenamed("why", "blocked_why")
     verified = store_install_verified(installs)
     trusted = publisher_reputable(base, publishers, verified)
     # names are judged once for either answer to whether the store vouches, so that they don't hang on all that comes before

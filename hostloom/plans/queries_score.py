@@ -96,7 +96,7 @@ cap AS (SELECT key, CAST(least(100, CASE WHEN s % 2 = 0 AND s % 3 <> 0 AND s % 4
 tru AS (SELECT key, CAST(least(100, CASE status WHEN 'public' THEN 25 WHEN 'unlisted' THEN 5 ELSE 0 END + CASE WHEN s % 11 = 0 THEN 10 ELSE 0 END + CASE WHEN s % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN s % 2 = 1 THEN 8 ELSE 0 END
   + CASE WHEN 31 + s * 30 <= 365 THEN 10 WHEN 31 + s * 30 <= 730 THEN 4 ELSE 0 END + CASE WHEN users > 0 THEN least(12, floor(log10(users + 1) * 4 + 1e-12)) ELSE 0 END + CASE WHEN rating >= 4 AND rating_count >= 100 THEN 5 ELSE 0 END + CASE WHEN s % 8 = 0 THEN 5 ELSE 0 END) AS INTEGER) AS trust_score FROM li),
 blk AS (SELECT key, CASE WHEN store = 'firefox' AND s % 2 = 0 AND (NOT EXISTS (SELECT 1 FROM installed_on i WHERE i.extension_key = li.key) OR EXISTS (SELECT 1 FROM installed_on i WHERE i.extension_key = li.key AND CAST(split_part(version, '.', 1) AS INTEGER) <= 3)) THEN 'exact'
-  WHEN NOT (store = 'firefox' AND s % 2 = 0) AND regexp_matches(extension_id, '^addon-1.*@example\\.org$') THEN 'pattern' END AS why FROM li),
+  WHEN regexp_matches(extension_id, '^addon-1.*@example\\.org$') THEN 'pattern' END AS why FROM li),
 thr AS (SELECT key, why, store = 'chrome' AND s % 13 = 0 AS malicious, store = 'chrome' AND s % 9 = 0 AS unwanted, CAST(greatest(CASE WHEN store = 'chrome' AND s % 13 = 0 THEN 100 WHEN store = 'chrome' AND s % 9 = 0 THEN 70 ELSE 0 END, CASE WHEN why IS NOT NULL THEN 100 WHEN status = 'removed' THEN 45 WHEN status = 'not_found' THEN 20 WHEN status = 'unlisted' THEN 10 ELSE 0 END,
   CASE WHEN rating < 2.5 AND rating_count >= 50 THEN 15 ELSE 0 END, CASE WHEN s % 9 = 0 THEN 15 ELSE 0 END, CASE WHEN s % 5 = 0 THEN CASE WHEN s / 5.0 >= 9 THEN 35 WHEN s / 5.0 >= 7 THEN 25 WHEN s > 0 THEN 10 ELSE 0 END ELSE 0 END) AS INTEGER) AS threat_score FROM li JOIN blk USING (key)),
 expo AS (SELECT key, CAST(least(100, least(60, round_even(log10(hosts + 1) * 15, 0)) + CASE WHEN versions > 2 THEN 10 ELSE 0 END) AS INTEGER) AS exposure_score FROM hosts_of),
