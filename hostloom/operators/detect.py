@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hostloom.functions import lists
 from hostloom.functions.shared import settle
 from hostloom.functions.values import word_match
-from hostloom.operators.aggregate import LIST_LIMIT, first_of_each, platform_thresholds, users_of
+from hostloom.operators.aggregate import LIST_LIMIT, first_of_each, platform_thresholds
 from hostloom.operators.scope import exclude_whitelisted
 from hostloom.plans.inventory import Inventory
 
@@ -149,18 +149,26 @@ def affected(inv: Inventory, found: DataFrame, hosts: DataFrame, whitelist: Data
     """((software_name, detection_type, hostname), (software_name, username)): all hosts and users of findings, one row each.
     Hosts of a sprawling title are those that tell a version."""
     names = found.select("software_name", "detection_type").distinct()
-    edges = installs(inv, hosts, whitelist)
+    return _affected(inv, installs(inv, hosts, whitelist), names)
+
+
+def _affected(inv: Inventory, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`affected` of the titles in names (software_name, detection_type), by their installs."""
     on = edges.where("hostname IS NOT NULL").groupBy("name", "hostname").agg(F.max(_has_version()).alias("told"))
     on = on.join(names, F.col("name") == F.col("software_name")).where("detection_type <> 'version_sprawl' OR told").select("software_name", "detection_type", "hostname")
-    of = users_of(inv, names.select(F.col("software_name").alias("name")), hosts).withColumnRenamed("name", "software_name")
-    return on, of
+    of = edges.select("name", "host_id").join(names.select(F.col("software_name").alias("name")).distinct(), "name", "left_semi").join(inv.uses.where("username IS NOT NULL"), "host_id")
+    return on, of.select(F.col("name").alias("software_name"), "username").distinct()
 
 
 def _with_lists(inv: Inventory, found: DataFrame, hosts: DataFrame, whitelist: DataFrame | None, limit: int, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Adds the lists, for the titles found only, each at most `limit` long. Versions are listed for sprawling titles only."""
-    on, of = affected(inv, found, hosts, whitelist)
-    names = found.select(F.col("software_name").alias("name")).distinct()
-    edges = installs(inv, hosts, whitelist).join(names, "name", "left_semi")
+    """Adds the lists, for the titles found only, each at most `limit` long. Versions are listed for sprawling titles only.
+    For several kinds the installs of the titles found are settled once, and all lists are taken from there."""
+    if len(kinds) > 1:
+        found = settle(found)
+    names = found.select("software_name", "detection_type").distinct()
+    edges = installs(inv, hosts, whitelist).join(names.select(F.col("software_name").alias("name")).distinct(), "name", "left_semi")
+    edges = settle(edges) if len(kinds) > 1 else edges
+    on, of = _affected(inv, edges, names)
     out = found.join(first_of_each(on, ["software_name", "detection_type"], "hostname", "affected_hosts", limit), ["software_name", "detection_type"], "left")
     out = out.join(first_of_each(of, ["software_name"], "username", "affected_users", limit), "software_name", "left")
     if kinds == ("version_sprawl",):

@@ -44,16 +44,64 @@ def snapshot_edges(inv: Inventory, ts: str) -> DataFrame:
     return links(inv).unionByName(labelled).distinct().select(F.lit(ts).alias("snapshot_ts"), F.col("kind").alias("label"), "src", "dst")
 
 
-def write_snapshot(inv: Inventory, ts: str, path: str) -> None:
-    """Nodes and edges under the path, partitioned by snapshot; a snapshot that is written again replaces itself only."""
+def write_snapshot(inv: Inventory, ts: str, path: str, buckets: int = 64) -> None:
+    """Nodes and edges under the path, partitioned by snapshot, kind and a bucket of their key, and a digest of every bucket
+    (`digests`). A snapshot that is written again replaces itself only."""
+    spark = inv.hosts.sparkSession
     for name, df in (("nodes", snapshot_nodes(inv, ts)), ("edges", snapshot_edges(inv, ts))):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts").parquet(f"{path}/{name}")
+        kind, key, _ = _FORMS[name]
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).repartition("bucket")
+        _replace(rows, f"{path}/{name}", ["snapshot_ts", kind, "bucket"])
+    parts = [bucket_digests(_partition(spark, path, name, ts), name) for name in _FORMS]
+    _replace(parts[0].unionByName(parts[1]).withColumn("snapshot_ts", F.lit(ts)).coalesce(1), f"{path}/digests", ["snapshot_ts"])
+
+
+#: Of nodes and edges: the column that names the kind, the key, and what the digest covers.
+_FORMS = {"nodes": ("kind", ("kind", "id"), ("id", "hash")), "edges": ("label", ("label", "src", "dst"), ("src", "dst"))}
+
+
+def _replace(df: DataFrame, path: str, by: list[str]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def _partition(spark: SparkSession, path: str, name: str, ts: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}").withColumn("snapshot_ts", F.col("snapshot_ts").cast("string")).where(F.col("snapshot_ts") == ts)
+
+
+def bucket_digests(rows: DataFrame, part: str) -> DataFrame:
+    """(part, kind, bucket, n, digest): of every bucket its rows and what they hash to, in any order: two independent XORs.
+    Combined before the shuffle, and small: kinds times buckets."""
+    kind, _, covered = _FORMS[part]
+    digest = F.struct(*[F.bit_xor(F.xxhash64(F.lit(seed), *covered)).alias(f"x{seed}") for seed in (1, 2)])
+    return rows.groupBy(F.lit(part).alias("part"), F.col(kind).alias("kind"), "bucket").agg(F.count("*").alias("n"), digest.alias("digest"))
+
+
+def changed_buckets(spark: SparkSession, path: str, a: str, b: str) -> DataFrame:
+    """(part, kind, bucket) of two written snapshots whose digests differ, or that only one has."""
+    old, new = (_partition(spark, path, "digests", ts).select("part", "kind", "bucket", F.struct("n", "digest").alias(side)) for ts, side in ((a, "was"), (b, "now")))
+    return old.join(new, ["part", "kind", "bucket"], "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("part", "kind", "bucket")
+
+
+def changed_rows(spark: SparkSession, path: str, a: str, b: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """nodes and edges of two written snapshots, of the buckets whose digests differ; other buckets hold the same in both and
+    aren't read. The `diff_*` functions give the same for these rows as for whole snapshots."""
+    found: dict[str, dict[str, list[int]]] = {name: {} for name in _FORMS}
+    for r in changed_buckets(spark, path, a, b).collect():  # at most kinds times buckets
+        found[r.part].setdefault(r.kind, []).append(r.bucket)
+    out = {}
+    for name, kinds in found.items():
+        column = _FORMS[name][0]
+        test = F.lit(False)
+        for kind, buckets in kinds.items():
+            test = test | ((F.col(column) == kind) & F.col("bucket").isin(sorted(buckets)))
+        out[name] = tuple(_partition(spark, path, name, ts).where(test).drop("bucket") for ts in (a, b))
+    return out
 
 
 def read_snapshot(spark: SparkSession, path: str, ts: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of one snapshot; only its partition is read."""
-    both = [spark.read.parquet(f"{path}/{n}").withColumn("snapshot_ts", F.col("snapshot_ts").cast("string")).where(F.col("snapshot_ts") == ts) for n in ("nodes", "edges")]
-    return both[0], both[1]
+    nodes, edges = (_partition(spark, path, n, ts).drop("bucket") for n in ("nodes", "edges"))
+    return nodes, edges
 
 
 def list_snapshots(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostloom.operators import snapshot
 from hostloom.plans.inventory import SQL, Inventory, inventory
 from hostloom.plans.queries_core import flat
 from hostloom.plans.queries_score import _scratch, _stream
@@ -86,7 +87,21 @@ def src1_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad).groupBy("cause", "named").agg(F.count("*").alias("n"))
 
 
-QUERIES |= {"str1_stream_inventory": str1_stream_inventory, "str3_host_last_seen": str3_host_last_seen, "src1_quarantine": src1_quarantine}
+def set2_diff_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots written with digests; their differences from the buckets that changed, and how many of these there are."""
+    inv, out = inventory(spark, sf_dir), _scratch(spark)
+    a, b = states(inv)
+    later = inv.hosts.withColumn("platform", F.when(F.col("host_id") % 100 == 0, "fedora").otherwise(F.col("platform")))
+    for ts, hosts, edges in (("2001-01-01", inv.hosts, a), ("2001-02-01", later, b)):
+        snapshot.write_snapshot(Inventory(hosts, inv.users, inv.software, inv.labels, inv.uses, edges, inv.has_label), ts, f"{out}/snapshots", 16)
+    rows = snapshot.changed_rows(spark, f"{out}/snapshots", "2001-01-01", "2001-02-01")
+    nodes = snapshot.diff_properties(*rows["nodes"]).select(F.lit("changed").alias("bucket"), "kind", F.col("id").alias("src"), F.concat_ws(" ", "prop", "old", "new").alias("dst"))
+    edges = snapshot.diff_edges(*rows["edges"]).select("bucket", F.col("label").alias("kind"), "src", "dst")
+    same = snapshot.changed_buckets(spark, f"{out}/snapshots", "2001-01-01", "2001-02-01").where("kind IN ('user', 'software', 'label', 'USES', 'HAS_LABEL')")
+    return nodes.unionByName(edges).unionByName(same.select(F.lit("unexpected").alias("bucket"), "kind", F.lit("").alias("src"), F.lit("").alias("dst")))
+
+
+QUERIES |= {"set2_diff_written": set2_diff_written, "str1_stream_inventory": str1_stream_inventory, "str3_host_last_seen": str3_host_last_seen, "src1_quarantine": src1_quarantine}
 
 _WAVES = f"""{STATES}, sent AS (SELECT host_id, platform FROM hosts WHERE platform NOT IN ('rhel', 'chrome') AND host_id IN (SELECT host_id FROM eb)),
 keyed AS (SELECT host_id, coalesce(extension_key, name) AS name, version FROM ea), later AS (SELECT host_id, coalesce(extension_key, name) AS name, version FROM eb SEMI JOIN sent USING (host_id)),
@@ -103,5 +118,8 @@ UNION ALL SELECT 'uses', username, CAST(host_id AS VARCHAR), NULL, NULL FROM use
 UNION ALL SELECT 'software', name, NULL, string_agg(DISTINCT version, '|' ORDER BY version), arg_max(version, CAST(split_part(version, '.', 1) AS INTEGER) * 100000 + CAST(split_part(version, '.', 2) AS INTEGER)) || '|' || CASE min(wave) WHEN 1 THEN '2001-01-01' ELSE '2002-01-01' END || '|' || CASE max(wave) WHEN 1 THEN '2001-01-01' ELSE '2002-01-01' END FROM every GROUP BY name
 UNION ALL SELECT 'installed_on', name, CAST(host_id AS VARCHAR), version, first_seen || '|' || last_seen FROM edges""",
     "str3_host_last_seen": """SELECT event_id % 700 AS host_id, strftime(date_trunc('second', max(ts)), '%Y-%m-%d %H:%M:%S') AS updated_at, max(ts) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events) AS stale FROM events GROUP BY 1""",
+    "set2_diff_written": f"""{SQL}{STATES} SELECT 'changed' AS bucket, 'host' AS kind, 'host_' || host_id AS src, 'platform ' || platform || ' fedora' AS dst FROM hosts WHERE host_id % 100 = 0
+UNION ALL SELECT CASE WHEN ea.name IS NULL THEN 'added' ELSE 'removed' END, 'INSTALLED_ON', 'software_' || coalesce(ea.name, eb.name), 'host_' || coalesce(ea.host_id, eb.host_id)
+  FROM (SELECT name, host_id FROM ea SEMI JOIN hosts USING (host_id)) ea FULL JOIN (SELECT name, host_id FROM eb SEMI JOIN hosts USING (host_id)) eb ON ea.name = eb.name AND ea.host_id = eb.host_id WHERE ea.name IS NULL OR eb.name IS NULL""",
     "src1_quarantine": f"""{SQL} SELECT CASE host_id % 10 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no id' WHEN 2 THEN 'malformed' ELSE 'read' END AS cause, host_id % 10 <> 0 AS named, count(*) AS n FROM hosts GROUP BY 1, 2""",
 }
