@@ -63,6 +63,22 @@ def test_shards_are_even_gapless_and_whole(spark, docs):
     assert sorted((r["shard"], r["slot"]) for r in out) == [(k, i) for k in range(8) for i in range(50)]
 
 
+def test_a_row_above_a_shard_s_share_leaves_no_shard_empty(spark):
+    def shards(sizes, k):
+        df = spark.createDataFrame([(i, "x" * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string").repartition(3)
+        out = shard.slots(shard.tree_shards(df, shards=k)).collect()
+        assert len(out) == len(sizes)
+        n = Counter(r["shard"] for r in out)
+        assert len(n) == min(k, len(sizes))
+        return sorted(sum(r["size"] for r in out if r["shard"] == s) for s in n)
+
+    assert shards([200_000] + [4] * 99, 8)[:7] == sorted([5 * 14] * 6 + [5 * 15])
+    assert shards([4] * 99 + [200_000], 8)[-1] == 200_001
+    assert shards([9000, 8000, 7000, 1, 1, 1, 1], 7) == [2, 2, 2, 2, 7001, 8001, 9001]
+    assert shards([5, 5000], 2) == [6, 5001] and shards([5000, 5], 8) == [6, 5001] and shards([10], 8) == [11]
+    assert max(shards([1000] * 200 + [90_000] * 2, 16)) == 90_001
+
+
 def test_shards_against_a_plain_tree(spark):
     rng = np.random.default_rng(7)
     texts = [(int(rng.integers(0, 900)), "x" * int(rng.integers(0, 400)), ["a", "b", "hot", None][int(rng.integers(0, 4))], ["en", "de"][int(rng.integers(0, 2))]) for _ in range(600)]
