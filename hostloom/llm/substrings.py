@@ -90,6 +90,25 @@ def strip_repeats(documents: DataFrame, window: int = WINDOW, bits: int = SKETCH
     by_row = singles.groupBy("key").agg(F.collect_list("pos").alias("singles"))  # at most a document's windows
     docs = documents.select(F.col("doc_id").cast("long"), "text", row_key().alias("key"))
 
+    # which rows have singles, as a filter of fixed size that never misses one: each key is counted twice
+    def twice(columns: dict) -> Iterator[np.ndarray]:
+        yield np.repeat(np.asarray(columns["key"]).view(np.uint64), 2)
+
+    having = countmin.build(singles.select("key").distinct(), twice, bits)
+
+    def part(batch: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        has = countmin.repeated(having.value, np.asarray(batch.column(2)).view(np.uint64), bits)
+        return batch.filter(pa.array(has == wanted))
+
+    def in_place(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = part(batch, False)
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(len(rest), pa.list_(pa.int32()))], ["doc_id", "text", "singles"])
+
+    def to_join(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield part(batch, True)
+
     def kept(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digest, text = [], [], [], []
@@ -118,6 +137,7 @@ def strip_repeats(documents: DataFrame, window: int = WINDOW, bits: int = SKETCH
                 text.append(line)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    # singles grow with the corpus, so they are shuffled at every size; hashed, so texts needn't be sorted
-    rows = docs.join(by_row.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "singles")
-    return rows.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    # only rows that may have singles are shuffled, to meet them; hashed, so texts needn't be sorted. The others stay where they are
+    joined = docs.mapInArrow(to_join, "doc_id long, text string, key long").join(by_row.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "singles")
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return docs.mapInArrow(lambda batches: kept(in_place(batches)), out).unionByName(joined.mapInArrow(kept, out))
