@@ -102,3 +102,23 @@ def test_parts_lose_no_link_at_the_stage_s_similarity():
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= corpus_pipeline.PERCENT * (len(a) + len(b) - both):
                 assert len(np.intersect1d(near.parts(a, 80), near.parts(b, 80))), (n, drop, add)
+
+
+def test_the_pipeline_takes_an_empty_table_and_clashing_columns(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = table(spark, SF, "documents")
+    clash = docs.selectExpr("*", "'r' AS row", "1 AS key", "'s' AS shard", "2 AS component", "array(1) AS hits")
+    for rows, n in ((docs.limit(0), 0), (clash, None)):
+        rows.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+        assert out.count() == n if n is not None else out.count() > 20
+
+
+def test_labels_that_disagree_give_one_verdict_a_row(spark):
+    docs = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    both = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "toxic")).unionByName(labels)
+    got = queries.quality.judge(docs, both.select(labels.columns))
+    assert Counter(r.doc_id for r in got.select("doc_id").collect()) == Counter(r.doc_id for r in docs.select("doc_id").collect())
