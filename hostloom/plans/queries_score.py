@@ -161,6 +161,18 @@ def s12_names(inv):
     return score.name_anomalies(inv.software.select(F.col("display_name").alias("name"), "display_name", F.lit(False).alias("vouched")).distinct()).select("display_name", "name_penalty")
 
 
+@query(""" SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0 ELSE CASE p_partkey % 9 WHEN 1 THEN 18 WHEN 2 THEN 18 WHEN 3 THEN 8 WHEN 5 THEN 18 WHEN 6 THEN 18 WHEN 8 THEN 18 ELSE 0 END END AS name_penalty,
+CASE p_partkey % 9 WHEN 1 THEN 'adguard' WHEN 2 THEN 'lastpass' WHEN 3 THEN 'dashlane' WHEN 5 THEN 'keeper' WHEN 6 THEN 'paypal' WHEN 8 THEN 'amazon' END AS brand FROM software""")
+def s12_lookalikes(inv):
+    # the brand itself, a swap, a lost letter, a short affix, a long affix, a letter more, a digit for a letter, two letters off, another letter
+    kinds = ("Norton", "ad-Gaurd", "lastpas", "Dashlane EX", "bitwarden pro", "keepper", "payp4l", "metmsak9", "Amazom")
+    shown = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    names = inv.software.select("p_partkey", F.concat_ws(" #", "name", "p_partkey").alias("name"), shown.alias("display_name"), _size(2).alias("vouched"))
+    judged = score.name_anomalies(names.drop("p_partkey")).withColumn("p_partkey", F.substring_index("name", "#", -1).cast("long"))
+    told = F.get(F.filter("name_signals", lambda s: s["code"].startswith("brand") | (s["code"] == "typosquat-brand")), 0)["detail"]
+    return judged.select("p_partkey", "name_penalty", F.nullif(F.regexp_extract(told, "the '(.*?)' brand", 1), F.lit("")).alias("brand"))
+
+
 @query(LIST + " SELECT key, store, host_count, capability_score, trust_score, threat_score, exposure_score, name_penalty, risk_score, risk_band, known_bad FROM banded")
 def s13_score_extensions(inv):
     return scored(inv).select("key", "store", "host_count", "capability_score", "trust_score", "threat_score", "exposure_score", "name_penalty", "risk_score", "risk_band", "known_bad")
@@ -173,13 +185,13 @@ def s14_fingerprints(inv):
     return score.extension_fingerprints(groups(inv), inv.hosts.agg(F.count("*").alias("fleet_hosts")))
 
 
-@query(" SELECT extension_key AS key, CASE WHEN p_size % 3 = 0 THEN 'new' WHEN p_size % 3 = 1 THEN 'changed' ELSE 'listing due' END AS reason FROM software WHERE store = 'chrome' AND (p_size % 3 < 2 OR p_size > 20)")
+@query(" SELECT extension_key AS key, CASE WHEN p_size % 3 = 0 THEN 'new' WHEN p_size % 3 = 1 THEN 'changed' ELSE 'listing due' END AS reason FROM software WHERE store IS NOT NULL AND (p_size % 3 < 2 OR p_size > 20)")
 def s15_due(inv):
-    g = groups(inv).where("store = 'chrome'")
+    g = groups(inv)
     prints = score.extension_fingerprints(g, inv.hosts.agg(F.count("*").alias("fleet_hosts")))
-    by_size = inv.software.where("store = 'chrome'").select(F.col("extension_key").alias("key"), "p_size")
+    by_size = inv.software.where("store IS NOT NULL").select(F.col("extension_key").alias("key"), "p_size")
     prior = prints.join(by_size, "key").where(~_size(3)).join(g.select("key", "versions"), "key").select("key", F.when(F.col("p_size") % 3 == 1, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.col("versions").alias("versions_seen"))
-    listed = inv.software.where("store = 'chrome'").select("store", "extension_id", F.when(F.col("p_size") > 20, F.lit("2001-01-01")).otherwise(F.lit(AS_OF)).cast("timestamp").alias("fetched_at"), F.lit("1").alias("version"))
+    listed = inv.software.where("store IS NOT NULL").select("store", "extension_id", F.when(F.col("p_size") > 20, F.lit("2001-01-01")).otherwise(F.lit(AS_OF)).cast("timestamp").alias("fetched_at"), F.lit("1").alias("version"))
     return score.due_for_scoring(g, prints, prior, listed, AS_OF)
 
 
