@@ -35,8 +35,10 @@ def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame |
     hosts = inv.hosts if hosts is None else hosts
     edges = inv.installed_on.select(F.col("name").alias("seed"), "host_id") if kind == "software" else inv.uses.select(F.col("username").alias("seed"), "host_id")
     seeds = seeds.select("seed").distinct()
-    reach = cut(edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").distinct())
-    by_host = reach.join(inv.hosts.select("host_id", "platform", "team_id"), "host_id").groupBy("seed").agg(F.count_distinct("host_id").alias("host_reach"), F.count_distinct("platform").alias("platforms"), F.count_distinct("team_id").alias("teams"))
+    reach = settle(edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").distinct())
+    # pairs are distinct, and platforms and teams few: one pass counts all three
+    few = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
+    by_host = reach.join(inv.hosts.select("host_id", "platform", "team_id"), "host_id").groupBy("seed").agg(F.count("*").alias("host_reach"), few("platform", "platforms"), few("team_id", "teams"))
     uses = inv.uses.where(~F.lower("username").isin(*excluded))
     impact = reach.join(uses, "host_id").select("seed", "username").where(F.lit(kind == "software") | (F.col("username") != F.col("seed"))).distinct()
     users = impact.groupBy("seed").agg(F.count("*").alias("user_impact"))

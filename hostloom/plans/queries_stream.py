@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.operators import snapshot
+from hostloom.functions.shared import settle
+from hostloom.operators import host_titles, snapshot
 from hostloom.plans.inventory import SQL, Inventory, inventory
 from hostloom.plans.queries_core import flat
 from hostloom.plans.queries_score import _scratch, _stream
+from hostloom.plans.queries_state import ORACLE_SQL as STATE_SQL
 from hostloom.plans.queries_state import STATES, host_documents, states
 from hostloom.sources import readers
 from hostloom.streaming import inventory_stream, inventory_tables, last_seen
@@ -101,7 +105,18 @@ def set2_diff_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.unionByName(edges).unionByName(same.select(F.lit("unexpected").alias("bucket"), "kind", F.lit("").alias("src"), F.lit("").alias("dst")))
 
 
-QUERIES |= {"set2_diff_written": set2_diff_written, "str1_stream_inventory": str1_stream_inventory, "str3_host_last_seen": str3_host_last_seen, "src1_quarantine": src1_quarantine}
+def mrg6_bucketed_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of mrg6 merged into a table that is bucketed by host."""
+    inv, table = inventory(spark, sf_dir), f"hostloom_installs_{uuid.uuid4().hex}"
+    a, b = states(inv)
+    columns = ["name", "host_id", "version", "source", "extension_key", "first_seen", "last_seen"]
+    host_titles.save_titles(host_titles.titles_by_host(a.select(columns)), table, 8)
+    after = settle(host_titles.upsert_titles(spark.table(table), b.select(columns), b.select("host_id"), "2002-01-01"))
+    spark.sql(f"DROP TABLE {table}")
+    return flat(host_titles.edges_of(after).select("name", "host_id", "version", "first_seen", "last_seen"))
+
+
+QUERIES |= {"mrg6_bucketed_installs": mrg6_bucketed_installs, "set2_diff_written": set2_diff_written, "str1_stream_inventory": str1_stream_inventory, "str3_host_last_seen": str3_host_last_seen, "src1_quarantine": src1_quarantine}
 
 _WAVES = f"""{STATES}, sent AS (SELECT host_id, platform FROM hosts WHERE platform NOT IN ('rhel', 'chrome') AND host_id IN (SELECT host_id FROM eb)),
 keyed AS (SELECT host_id, coalesce(extension_key, name) AS name, version FROM ea), later AS (SELECT host_id, coalesce(extension_key, name) AS name, version FROM eb SEMI JOIN sent USING (host_id)),
@@ -111,6 +126,7 @@ used AS (SELECT username, host_id FROM uses SEMI JOIN hosts USING (host_id) WHER
 every AS (SELECT name, version, 1 AS wave FROM keyed UNION ALL SELECT name, version, 2 FROM later)"""
 
 ORACLE_SQL |= {
+    "mrg6_bucketed_installs": STATE_SQL["mrg6_upsert_installs"],
     "str1_stream_inventory": f"""{SQL}{_WAVES}
 SELECT 'hosts' AS kind, CAST(host_id AS VARCHAR) AS k1, NULL AS k2, hostname AS v1, CASE WHEN platform = 'chrome' OR host_id IN (SELECT host_id FROM sent) THEN '2002-01-01' ELSE '2001-01-01' END AS v2 FROM hosts
 UNION ALL SELECT 'users', username, NULL, email, NULL FROM users WHERE username IN (SELECT username FROM uses SEMI JOIN hosts USING (host_id)) UNION ALL SELECT DISTINCT 'users', 'renter', NULL, NULL, NULL FROM used WHERE username = 'renter'
