@@ -14,7 +14,15 @@ from pyspark.sql import DataFrame
 from hostloom.llm.common import as_bytes, mix, span_hashes
 
 #: Pre-tokens, and characters of pre-tokens, that a task remembers with their ids before it starts afresh.
-MEMO_TOKENS, MEMO_CHARS = 1 << 19, 1 << 24
+MEMO_TOKENS, MEMO_CHARS = 1 << 18, 1 << 22
+#: Rows of an Arrow batch that are handed on at once.
+ROWS = 512
+
+
+def _cut(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -151,7 +159,7 @@ def encode(documents: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame
         vocabulary, split = shared.value, regex.compile(pattern).findall
         memo: dict[str, bytes] = {}
         chars = 0
-        for batch in batches:
+        for batch in _cut(batches):
             n, ids = [], []
             for data in as_bytes(batch.column(1)):
                 words = split(data.decode("utf-8", "replace")) if data else []
@@ -176,7 +184,7 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
-        for batch in batches:
+        for batch in _cut(batches):
             out = [None if ids is None else b"".join(map(token, np.frombuffer(ids, dtype="<u4").tolist())) for ids in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
