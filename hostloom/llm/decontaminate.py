@@ -15,11 +15,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import discard, row_key, settle, small
+from hostloom.llm.common import BROADCAST_BYTES, discard, row_key, settle, small
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, ANCHORS = 10, 2
+#: A key with more than this part of all rows is dealt over several tasks; at most so many keys are.
+PARTS = 4096
+
+
+def fits(rows: int, width: int) -> bool:
+    """Whether so many rows, of about `width` bytes each, may be broadcast."""
+    return rows * (width + 32) <= BROADCAST_BYTES
+
+
+def meet(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, n_side: int, width: int) -> DataFrame:
+    """rows joined to side by key; counts: (key, n), n being the key's number of rows.
+
+    A side of few counted rows is broadcast. Else the join shuffles, and a key with more than 1 / PARTS of all rows is dealt
+    over as many lots as it has such parts, with the side's rows of that key in each: no task joins a hot key by itself.
+    There are at most PARTS such keys, so they are broadcast.
+    """
+    if fits(n_side, width):
+        return rows.join(F.broadcast(side), key)
+    counts = settle(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") * PARTS > total).select(key, F.ceil(F.col("n") * PARTS / max(total, 1)).cast("int").alias("lots")))
+    lots = F.coalesce("lots", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("lot", F.pmod(F.xxhash64(*rows.columns), lots).cast("int")).drop("lots")
+    each = side.join(hot, key, "left").withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("lots")
+    return dealt.join(each, [key, "lot"]).drop("lot")
 
 
 def terms(text: F.Column) -> F.Column:
@@ -38,19 +63,23 @@ def lines_of(items: DataFrame, docs: DataFrame) -> DataFrame:
     places = items.select("item", F.posexplode("words").alias("at", "term"))
     vocabulary = settle(places.select("term").distinct())
     words = docs.select(F.explode(terms(F.col("text"))).alias("term"))
-    counts = settle(words.join(small(vocabulary, vocabulary.count(), 24), "term").groupBy("term").agg(F.count("*").alias("n")))
+    if fits(vocabulary.count(), 24):
+        counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    else:  # counted before the shuffle, so that a frequent term is one row of each task
+        counts = words.groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term", "left_semi")
+    counts = settle(counts)
     ranked = places.join(small(counts, counts.count(), 32), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return ranked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "n", "term"))).alias("line"))
 
 
 def anchors_of(items: DataFrame, docs: DataFrame, window: int, anchors: int) -> DataFrame:
-    """(term, item, at): the terms of every window that are rarest in the corpus."""
+    """(term, item, at, n): the terms of every window that are rarest in the corpus, n being their count there."""
     by_item = lines_of(items, docs)
     width = F.least(F.size("line"), F.lit(window))
     windows = by_item.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("line") - width), lambda s: F.slice("line", s + 1, width))).alias("w"))
     rarest = F.slice(F.array_sort(F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))), 1, anchors)
     # a window with a term that the corpus lacks can't occur
-    return windows.select("item", rarest.alias("r")).where(F.col("r")[0]["n"] > 0).select("item", F.explode("r").alias("x")).select(F.col("x.term").alias("term"), "item", F.col("x.at").alias("at")).distinct()
+    return windows.select("item", rarest.alias("r")).where(F.col("r")[0]["n"] > 0).select("item", F.explode("r").alias("x")).select(F.col("x.term").alias("term"), "item", F.col("x.at").alias("at"), F.col("x.n").alias("n")).distinct()
 
 
 def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -58,16 +87,19 @@ def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, an
     docs = documents.select(row_key().alias("key"), "text")
     items = settle(benchmark_items(benchmark))
     chosen = settle(anchors_of(items, docs, window, anchors))
-    by_term = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "at")).alias("places"))
+    n_chosen = chosen.count()
     postings = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    met = postings.join(small(by_term, chosen.count(), 48), "term").select("key", "pos", F.explode("places").alias("p"))
-    diagonals = met.groupBy("key", F.col("p.item").alias("item"), (F.col("pos") - F.col("p.at")).alias("diagonal")).agg(F.collect_set("p.at").alias("seen"))
+    met = meet(postings, chosen.drop("n"), "term", chosen.select("term", "n").distinct(), n_chosen, 48)
+    diagonals = met.groupBy("key", "item", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("seen"))
     lines = chosen.groupBy("item").agg(F.collect_set("at").alias("all_at")).join(items.select("item", F.size("words").alias("n")), "item")
     width = F.least(F.col("n"), F.lit(window))
     # a diagonal can hold a window only if every anchor inside that window was seen there
     holds = F.exists(F.sequence(F.lit(0), F.col("n") - width), lambda s: F.size(F.array_intersect(F.filter("all_at", lambda a: (a >= s) & (a < s + width)), "seen")) == F.size(F.filter("all_at", lambda a: (a >= s) & (a < s + width))))
     enough = F.size("seen") >= F.least(F.lit(anchors), width)
-    return diagonals.where(F.size("seen") >= F.lit(1)).join(small(lines, chosen.count() + items.count(), 32), "item").where(enough & holds).select("key", "item", "diagonal")
+    n_lines = n_chosen + items.count()
+    if not fits(n_lines, 32):
+        diagonals = settle(diagonals)  # counted by item, to deal out items that many documents hold
+    return meet(diagonals, lines, "item", diagonals.groupBy("item").agg(F.count("*").alias("n")), n_lines, 32).where(enough & holds).select("key", "item", "diagonal")
 
 
 def at_places(documents: DataFrame, found: DataFrame, items: DataFrame, before: int = 0) -> DataFrame:
@@ -75,14 +107,15 @@ def at_places(documents: DataFrame, found: DataFrame, items: DataFrame, before:
     as many behind its end. found: (key, item, start), settled. A document is cut up once, whatever the number of its places."""
     sizes = items.select("item", F.size("words").alias("n"))
     n_items, n_found = items.count(), found.count()
-    places = found.join(small(sizes, n_items, 16), "item").groupBy("key").agg(F.collect_list(F.struct("item", "start", "n")).alias("places"))
+    by_item = found.groupBy("item").agg(F.count("*").alias("n"))
+    places = meet(found, sizes, "item", by_item, n_items, 16).groupBy("key").agg(F.collect_list(F.struct("item", "start", "n")).alias("places"))
     docs = documents.select(row_key().alias("key"), "text").join(small(places, n_found, 24), "key")
     # explode, not a plain column: the text would otherwise be cut into words again for each place
     cut = docs.select("key", "places", F.explode(F.array(terms(F.col("text")))).alias("doc")).select("key", "doc", F.explode("places").alias("p"))
     first = F.greatest(F.col("p.start") - before, F.lit(0))
     part = F.slice("doc", first + 1, F.greatest(F.col("p.start") + F.col("p.n") + before - first, F.lit(0)))
     rows = cut.select("key", "p.item", "p.start", first.alias("first"), part.alias("doc"))
-    return rows.join(small(items, n_items, 1024), "item")
+    return meet(rows, items, "item", by_item, n_items, 1024)
 
 
 def window_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -139,13 +172,13 @@ def near_places(documents: DataFrame, items: DataFrame, within: int, share: floa
     lost = n - F.ceil(F.lit(share) * n).cast("int")
     chosen = lines_of(items, docs).select("item", F.least(F.greatest(n - lost, F.lit(1)), F.lit(anchors)).alias("k"), lost.alias("lost"), "line")
     rarest = F.slice(F.array_sort(F.transform("line", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))), 1, F.col("k") + F.col("lost"))
-    chosen = settle(chosen.select("item", "k", F.explode(rarest).alias("x")).where("x.n > 0").select("item", "k", F.col("x.term").alias("term"), F.col("x.at").alias("at")))
-    by_term = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "k", "at")).alias("places"))
-    met = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term")).join(small(by_term, chosen.count(), 48), "term").select("key", "pos", F.explode("places").alias("p"))
+    chosen = settle(chosen.select("item", "k", F.explode(rarest).alias("x")).where("x.n > 0").select("item", "k", F.col("x.term").alias("term"), F.col("x.at").alias("at"), F.col("x.n").alias("n")))
+    postings = docs.select("key", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    met = meet(postings, chosen.drop("n"), "term", chosen.select("term", "n").distinct(), chosen.count(), 48)
     # the diagonals within the slack of a start make one lane's width, so they lie in two lanes that follow each other
     width = 2 * within + 1
-    lane = F.floor((F.col("pos") - F.col("p.at")) / F.lit(width)).cast("int")
-    dealt = met.select("key", "p.item", "p.k", F.struct(F.col("p.at").alias("at"), (F.col("pos") - F.col("p.at")).alias("diagonal")).alias("hit"), F.explode(F.array(lane - 1, lane)).alias("lane"))
+    lane = F.floor((F.col("pos") - F.col("at")) / F.lit(width)).cast("int")
+    dealt = met.select("key", "item", "k", F.struct("at", (F.col("pos") - F.col("at")).alias("diagonal")).alias("hit"), F.explode(F.array(lane - 1, lane)).alias("lane"))
     lanes = dealt.groupBy("key", "item", "lane").agg(F.first("k").alias("k"), F.collect_set("hit").alias("hits")).where(F.size("hits") >= F.col("k"))
     first = F.col("lane") * width + within
     met_at = lambda d: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: F.abs(h["diagonal"] - d) <= within), lambda h: h["at"])))

@@ -132,7 +132,37 @@ def test_suffix_statistics_count_all_labelled_urls(spark):
     assert got == {h: ("allow", "block")[i % 2] for i, h in enumerate(hosts)}
 
 
-def test_decontamination(spark, docs):
+@pytest.fixture(params=["broadcast", "dealt"])
+def joined(request, monkeypatch):
+    """Both ways of the joins of decontamination: small sides broadcast, and hot keys dealt over lots."""
+    if request.param == "dealt":
+        for module in (common, decontaminate):
+            monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(decontaminate, "PARTS", 8)
+    return request.param
+
+
+def test_a_hot_key_is_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(decontaminate, "PARTS", 64)
+    rows = spark.range(9000).select((F.col("id") % 3 * F.col("id")).alias("key"), "id").withColumn("key", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("key")))
+    side = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z"), (-1, "w")], "key long, value string")
+    met = decontaminate.meet(rows, side, "key", rows.groupBy("key").agg(F.count("*").alias("n")), 4, 8)
+    assert Counter((r.key, r.id, r.value) for r in met.collect()) == Counter((r.key, r.id, r.value) for r in rows.join(side, "key").collect())
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        task_of = met.where("key = 0").select(F.spark_partition_id().alias("task"), "id").distinct().collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    tasks = Counter(r.task for r in task_of)
+    assert sum(tasks.values()) == 3000 and max(tasks.values()) < 1500  # the lots fall on several tasks
+
+
+def test_decontamination(spark, docs, joined):
     bench = spark.createDataFrame([(1, " ".join(f"P{i}" for i in range(10, 25))), (2, "one"), (3, None), (4, ""), (None, "same text"), (6, "here twice"), (6, "here twice")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(docs, bench).collect()}
     term = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -155,7 +185,7 @@ def test_decontamination(spark, docs):
     assert near_hit and near_hit[0].matched >= 13
 
 
-def test_near_matches_against_a_plain_version(spark):
+def test_near_matches_against_a_plain_version(spark, joined):
     rng = np.random.default_rng(6)
     items = {1: [f"p{k}" for k in range(15)], 2: [f"q{k}" for k in range(40)], 3: ["solo"], 4: ["two", "words"], 5: ["a", "b", "a", "c"] * 5}
     once = lambda w, at, new: w[:at] + [new] + w[at + 1 :]
