@@ -14,6 +14,8 @@ DEFAULT_ACCOUNTS = ("root", "administrator", "admin", "guest", "defaultaccount",
 MAX_HOPS, EGO_HOPS, EGO_CAP, GRAPH_TITLES = 6, 3, 500, 50
 #: Neighbours of a node that one block of its adjacency holds, about.
 ADJACENT = 10_000
+#: Hosts from which on a user's hosts are held as a bitmap (4 KB for 32,768 hosts).
+HUB_HOSTS = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,30 +26,68 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame | None = None, excluded: tuple[str, ...] = DEFAULT_ACCOUNTS) -> DataFrame:
+def numbered(hosts: DataFrame, per_part: int = 1 << 20) -> DataFrame:
+    """(host_id, bucket, bit): a place of its own in fixed-size bitmaps for each host; settled, so that it stays. Numbers run
+    on within a part of about `per_part` hosts, so all buckets but the parts' last are full."""
+    parts = hosts.select("host_id").distinct()
+    number = F.monotonically_increasing_id() + 1
+    parts = parts.repartition(max(1, -(-parts.count() // per_part)), "host_id").select("host_id", number.alias("n"))
+    return settle(parts.select("host_id", F.bitmap_bucket_number("n").alias("bucket"), F.bitmap_bit_position("n").alias("bit")))
+
+
+def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame | None = None, excluded: tuple[str, ...] = DEFAULT_ACCOUNTS, hub: int = HUB_HOSTS) -> DataFrame:
     """(seed, host_reach, platforms, teams, user_impact, lateral): what each seed reaches; seeds: (seed), titles or users.
 
     Hosts of the seed in scope; users of those hosts, but for the seed and default accounts; other hosts of those
-    users, anywhere. All seeds go together; distinct pairs between the hops keep shared titles from multiplying.
+    users, anywhere. All seeds go together. Hosts that a seed reaches in all, less those of its own, are the lateral ones.
+    Users with one host lead to no other. Users with more than `hub` hosts are held as bitmaps, which are merged for the seeds
+    that reach them; the other seeds' hosts are counted as distinct pairs, which take less room than bitmaps there.
     """
     if kind not in ("software", "user"):
         raise ValueError("kind is software or user")
-    hosts = inv.hosts if hosts is None else hosts
+    known = settle(inv.hosts.select("host_id", "platform", "team_id"))
+    hosts = known if hosts is None else hosts
     edges = inv.installed_on.select(F.col("name").alias("seed"), "host_id") if kind == "software" else inv.uses.select(F.col("username").alias("seed"), "host_id")
-    seeds = seeds.select("seed").distinct()
-    reach = settle(edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").distinct())
+    # numbers stand for the seeds between the first step and the last: pairs of them are narrow and cheap to hash
+    seeds = settle(seeds.select("seed").distinct().withColumn("s", F.monotonically_increasing_id()))
+    reach = settle(edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").select("s", "host_id").distinct())
     # pairs are distinct, and platforms and teams few: one pass counts all three
     few = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
-    by_host = reach.join(inv.hosts.select("host_id", "platform", "team_id"), "host_id").groupBy("seed").agg(F.count("*").alias("host_reach"), few("platform", "platforms"), few("team_id", "teams"))
-    uses = inv.uses.where(~F.lower("username").isin(*excluded))
-    impact = reach.join(uses, "host_id").select("seed", "username").where(F.lit(kind == "software") | (F.col("username") != F.col("seed"))).distinct()
-    users = impact.groupBy("seed").agg(F.count("*").alias("user_impact"))
-    lateral = impact.join(uses, "username").join(inv.hosts.select("host_id"), "host_id", "left_semi").select("seed", "host_id").distinct().join(reach, ["seed", "host_id"], "left_anti").groupBy("seed").agg(F.count("*").alias("lateral"))
+    by_host = reach.join(known, "host_id").groupBy("s").agg(F.count("*").alias("host_reach"), few("platform", "platforms"), few("team_id", "teams"))
+    uses = settle(inv.uses.where(~F.lower("username").isin(*excluded)).select("username", "host_id").distinct())
+    impact = reach.join(uses, "host_id").select("s", "username").distinct()
+    if kind == "user":
+        impact = impact.join(seeds.withColumnRenamed("seed", "username"), ["s", "username"], "left_anti")
+    impact = settle(impact)
+    users = impact.groupBy("s").agg(F.count("*").alias("user_impact"))
+    in_all = reached(reach, impact, uses, known, hub)
     zero = F.lit(0).cast("long")
-    out = seeds.join(by_host, "seed", "left").join(users, "seed", "left").join(lateral, "seed", "left")
+    out = seeds.join(by_host, "s", "left").join(users, "s", "left").join(in_all, "s", "left")
+    out = out.withColumn("lateral", F.col("in_all") - F.col("host_reach"))
     return out.select("seed", *[F.coalesce(c, zero).alias(c) for c in ("host_reach", "platforms", "teams", "user_impact", "lateral")])
 
 
+def reached(reach: DataFrame, impact: DataFrame, uses: DataFrame, hosts: DataFrame, hub: int) -> DataFrame:
+    """(s, in_all): distinct hosts that are a seed's own or a host of its users. reach: (s, host_id), impact: (s, username), uses:
+    (username, host_id), all distinct and settled."""
+    counted = settle(uses.groupBy("username").agg(F.count("*").alias("n")).where("n > 1"))
+    own = reach.join(hosts.select("host_id"), "host_id", "left_semi").select("s", "host_id")
+    roaming = uses.join(counted.where(F.col("n") <= hub).select("username"), "username", "left_semi").join(hosts.select("host_id"), "host_id", "left_semi")
+    pairs = own.unionByName(impact.join(roaming, "username").select("s", "host_id"))
+    hubs = counted.where(F.col("n") > hub).select("username")
+    if hubs.isEmpty():
+        return pairs.groupBy("s").agg(F.count_distinct("host_id").alias("in_all"))
+    number = numbered(hosts)
+    bits = F.bitmap_construct_agg("bit").alias("bits")
+    by_hub = settle(uses.join(hubs, "username", "left_semi").join(number, "host_id").groupBy("username", "bucket").agg(bits))
+    to_hubs = impact.join(hubs, "username", "left_semi")
+    dense = settle(to_hubs.select("s").distinct())
+    sparse = pairs.join(dense, "s", "left_anti").groupBy("s").agg(F.count_distinct("host_id").alias("in_all"))
+    plain = pairs.join(dense, "s", "left_semi").join(number, "host_id").groupBy("s", "bucket").agg(bits)
+    merged = plain.unionByName(to_hubs.join(by_hub, "username").select("s", "bucket", "bits")).groupBy("s", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return sparse.unionByName(merged.groupBy("s").agg(F.sum(F.bitmap_count("bits")).alias("in_all")))
+
+
 def blast_scores(metrics: DataFrame, inv: Inventory, hosts: DataFrame | None = None) -> DataFrame:
     """Adds host_score, user_score, lateral_score, platform_score: whole percents, at most 100. Hosts and users against
     the scope's totals, lateral hosts against all, platforms against 3; a total of 0 counts as 1."""

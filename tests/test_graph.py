@@ -1,11 +1,13 @@
-"""Budgets of ego networks, early ends and dealt hubs of path searches."""
+"""Blast radius over hub accounts, budgets of ego networks, early ends and dealt hubs of path searches."""
 
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hostloom.operators import graph
+from hostloom.plans.inventory import Inventory
 
 
 def edge_frame(spark, edges):
@@ -100,3 +102,33 @@ def test_ego_networks_of_hubs_stay_within_their_budget(spark, monkeypatch):
         assert kept == {(s, a, b) for s in seeds for a, b, _ in edges if a in got[s][0] and b in got[s][0]}
         assert max(sizes) <= cap + 1
         sizes.clear()
+
+
+def plain_blast(seed, edges, uses, hosts, scope):
+    own = {h for s, h in edges if s == seed and h in scope}
+    users = {u for u, h in uses if h in own and u not in (seed, "Root")}
+    lateral = {h for u, h in uses if u in users and h in hosts} - own
+    return len(own), len({hosts[h][0] for h in own} - {None}), len({hosts[h][1] for h in own} - {None}), len(users), len(lateral)
+
+
+@pytest.mark.parametrize("hub", [1, 3, 1000])
+def test_blast_radius_by_bitmaps_and_by_pairs(spark, hub):
+    rng = np.random.default_rng(hub)
+    hosts = {h: (("darwin", "windows", None)[h % 3], h % 5 or None) for h in range(80)}
+    uses = [(f"u{int(rng.integers(0, 40))}", int(rng.integers(0, 90))) for _ in range(90)] + [("svc", h) for h in range(0, 90, 2)] + [("Root", h) for h in range(80)] + [("u1", 5), ("u1", 5), (None, 7)]
+    installs = [(f"t{int(rng.integers(0, 30))}", int(rng.integers(0, 90))) for _ in range(70)] + [("t1", 5), ("t1", 5), ("rare", 1)]
+    inv = Inventory(
+        hosts=spark.createDataFrame([(h, *v) for h, v in hosts.items()], "host_id long, platform string, team_id long"), users=None, software=None, labels=None, has_label=None,
+        uses=spark.createDataFrame(uses, "username string, host_id long"), installed_on=spark.createDataFrame(installs, "name string, host_id long"),
+    )
+    named = [(u, h) for u, h in uses if u is not None]
+    for kind, edges, names in (("software", installs, [f"t{i}" for i in range(30)] + ["rare", "none"]), ("user", named, [f"u{i}" for i in range(40)] + ["svc"])):
+        for scope in (set(hosts), {h for h in hosts if h % 4}):
+            seeds = spark.createDataFrame([(n,) for n in names], "seed string")
+            got = {r.seed: tuple(r)[1:] for r in graph.blast_radius(inv, kind, seeds, inv.hosts.where(F.col("host_id").isin(*scope)), hub=hub).collect()}
+            assert got == {n: plain_blast(n, edges, named, hosts, scope) for n in names}
+
+
+def test_numbers_of_hosts_are_their_own(spark):
+    rows = graph.numbered(spark.range(5000).select(F.col("id").alias("host_id")), per_part=700).collect()
+    assert len(rows) == 5000 == len({(r.bucket, r.bit) for r in rows})
