@@ -32,7 +32,8 @@ def inventory_tables(spark: SparkSession, path: str, buckets: int = 64) -> dict[
 def newest_documents(docs: DataFrame) -> DataFrame:
     """One document per id: the greatest updated_at (null is least), then the greatest content by hash, so that reruns agree."""
     whole = F.struct(*docs.columns)
-    return docs.groupBy("id").agg(F.max_by(whole, F.struct("updated_at", F.sha2(F.to_json(whole), 256))).alias("d")).select("d.*")
+    content = [F.xxhash64(F.lit(seed), *docs.columns) for seed in (1, 2)]
+    return docs.groupBy("id").agg(F.max_by(whole, F.struct("updated_at", *content)).alias("d")).select("d.*")
 
 
 def merge_documents(path: str, known_users: DataFrame | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
@@ -57,23 +58,27 @@ def merge_documents(path: str, known_users: DataFrame | None = None, buckets: in
         here = tables.touched("hosts", docs.select(F.col("id").alias("host_id")))
         old_hosts = tables.read("hosts", base, here)
         stored = old_hosts.select(F.col("host_id").alias("id"), F.col("updated_at").alias("_stored"))
-        taken = docs.join(stored, "id", "left").where(F.col("updated_at").isNull() | F.col("_stored").isNull() | (F.col("updated_at") > F.col("_stored"))).drop("_stored").persist()
+        # what is held of the documents that count is narrow; their lists are read from `docs` where they are unfolded
+        n_software = F.coalesce(F.size("software"), F.lit(0)).alias("n_software")
+        heads = docs.select("id", "hostname", "platform", "team_id", "updated_at", "software_updated_at", n_software)
+        taken = heads.join(stored, "id", "left").where(F.col("updated_at").isNull() | F.col("_stored").isNull() | (F.col("updated_at") > F.col("_stored"))).drop("_stored").persist()
         seen_at = taken.agg(F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0] or "1970-01-01 00:00:00"
 
         old_edges = tables.read("installed_on", base, here)
-        lists = taken.select(F.col("id").alias("host_id"), "software_updated_at", F.coalesce(F.size("software"), F.lit(0)).alias("n_software"))
+        lists = taken.select(F.col("id").alias("host_id"), "software_updated_at", "n_software")
         action = merge.hosts_needing_software(lists, old_hosts, old_edges).persist()
         moved = action.where("action IN ('write', 'clear')").select("host_id")
-        rows = ingest.explode_software(taken.join(action.where("action = 'write'").select(F.col("host_id").alias("id")), "id", "left_semi"))
-        rows = rows.withColumn("name", F.col("key")).persist()
+        rows = ingest.explode_software(docs.select("id", "software").join(action.where("action = 'write'").select(F.col("host_id").alias("id")), "id", "left_semi"))
+        kind = F.when(F.col("store").isNotNull(), "extension").alias("kind")
+        rows = rows.select(F.col("key").alias("name"), "host_id", "version", "source", "extension_key", "display_name", kind, "is_builtin", "app_team_id").persist()
         edges = merge.upsert_installed_on(old_edges, rows.select("name", "host_id", "version", "source", "extension_key"), moved, seen_at)
         written["installed_on"] = tables.write("installed_on", edges, batch_id, here)
 
         titles = tables.touched("software", rows)
-        batch_titles = rows.select("name", "version", "source", "display_name", F.when(F.col("store").isNotNull(), "extension").alias("kind"), "is_builtin", "app_team_id")
+        batch_titles = rows.select("name", "version", "source", "display_name", "kind", "is_builtin", "app_team_id")
         written["software"] = tables.write("software", merge.upsert_software(tables.read("software", base, titles), batch_titles, seen_at), batch_id, titles)
 
-        named = ingest.host_user_identifiers(taken).persist()
+        named = ingest.host_user_identifiers(docs.select("id", "users", "primary_user", "owner").join(taken.select("id"), "id", "left_semi")).persist()
         written["uses"] = tables.write("uses", merge.prune_stale_uses(tables.read("uses", base, here), named), batch_id, here)
         names = named.select(F.explode("users").alias("username")).distinct()
         people = tables.touched("users", names)

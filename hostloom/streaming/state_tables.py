@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class StateTables:
@@ -15,7 +16,7 @@ class StateTables:
     after a failure writes the same folders anew; one that has been committed is skipped.
 
     Tables are given as name -> (schema, key column); a row's bucket is a hash of its key. `buckets` is fixed for a folder:
-    choose it so that a bucket fits a task.
+    choose it so that few are touched by a batch.
     """
 
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, str]], buckets: int):
@@ -56,7 +57,11 @@ class StateTables:
         held = manifest[name]
         chosen = held if buckets is None else {b: held[str(b)] for b in map(str, buckets) if b in held}
         folders = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in sorted(chosen.items(), key=lambda e: int(e[0]))]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self._none(name)
+
+    def _none(self, name: str) -> DataFrame:
+        """The table without rows, as a plan that the optimizer knows to be empty: joins with it cost nothing."""
+        return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(self.tables[name][0])])
 
     def current(self) -> dict[str, DataFrame]:
         """All tables as of the last commit."""
@@ -65,10 +70,11 @@ class StateTables:
         return {t: self.read(t, manifest) for t in self.tables}
 
     def write(self, name: str, rows: DataFrame, batch_id: int, touched: list[int]) -> dict[str, int | None]:
-        """Write the touched buckets whole; gives bucket -> version, None for a bucket that has become empty."""
+        """Write the touched buckets whole; gives bucket -> version, None for a bucket that has become empty. A large bucket is
+        dealt over several tasks and files."""
         at = f"{name}/v={batch_id}"
-        columns = [f.name for f in self.spark.createDataFrame([], self.tables[name][0]).schema]
-        rows.select(*columns, self.bucket(name).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
+        columns = [f.name for f in StructType.fromDDL(self.tables[name][0])]
+        rows.select(*columns, self.bucket(name).alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
         found = {n[7:] for n in self._names(at) if n.startswith("bucket=")}
         return {str(b): batch_id if str(b) in found else None for b in touched}
 

@@ -149,3 +149,24 @@ def test_readers_of_users_labels_and_blocklists(spark, tmp_path):
     land(tmp_path / "block", "b.json", [{"guid": "g1", "why": "b", "versionRange": [{"minVersion": "1", "maxVersion": "2"}]}, {"guid": "g1", "why": "a", "versionRange": [{"minVersion": "5", "maxVersion": "*"}]}, {"guid": "g2"}, {"why": "no guid"}])
     got = {r.guid: (r.why, sorted(x.minVersion for x in r.ranges)) for r in readers.read_blocklist(spark, str(tmp_path / "block")).collect()}
     assert got == {"g1": ("a", ["1", "5"]), "g2": (None, [])}
+
+
+def test_a_large_bucket_is_dealt_over_several_tasks(spark, tmp_path):
+    tables = StateTables(spark, str(tmp_path / "state"), {"t": ("k bigint, v string", "k")}, 2)
+    rows = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "200k")
+    try:
+        assert tables.write("t", rows, 0, [0, 1]) == {"0": 0, "1": 0}
+    finally:
+        spark.conf.unset(size)
+    for bucket in (0, 1):
+        assert len(list((tmp_path / "state" / "t" / "v=0" / f"bucket={bucket}").glob("*.parquet"))) > 1
+    assert tables.read("t", {"t": {"0": 0, "1": 0}}).distinct().count() == 40_000
+
+
+def test_a_table_without_rows_is_an_empty_plan(spark, tmp_path):
+    tables = inventory_tables.state_tables(spark, str(tmp_path / "none"), 2)
+    for name, df in tables.current().items():
+        assert df.schema == spark.createDataFrame([], inventory_tables.TABLES[name][0]).schema
+        assert "LocalRelation <empty>" in df._jdf.queryExecution().optimizedPlan().toString()
