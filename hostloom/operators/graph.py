@@ -101,9 +101,12 @@ def blast_scores(metrics: DataFrame, inv: Inventory, hosts: DataFrame | None = N
 def links(inv: Inventory, hosts: DataFrame | None = None) -> DataFrame:
     """(src, dst, kind): user -> host and software -> host, typed ids, hosts in scope."""
     hosts = (inv.hosts if hosts is None else hosts).select("host_id")
-    a = inv.uses.join(hosts, "host_id", "left_semi").select(typed_id("user", F.col("username")).alias("src"), typed_id("host", F.col("host_id")).alias("dst"), F.lit("USES").alias("kind"))
-    b = inv.installed_on.join(hosts, "host_id", "left_semi").select(typed_id("software", F.col("name")).alias("src"), typed_id("host", F.col("host_id")).alias("dst"), F.lit("INSTALLED_ON").alias("kind"))
-    return a.unionByName(b).distinct()
+
+    def part(edges: DataFrame, kind: str, key: str, name: str) -> DataFrame:
+        pairs = edges.join(hosts, "host_id", "left_semi").select(key, "host_id").distinct()  # before ids are made: narrower
+        return pairs.select(typed_id(kind, F.col(key)).alias("src"), typed_id("host", F.col("host_id")).alias("dst"), F.lit(name).alias("kind"))
+
+    return part(inv.uses, "user", "username", "USES").unionByName(part(inv.installed_on, "software", "name", "INSTALLED_ON"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

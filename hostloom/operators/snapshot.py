@@ -29,28 +29,34 @@ def node_hash(props: Column) -> Column:
 
 def snapshot_nodes(inv: Inventory, ts: str) -> DataFrame:
     """(snapshot_ts, kind, id, props, hash) of all hosts, users, software and labels."""
+    return _unhashed_nodes(inv, ts).withColumn("hash", node_hash(F.col("props")))
+
+
+def _unhashed_nodes(inv: Inventory, ts: str) -> DataFrame:
     parts = []
     for kind, df, key in (("host", inv.hosts, "host_id"), ("user", inv.users, "username"), ("software", inv.software, "name"), ("label", inv.labels, "label_id")):
         parts.append(df.select(F.lit(ts).alias("snapshot_ts"), F.lit(kind).alias("kind"), typed_id(kind, F.col(key)).alias("id"), props_of(df, ()).alias("props")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("hash", node_hash(F.col("props")))
+    return out
 
 
 def snapshot_edges(inv: Inventory, ts: str) -> DataFrame:
     """(snapshot_ts, label, src, dst)."""
     labelled = inv.has_label.select(typed_id("host", F.col("host_id")).alias("src"), typed_id("label", F.col("label_id")).alias("dst"), F.lit("HAS_LABEL").alias("kind"))
-    return links(inv).unionByName(labelled).distinct().select(F.lit(ts).alias("snapshot_ts"), F.col("kind").alias("label"), "src", "dst")
+    return links(inv).unionByName(labelled.distinct()).select(F.lit(ts).alias("snapshot_ts"), F.col("kind").alias("label"), "src", "dst")
 
 
 def write_snapshot(inv: Inventory, ts: str, path: str, buckets: int = 64) -> None:
     """Nodes and edges under the path, partitioned by snapshot, kind and a bucket of their key, and a digest of every bucket
-    (`digests`). A snapshot that is written again replaces itself only."""
+    (`digests`). A snapshot that is written again replaces itself only. A large bucket is dealt over several tasks and files."""
     spark = inv.hosts.sparkSession
-    for name, df in (("nodes", snapshot_nodes(inv, ts)), ("edges", snapshot_edges(inv, ts))):
+    for name, df in (("nodes", _unhashed_nodes(inv, ts)), ("edges", snapshot_edges(inv, ts))):
         kind, key, _ = _FORMS[name]
-        rows = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).repartition("bucket")
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).hint("rebalance", kind, "bucket")
+        if name == "nodes":  # hashed where rows are dealt evenly, not where a small file is read by one task
+            rows = rows.withColumn("hash", node_hash(F.col("props")))
         _replace(rows, f"{path}/{name}", ["snapshot_ts", kind, "bucket"])
     parts = [bucket_digests(_partition(spark, path, name, ts), name) for name in _FORMS]
     _replace(parts[0].unionByName(parts[1]).withColumn("snapshot_ts", F.lit(ts)).coalesce(1), f"{path}/digests", ["snapshot_ts"])
@@ -126,7 +132,7 @@ def snapshot_deltas(listing: DataFrame) -> DataFrame:
 
 def _last(nodes: DataFrame) -> DataFrame:
     """One row per id; of repeated ids the greatest hash, so that reruns agree."""
-    return nodes.groupBy("kind", "id").agg(F.max(F.struct("hash", F.to_json("props").alias("json"))).alias("m")).select("kind", "id", "m.hash", F.from_json("m.json", "map<string,string>").alias("props"))
+    return nodes.groupBy("kind", "id").agg(F.max("hash").alias("hash"), F.max_by("props", "hash").alias("props"))
 
 
 def diff_nodes(a: DataFrame, b: DataFrame, compat: bool = False) -> DataFrame:

@@ -100,6 +100,8 @@ def src1_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set2_diff_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots written with digests; their differences from the buckets that changed, and how many of these there are."""
     inv, out = inventory(spark, sf_dir), _scratch(spark)
+    installs = settle(inv.installed_on.select("name", "host_id", "first_seen"))
+    inv = replace(inv, installed_on=installs, hosts=settle(inv.hosts), uses=settle(inv.uses), has_label=settle(inv.has_label))
     a, b = states(inv)
     later = inv.hosts.withColumn("platform", F.when(F.col("host_id") % 100 == 0, "fedora").otherwise(F.col("platform")))
     for ts, hosts, edges in (("2001-01-01", inv.hosts, a), ("2001-02-01", later, b)):

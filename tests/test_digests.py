@@ -34,3 +34,18 @@ def test_one_change_reads_one_bucket_of_each_kind(spark, tmp_path):
     assert all(df.count() == 0 for pair in same.values() for df in pair)
     snapshot.write_snapshot(inventory_of(spark, "fedora"), "c", path, 8)
     assert [(r.part, r.kind) for r in snapshot.changed_buckets(spark, path, "a", "c").collect()] == [("nodes", "host")]
+
+
+def test_a_large_bucket_is_dealt_over_several_tasks_with_the_same_hashes(spark, tmp_path):
+    inv, path, size = inventory_of(spark), str(tmp_path), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    many = spark.range(0, 40_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("username"), F.lit("x").alias("email"))
+    inv = Inventory(inv.hosts, many, inv.software, inv.labels, inv.uses, inv.installed_on, inv.has_label)
+    spark.conf.set(size, "200k")
+    try:
+        snapshot.write_snapshot(inv, "a", path, 2)
+    finally:
+        spark.conf.unset(size)
+    for bucket in (0, 1):
+        assert len(list((tmp_path / "nodes" / "snapshot_ts=a" / "kind=user" / f"bucket={bucket}").glob("*.parquet"))) > 1
+    written, made = snapshot.read_snapshot(spark, path, "a")[0], snapshot.snapshot_nodes(inv, "a")
+    assert written.join(made.select("kind", "id", "hash"), ["kind", "id", "hash"]).count() == made.count() == written.count()
