@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.functions.shared import shared_dir
+from hostloom.functions.shared import settle, shared_dir
 from hostloom.operators import aggregate, categorize, runs, scope, score
 from hostloom.plans.inventory import SQL, Inventory, inventory
 from hostloom.plans.queries_core import flat
@@ -84,6 +85,9 @@ def installs(inv: Inventory) -> DataFrame:
 
 
 def scored(inv: Inventory) -> DataFrame:
+    # groups and installs both read the extensions' installs, which are few of all: these are derived once
+    held = inv.installed_on.where(F.col("extension_key").isNotNull()).select("p_partkey", "host_id", "version", "extension_key")
+    inv = replace(inv, installed_on=settle(held))
     none = inv.software.sparkSession.createDataFrame([], "name string, kind string, id string")
     return score.score_extensions(groups(inv), listings(inv), block_list(inv), feeds(inv), none, installs(inv), inv.hosts.agg(F.count("*").alias("fleet_hosts")), AS_OF)
 

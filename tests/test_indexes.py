@@ -102,3 +102,12 @@ def test_case_variants_keep_every_version_once(spark):
     edges = spark.createDataFrame([("Slack", 1, "1", "2001-01-01", "2001-01-02")], "name string, host_id long, version string, first_seen string, last_seen string")
     merged, _ = ingest.merge_case_variants(spark.createDataFrame(rows, "name string, display_name string, versions array<string>, sources array<string>"), edges)
     assert sorted(map(tuple, merged.select("name", "display_name", F.array_join("versions", "|").alias("v"), F.array_join("sources", "|").alias("s")).collect())) == [("slack", "S", "1|2", "apps|programs"), ("zoom", None, "", "")]
+
+
+def test_scores_read_settled_installs(spark):
+    """The installs' edges are derived once: no plan of the scores goes back to the line items."""
+    from hostloom.plans import queries_score
+    from hostloom.plans.inventory import inventory
+
+    read = queries_score.scored(inventory(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]
