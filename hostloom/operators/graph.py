@@ -116,11 +116,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, block: int = ADJACENT) -> tuple[DataFrame, DataFrame]:
     """(blocks, hubs). blocks: (src, block, dst, kind), both directions, one row for each pair of neighbours with its least
     kind; hubs: (src, blocks) of nodes with more than `block` neighbours, which are dealt over that many blocks, so that no
-    task joins a whole hub."""
-    both = both_ways(edges).groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    task joins a whole hub. Edges are settled first, so that the tasks which sort them hold nothing else; pairs are made
+    distinct in one direction, settled, then turned. Edges without an end lead nowhere."""
+    edges = settle(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "kind"))
+    ends = [F.col("src"), F.col("dst")]
+    pairs = settle(edges.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(F.min("kind").alias("kind")))
+    both = pairs.select(F.col("x").alias("src"), F.col("y").alias("dst"), "kind").unionByName(pairs.where("x <> y").select(F.col("y").alias("src"), F.col("x").alias("dst"), "kind"))
     hubs = settle(both.groupBy("src").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
     number = F.pmod(F.xxhash64("dst"), F.coalesce("blocks", F.lit(1))).cast("int")
-    return settle(both.join(hubs, "src", "left").select("src", number.alias("block"), "dst", "kind")), hubs
+    blocks = settle(both.join(hubs, "src", "left").select("src", number.alias("block"), "dst", "kind"))
+    discard(edges, pairs)
+    return blocks, hubs
 
 
 def neighbours(front: DataFrame, blocks: DataFrame, hubs: DataFrame) -> DataFrame:

@@ -132,3 +132,19 @@ def test_blast_radius_by_bitmaps_and_by_pairs(spark, hub):
 def test_numbers_of_hosts_are_their_own(spark):
     rows = graph.numbered(spark.range(5000).select(F.col("id").alias("host_id")), per_part=700).collect()
     assert len(rows) == 5000 == len({(r.bucket, r.bit) for r in rows})
+
+
+def test_adjacency_reads_its_edges_once_and_keeps_the_least_kind(spark, tmp_path, monkeypatch):
+    rows = [("a", "b", "X"), ("b", "a", "W"), ("b", "c", "X"), ("c", "c", "X"), (None, "a", "X"), ("a", None, "X")]
+    spark.createDataFrame(rows, "src string, dst string, kind string").write.parquet(str(tmp_path / "edges"))
+    settle, read = graph.settle, []
+
+    def told(df):
+        read.append(any("/edges/" in f for f in df.inputFiles()))
+        return settle(df)
+
+    monkeypatch.setattr(graph, "settle", told)
+    blocks, hubs = graph.adjacency(spark.read.parquet(str(tmp_path / "edges")), 10)
+    assert sum(read) == 1
+    assert sorted(tuple(r) for r in blocks.collect()) == [("a", 0, "b", "W"), ("b", 0, "a", "W"), ("b", 0, "c", "X"), ("c", 0, "b", "X"), ("c", 0, "c", "X")]
+    assert hubs.count() == 0
