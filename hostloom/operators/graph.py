@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ MAX_HOPS, EGO_HOPS, EGO_CAP, GRAPH_TITLES = 6, 3, 500, 50
 ADJACENT = 10_000
 #: Hosts from which on a user's hosts are held as a bitmap (4 KB for 32,768 hosts).
 HUB_HOSTS = 1024
+#: Hosts up to which the lists of a seed's users are merged in one group (128 KB of numbers).
+LISTED_HOSTS = 16_384
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,13 +39,14 @@ def numbered(hosts: DataFrame, per_part: int = 1 << 20) -> DataFrame:
     return settle(parts.select("host_id", F.bitmap_bucket_number("n").alias("bucket"), F.bitmap_bit_position("n").alias("bit")))
 
 
-def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame | None = None, excluded: tuple[str, ...] = DEFAULT_ACCOUNTS, hub: int = HUB_HOSTS) -> DataFrame:
+def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame | None = None, excluded: tuple[str, ...] = DEFAULT_ACCOUNTS, hub: int = HUB_HOSTS, listed: int = LISTED_HOSTS) -> DataFrame:
     """(seed, host_reach, platforms, teams, user_impact, lateral): what each seed reaches; seeds: (seed), titles or users.
 
     Hosts of the seed in scope; users of those hosts, but for the seed and default accounts; other hosts of those
     users, anywhere. All seeds go together. Hosts that a seed reaches in all, less those of its own, are the lateral ones.
     Users with one host lead to no other. Users with more than `hub` hosts are held as bitmaps, which are merged for the seeds
-    that reach them; the other seeds' hosts are counted as distinct pairs, which take less room than bitmaps there.
+    that reach them. Of the other seeds, those whose users have at most `listed` hosts in all (their own counted too) merge
+    lists of hosts, a list a user; beyond that hosts are counted as distinct pairs, which no group has to hold.
     """
     if kind not in ("software", "user"):
         raise ValueError("kind is software or user")
@@ -50,42 +55,53 @@ def blast_radius(inv: Inventory, kind: str, seeds: DataFrame, hosts: DataFrame |
     edges = inv.installed_on.select(F.col("name").alias("seed"), "host_id") if kind == "software" else inv.uses.select(F.col("username").alias("seed"), "host_id")
     # numbers stand for the seeds between the first step and the last: pairs of them are narrow and cheap to hash
     seeds = settle(seeds.select("seed").distinct().withColumn("s", F.monotonically_increasing_id()))
-    reach = settle(edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").select("s", "host_id").distinct())
+    reach = edges.join(seeds, "seed").join(hosts.select("host_id"), "host_id", "left_semi").select("s", "host_id").distinct()
+    # all three joins by host share one shuffle of the pairs
+    reach = settle(reach.join(known.withColumn("known", F.lit(True)), "host_id", "left"))
     # pairs are distinct, and platforms and teams few: one pass counts all three
     few = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
-    by_host = reach.join(known, "host_id").groupBy("s").agg(F.count("*").alias("host_reach"), few("platform", "platforms"), few("team_id", "teams"))
+    by_host = reach.where("known").groupBy("s").agg(F.count("*").alias("host_reach"), few("platform", "platforms"), few("team_id", "teams"))
     uses = settle(inv.uses.where(~F.lower("username").isin(*excluded)).select("username", "host_id").distinct())
-    impact = reach.join(uses, "host_id").select("s", "username").distinct()
+    counted = settle(uses.groupBy("username").agg(F.count("*").alias("n")).withColumn("u", F.monotonically_increasing_id()))
+    uses = uses.join(counted, "username").select("u", "host_id", "n")
+    impact = reach.join(uses, "host_id").select("s", "u", "n").distinct()
     if kind == "user":
-        impact = impact.join(seeds.withColumnRenamed("seed", "username"), ["s", "username"], "left_anti")
+        impact = impact.join(seeds.join(counted, F.col("seed") == F.col("username")).select("s", "u"), ["s", "u"], "left_anti")
     impact = settle(impact)
-    users = impact.groupBy("s").agg(F.count("*").alias("user_impact"))
-    in_all = reached(reach, impact, uses, known, hub)
+    users = impact.groupBy("s").agg(F.count("*").alias("user_impact"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("led_to"), F.max("n").alias("most"))
     zero = F.lit(0).cast("long")
-    out = seeds.join(by_host, "s", "left").join(users, "s", "left").join(in_all, "s", "left")
+    weight = F.coalesce("host_reach", zero) + F.coalesce("led_to", zero)
+    way = F.when(F.col("most") > hub, "bitmaps").when(weight <= listed, "lists").otherwise("pairs")
+    sizes = settle(by_host.join(users, "s", "full").withColumn("way", way))
+    in_all = reached(reach.where("known").select("s", "host_id"), impact, uses, known, sizes.select("s", "way"), hub)
+    out = seeds.join(sizes, "s", "left").join(in_all, "s", "left")
     out = out.withColumn("lateral", F.col("in_all") - F.col("host_reach"))
     return out.select("seed", *[F.coalesce(c, zero).alias(c) for c in ("host_reach", "platforms", "teams", "user_impact", "lateral")])
 
 
-def reached(reach: DataFrame, impact: DataFrame, uses: DataFrame, hosts: DataFrame, hub: int) -> DataFrame:
-    """(s, in_all): distinct hosts that are a seed's own or a host of its users. reach: (s, host_id), impact: (s, username), uses:
-    (username, host_id), all distinct and settled."""
-    counted = settle(uses.groupBy("username").agg(F.count("*").alias("n")).where("n > 1"))
-    own = reach.join(hosts.select("host_id"), "host_id", "left_semi").select("s", "host_id")
-    roaming = uses.join(counted.where(F.col("n") <= hub).select("username"), "username", "left_semi").join(hosts.select("host_id"), "host_id", "left_semi")
-    pairs = own.unionByName(impact.join(roaming, "username").select("s", "host_id"))
-    hubs = counted.where(F.col("n") > hub).select("username")
-    if hubs.isEmpty():
-        return pairs.groupBy("s").agg(F.count_distinct("host_id").alias("in_all"))
-    number = numbered(hosts)
-    bits = F.bitmap_construct_agg("bit").alias("bits")
-    by_hub = settle(uses.join(hubs, "username", "left_semi").join(number, "host_id").groupBy("username", "bucket").agg(bits))
-    to_hubs = impact.join(hubs, "username", "left_semi")
-    dense = settle(to_hubs.select("s").distinct())
-    sparse = pairs.join(dense, "s", "left_anti").groupBy("s").agg(F.count_distinct("host_id").alias("in_all"))
-    plain = pairs.join(dense, "s", "left_semi").join(number, "host_id").groupBy("s", "bucket").agg(bits)
-    merged = plain.unionByName(to_hubs.join(by_hub, "username").select("s", "bucket", "bits")).groupBy("s", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return sparse.unionByName(merged.groupBy("s").agg(F.sum(F.bitmap_count("bits")).alias("in_all")))
+def reached(own: DataFrame, impact: DataFrame, uses: DataFrame, hosts: DataFrame, ways: DataFrame, hub: int) -> DataFrame:
+    """(s, in_all): distinct hosts that are a seed's own or a host of its users. own: (s, host_id), impact: (s, u, n), uses:
+    (u, host_id, n), all distinct; n: hosts of the user u; ways: (s, way), how a seed's hosts are counted."""
+    taken = {r.way for r in ways.select("way").distinct().collect()}
+    of = lambda df, way: df if taken <= {way} else df.join(ways.where(F.col("way") == way).select("s"), "s", "left_semi")
+    roaming = uses.where((F.col("n") > 1) & (F.col("n") <= hub)).join(hosts.select("host_id"), "host_id", "left_semi").select("u", "host_id")
+    led = impact.where((F.col("n") > 1) & (F.col("n") <= hub)).select("s", "u")
+    pairs = lambda way: of(own, way).unionByName(of(led, way).join(roaming, "u").select("s", "host_id"))
+    # a list a user and not a row a host: a row of a list takes a fraction of a pair's room, and its group is merged in one array
+    lists = of(led, "lists").join(roaming.groupBy("u").agg(F.collect_list("host_id").alias("hosts")), "u").select("s", "hosts")
+    lists = of(own, "lists").select("s", F.array("host_id").alias("hosts")).unionByName(lists).repartition("s")
+    parts = [lists.groupBy("s").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hosts")))).cast("long").alias("in_all"))]
+    if "pairs" in taken:
+        parts.append(pairs("pairs").groupBy("s").agg(F.count_distinct("host_id").alias("in_all")))
+    if "bitmaps" in taken:
+        number = numbered(hosts)
+        bits = F.bitmap_construct_agg("bit").alias("bits")
+        by_hub = settle(uses.where(F.col("n") > hub).join(number, "host_id").groupBy("u", "bucket").agg(bits))
+        plain = pairs("bitmaps").join(number, "host_id").groupBy("s", "bucket").agg(bits)
+        hubs = impact.where(F.col("n") > hub).join(by_hub, "u").select("s", "bucket", "bits")
+        merged = plain.unionByName(hubs).groupBy("s", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        parts.append(merged.groupBy("s").agg(F.sum(F.bitmap_count("bits")).alias("in_all")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def blast_scores(metrics: DataFrame, inv: Inventory, hosts: DataFrame | None = None) -> DataFrame:

@@ -129,6 +129,43 @@ def test_blast_radius_by_bitmaps_and_by_pairs(spark, hub):
             assert got == {n: plain_blast(n, edges, named, hosts, scope) for n in names}
 
 
+@pytest.mark.parametrize("hub, listed", [(3, 6), (1000, 12)])
+def test_blast_radius_by_lists_and_by_pairs(spark, hub, listed):
+    rng = np.random.default_rng(listed)
+    hosts = {h: (("darwin", "windows", None)[h % 3], h % 5 or None) for h in range(60)}
+    uses = [(f"u{int(rng.integers(0, 30))}", int(rng.integers(0, 70))) for _ in range(60)] + [("svc", h) for h in range(0, 70, 2)] + [("Root", h) for h in range(60)]
+    installs = [(f"t{int(rng.integers(0, 25))}", int(rng.integers(0, 70))) for _ in range(40)] + [("every", h) for h in range(70)]
+    inv = Inventory(
+        hosts=spark.createDataFrame([(h, *v) for h, v in hosts.items()], "host_id long, platform string, team_id long"), users=None, software=None, labels=None, has_label=None,
+        uses=spark.createDataFrame(uses, "username string, host_id long"), installed_on=spark.createDataFrame(installs, "name string, host_id long"),
+    )
+    for kind, edges, names in (("software", installs, [f"t{i}" for i in range(25)] + ["every", "none"]), ("user", uses, [f"u{i}" for i in range(30)] + ["svc"])):
+        for scope in (set(hosts), {h for h in hosts if h % 4}):
+            seeds = spark.createDataFrame([(n,) for n in names], "seed string")
+            got = {r.seed: tuple(r)[1:] for r in graph.blast_radius(inv, kind, seeds, inv.hosts.where(F.col("host_id").isin(*scope)), hub=hub, listed=listed).collect()}
+            assert got == {n: plain_blast(n, edges, uses, hosts, scope) for n in names}
+
+
+def test_blast_radius_shuffles_lists_of_hosts_and_not_pairs(spark):
+    titles, users, each = 100, 50, 60  # every title is on ten hosts of ten users: 60,000 pairs of a title and a host
+    uses = [(f"u{u}", u * each + i) for u in range(users) for i in range(each)]
+    installs = [(f"t{t}", ((t + 5 * k) % users) * each + t % each) for t in range(titles) for k in range(10)]
+    hosts = spark.range(users * each).select(F.col("id").alias("host_id"), F.lit("darwin").alias("platform"), F.lit(1).cast("long").alias("team_id"))
+    inv = Inventory(hosts, None, None, None, spark.createDataFrame(uses, "username string, host_id long"), spark.createDataFrame(installs, "name string, host_id long"), None)
+    sc = spark.sparkContext
+
+    def shuffled():
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        found = (listed.apply(i) for i in range(listed.size()))
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in found}
+
+    before = shuffled()
+    rows = graph.blast_radius(inv, "software", spark.createDataFrame([(f"t{t}",) for t in range(titles)], "seed string")).collect()
+    written = sum(n for at, n in shuffled().items() if at not in before)
+    assert {tuple(r)[1:] for r in rows} == {(10, 1, 1, 10, 10 * each - 10)} and len(rows) == titles
+    assert 0 < written < 30_000
+
+
 def test_numbers_of_hosts_are_their_own(spark):
     rows = graph.numbered(spark.range(5000).select(F.col("id").alias("host_id")), per_part=700).collect()
     assert len(rows) == 5000 == len({(r.bucket, r.bit) for r in rows})
